@@ -34,8 +34,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("quality") == 1, "entailment")
         .when(F.col("quality") == 0, "neutral")
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    labelled = docs.join(labels.select("doc_id", name.alias("label")), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The exchange the join on doc_id wants at scale; here it also spreads a file of one row group.
+    labelled = docs.repartition("doc_id").join(labels.select("doc_id", name.alias("label")), "doc_id", "left")
+    labelled = labelled.select("doc_id", "label", F.split("text", "\n", -1).alias("lines"))
     n = F.size("lines")
     exploded = labelled.select(
         "doc_id",
@@ -80,7 +82,8 @@ def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis")
     )
-    return users.join(replies, ["conv_id", "turn"]).select(
+    key = ["conv_id", "turn"]
+    return users.repartition(*key).join(replies, key).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("index"),
         "premise",
         "hypothesis",

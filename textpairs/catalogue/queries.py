@@ -361,20 +361,24 @@ def padded_batches(spark, sf_dir):
 
 
 @query(
-    _with(*_IDS, sql.assembled())
-    + """,
-widest AS (SELECT max(len(input_ids)) AS w FROM sequences)
-SELECT idx AS "index", w AS width, repeat('1', len(input_ids)::bigint) || repeat('0', (w - len(input_ids))::bigint) AS mask,
-  repeat('0', len(p)::bigint + 2) || repeat('1', len(h)::bigint + 1) AS segments FROM sequences, widest"""
+    _with(*_IDS, sql.assembled(64))
+    + """ SELECT idx AS "index", array_to_string(input_ids, ',') || repeat(',1', 64 - len(input_ids)::bigint) AS input_ids
+    FROM sequences"""
+)
+def padded_fixed(spark, sf_dir):
+    return _ids(spark, sf_dir, 64).select("index", _joined(seq.pad_fixed("input_ids", 64)).alias("input_ids"))
+
+
+@query(
+    _with(*_IDS, sql.assembled(512), _BATCHED)
+    + """ SELECT idx AS "index", repeat('1', len(input_ids)::bigint) || repeat('0', (width - len(input_ids))::bigint) AS mask,
+  repeat('0', len(p)::bigint + 2) || repeat('1', len(h)::bigint + 1) AS segments FROM batched"""
 )
 def attention_and_segments(spark, sf_dir):
-    df = materialise(_ids(spark, sf_dir).select("index", "premise_ids", "hypothesis_ids", "input_ids", "length"))
-    width = df.agg(F.max("length")).first()[0]
-    padded = seq.pad_fixed("input_ids", width)
+    df = batches.batch_and_pad(_ids(spark, sf_dir, 512).select("index", "premise_ids", "hypothesis_ids", "input_ids"))
     return df.select(
         "index",
-        F.lit(width).cast("bigint").alias("width"),
-        F.array_join(seq.attention_mask(padded).cast("array<string>"), "").alias("mask"),
+        F.array_join(seq.attention_mask("input_ids").cast("array<string>"), "").alias("mask"),
         F.array_join(seq.token_type_ids("premise_ids", "hypothesis_ids").cast("array<string>"), "").alias("segments"),
     )
 
@@ -727,7 +731,7 @@ WHERE p NOT IN ('', ' ') AND h NOT IN ('', ' ')
 def round_trip_augment(spark, sf_dir):
     path = _scratch(spark, "shards")
     df = materialise(_complete(spark, sf_dir))
-    options = {"shard_rows": 100 * inputs.LINES_PER_DOCUMENT, "shards_per_job": 100, "tasks": 8}
+    options = {"shard_rows": 200 * inputs.LINES_PER_DOCUMENT, "shards_per_job": 100, "tasks": 8}
     tripped = [
         augment.round_trip(df, c, _reverse, _reverse_and_mark, path, **options) for c in ("premise", "hypothesis")
     ]
@@ -782,7 +786,7 @@ def pending_rows(spark, sf_dir):
 
 
 def _estimator():
-    return models.default_estimator(features=1 << 12, max_iter=20)
+    return models.default_estimator(features=1 << 10, max_iter=10)
 
 
 @query()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, VectorAssembler
@@ -55,32 +57,36 @@ def fit_folds(
     plm: str = "hashed-words",
     model_path: str | None = None,
     metrics_path: str | None = None,
+    parallelism: int = 4,
 ) -> FoldFit:
     """For each fold of ``df`` (cleaned, encoded, with its ``fold``): fit on the rest, evaluate on the fold.
 
     Pass a stored frame: every fold reads it again. Everything learned, IDF included, comes from the
-    training part alone.
+    training part alone. Up to ``parallelism`` folds are fitted at the same time.
     """
     estimator = default_estimator() if estimator is None else estimator
+    spark = df.sparkSession
     rows = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}
-    models, metrics = {}, []
-    for fold, (train, validation) in enumerate(fold_pairs(df, k)):
+
+    def fit(fold: int, train: DataFrame, validation: DataFrame) -> tuple[Model, dict[str, float]]:
         model = estimator.fit(train)
-        scored = model.transform(validation).select(F.col("prediction").cast("int").alias("pred"), F.col("label").alias("gold"))
-        values = {
-            "accuracy": accuracy(scored).first()["accuracy"],
-            "train_samples": sum(rows.values()) - rows.get(fold, 0),
-        }
-        if values["accuracy"] is None:
-            del values["accuracy"]
-        metrics.append(metric_rows(df.sparkSession, values, tag, fold, plm, k, 0))
-        models[fold] = model
+        pred = model.transform(validation).select(F.col("prediction").cast("int").alias("pred"), F.col("label").alias("gold"))
+        share = accuracy(pred).first()["accuracy"]
+        values = {"train_samples": sum(rows.values()) - rows.get(fold, 0)}
+        if share is not None:  # a fold without rows has no accuracy
+            values["accuracy"] = share
         if model_path is not None:
             model.write().overwrite().save(f"{model_path.rstrip('/')}/{run_name(tag, fold)}")
-    table = reduce(DataFrame.unionByName, metrics)
+        return model, values
+
+    with ThreadPool(min(k, parallelism)) as pool:
+        done = pool.starmap(inheritable_thread_target(spark)(fit), [(i, *s) for i, s in enumerate(fold_pairs(df, k))])
+    table = reduce(
+        DataFrame.unionByName, [metric_rows(spark, v, tag, fold, plm, k, 0) for fold, (_, v) in enumerate(done)]
+    )
     if metrics_path is not None:
         append_metrics(table, metrics_path)
-    return FoldFit(models, table)
+    return FoldFit({fold: model for fold, (model, _) in enumerate(done)}, table)
 
 
 def _scored(df: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
