@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpairs.functions.sequences import assemble_pair
 from textpairs.functions.text import KNOWN_TYPOS
 from textpairs.operators.spans import enumerate_spans
 from textpairs.operators.vocab import encode_texts
-from textpairs.functions.sequences import assemble_pair
 from textpairs.schema import UNLABELLED
+from textpairs.storage import materialise
 
 LINES_PER_DOCUMENT = 1_000_000
 
@@ -132,7 +133,7 @@ def scored_spans(spark: SparkSession, sf_dir: str, vocab: DataFrame, max_width:
     start, end = F.col("span_start"), F.col("span_end")
     score = ((F.col("row_id") * 7 + start * 3 + end * 5) % 11).cast("double") / 4.0
     return (
-        enumerate_spans(sequences, ["row_id"], max_width=max_width)
+        enumerate_spans(materialise(sequences), ["row_id"], max_width=max_width)
         .withColumn("score", score)
         .withColumn("vec", F.array(start / 10.0, end / 10.0, (end - start).cast("double"), score))
     )

@@ -18,6 +18,7 @@ def masked_softmax(
 
     Maximum and sum are aggregates with one result per row, joined back. Both are combined before
     their shuffles and the join may split a large row, so a row holding most spans is no single task.
+    ``spans`` is read three times, twice for row, score and mask only: pass a stored table.
     """
     shifted = F.col(score).cast("double") - F.col(mask)
     top = spans.groupBy(row).agg(F.max(shifted).alias("_top"))

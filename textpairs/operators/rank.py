@@ -11,7 +11,8 @@ other row is compared with it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from math import ceil
 from typing import NamedTuple
 
@@ -111,13 +112,20 @@ def group_sizes(histogram: DataFrame, group: Sequence[str]) -> dict[tuple, int]:
     return {tuple(r[g] for g in group): r["count"] for r in rows}
 
 
+@contextmanager
 def hash_histogram(
     df: DataFrame, group: Sequence[str], key: Sequence[str], seed: int, bits: int = BUCKET_BITS
-) -> DataFrame:
-    """Rows per group and hash bucket: counted before the shuffle, so the largest group is no hot spot."""
-    return (
-        df.select(*group, hash_bucket(draw(seed, key), bits).alias("_bucket")).groupBy(*group, "_bucket").count()
-    )
+) -> Iterator[DataFrame]:
+    """Rows per group and hash bucket, held while sizes and cuts are read from it.
+
+    Counted before the shuffle, so the largest group is no hot spot.
+    """
+    counted = df.select(*group, hash_bucket(draw(seed, key), bits).alias("_bucket")).groupBy(*group, "_bucket").count()
+    counted.persist()
+    try:
+        yield counted
+    finally:
+        counted.unpersist()
 
 
 def rows_at(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,15 +25,16 @@ LENGTH_BINS = 11  # steps of 20 characters, the last one open at 200
 
 def _take(
     df: DataFrame,
-    histogram: DataFrame,
-    quota: dict[tuple, int],
+    quota: Callable[[tuple, int], int],
     group: Sequence[str],
     key: Sequence[str],
     seed: int,
     bits: int,
 ) -> DataFrame:
-    """The first ``quota`` rows of each group in hash order, by comparison with the row at the quota."""
-    cuts = rows_at(df, histogram, {g: [n] for g, n in quota.items()}, group, key, seed, bits)
+    """The first ``quota(group, size)`` rows of each group in hash order, by comparison with the last of them."""
+    with hash_histogram(df, group, key, seed, bits) as histogram:
+        wanted = {g: [min(size, quota(g, size))] for g, size in group_sizes(histogram, group).items()}
+        cuts = rows_at(df, histogram, wanted, group, key, seed, bits)
     if not cuts.width:
         return df.limit(0)
     return drop_cuts(attach_cuts(df, cuts, group, key, seed).where(not_after(0, key)), cuts, key)
@@ -48,10 +49,7 @@ def balanced_sample(
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """``n`` rows of each label, or the whole label if it is smaller."""
-    key = as_key(key)
-    histogram = hash_histogram(df, [label], key, seed, bits)
-    quota = {g: min(n, size) for g, size in group_sizes(histogram, [label]).items()}
-    return _take(df, histogram, quota, [label], key, seed, bits)
+    return _take(df, lambda g, size: n, [label], as_key(key), seed, bits)
 
 
 def length_bin(col: Column | str) -> Column:
@@ -84,15 +82,12 @@ def sample_like(
 
     A bin with too few rows gives what it has. At most 121 bins per label are counted and compared.
     """
-    key = as_key(key)
     bins = {"_premise_bin": length_bin("premise"), "_hypothesis_bin": length_bin("hypothesis")}
     group = [label, *bins]
     counts = target.select(*[e.alias(c) for c, e in bins.items()]).groupBy(*bins).count().collect()
     quotas = form_quotas({(r["_premise_bin"], r["_hypothesis_bin"]): r["count"] for r in counts}, n)
-    binned = df.withColumns(bins)
-    histogram = hash_histogram(binned, group, key, seed, bits)
-    quota = {g: min(quotas.get(g[1:], 0), size) for g, size in group_sizes(histogram, group).items()}
-    return _take(binned, histogram, quota, group, key, seed, bits).drop(*bins).select(*df.columns)
+    taken = _take(df.withColumns(bins), lambda g, size: quotas.get(g[1:], 0), group, as_key(key), seed, bits)
+    return taken.select(*df.columns)
 
 
 def mix(**parts: DataFrame) -> DataFrame:

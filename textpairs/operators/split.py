@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -59,15 +60,12 @@ def stratified_kfold(
     if k < 2:
         raise ValueError("k must be at least 2")
     key = as_key(key)
-    histogram = hash_histogram(df, [label], key, seed, bits)
-    sizes = group_sizes(histogram, [label])
-    if sizes and max(sizes.values()) < k:
-        raise ValueError(f"every label has fewer than {k} rows")
-    wanted = {}
-    for group, counts in fold_sizes(sizes, k).items():
-        ends = [sum(counts[: i + 1]) for i in range(k - 1)]
-        wanted[group] = ends
-    cuts = rows_at(df, histogram, wanted, [label], key, seed, bits)
+    with hash_histogram(df, [label], key, seed, bits) as histogram:
+        sizes = group_sizes(histogram, [label])
+        if sizes and max(sizes.values()) < k:
+            raise ValueError(f"every label has fewer than {k} rows")
+        ends = {group: list(accumulate(counts))[:-1] for group, counts in fold_sizes(sizes, k).items()}
+        cuts = rows_at(df, histogram, ends, [label], key, seed, bits)
     out = attach_cuts(df, cuts, [label], key, seed)
     before = [F.when(not_after(j, key), 0).otherwise(1) for j in range(cuts.width)]
     number = before[0] if before else F.lit(0)
@@ -99,9 +97,9 @@ def holdout_assign(
 ) -> DataFrame:
     """Add ``part``: per label, exactly ``int(n * ratio)`` rows drawn by hash are ``validation``."""
     key = as_key(key)
-    histogram = hash_histogram(df, [label], key, seed, bits)
-    wanted = {g: [int(n * ratio)] for g, n in group_sizes(histogram, [label]).items()}
-    cuts = rows_at(df, histogram, wanted, [label], key, seed, bits)
+    with hash_histogram(df, [label], key, seed, bits) as histogram:
+        wanted = {g: [int(n * ratio)] for g, n in group_sizes(histogram, [label]).items()}
+        cuts = rows_at(df, histogram, wanted, [label], key, seed, bits)
     out = attach_cuts(df, cuts, [label], key, seed)
     chosen = not_after(0, key) if cuts.width else F.lit(False)
     return drop_cuts(out.withColumn(part, F.when(chosen, "validation").otherwise("train")), cuts, key)
