@@ -1,0 +1,200 @@
+import pytest
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import functions as F
+
+from helpers import plan, rows
+from textpairs.operators import profile, rows as ops
+from textpairs.operators.sample import mix
+from textpairs.operators.scoring import best_checkpoint
+from textpairs.operators.vocab import build_vocab, encode_texts
+from textpairs.plans import corpus, sequences, training
+from textpairs.schema import check_columns
+from textpairs.sources import metrics, pairs, predictions, shards
+from textpairs.storage import materialise
+from textpairs.streaming import stream_prepared_pairs
+
+PAIRS = "index bigint, premise string, hypothesis string, label string"
+
+
+@pytest.fixture(scope="module")
+def some(spark):
+    data = [
+        (0, "a b", "b", "neutral"),
+        (1, "a  b", "b", "neutral"),
+        (2, None, "b", "neutral"),
+        (3, "c", "d", None),
+        (4, "a b", "b", "neutral"),
+        (5, "b a a", "c", "entailment"),
+    ]
+    return spark.createDataFrame(data, PAIRS)
+
+
+def test_read_pairs(spark, tmp_path):
+    file = tmp_path / "train.csv"
+    file.write_text(
+        'label,premise,hypothesis,index\n'
+        'neutral,"a ""q"", b\nc",x,0\n'
+        'neutral,NA,nan,1\n'
+        'neutral,null,None,2\n'
+        'neutral,,"",3\n'
+        'entailment, NA ,n/a b,4\n',
+        encoding="utf-8",
+    )
+    got = rows(pairs.read_pairs(spark, str(file)), "index")
+    assert got == [
+        (0, 'a "q", b\nc', "x", "neutral"),
+        (1, None, None, "neutral"),
+        (2, None, "None", "neutral"),
+        (3, None, None, "neutral"),
+        (4, " NA ", "n/a b", "entailment"),
+    ]
+    assert [r[0] for r in rows(ops.drop_incomplete(pairs.read_pairs(spark, str(file))), "index")] == [0, 4]
+    assert {r[3] for r in rows(pairs.read_unlabelled(spark, str(file)))} == {3}
+    assert pairs.read_pairs(spark, str(file)).dtypes[0] == ("index", "bigint")
+
+
+def test_read_pairs_checks_the_columns(spark, tmp_path):
+    file = tmp_path / "bad.csv"
+    file.write_text("index,premise,label\n0,a,neutral\n")
+    with pytest.raises(ValueError, match="hypothesis"):
+        pairs.read_pairs(spark, str(file))
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("index,premise,hypothesis,label\n0,a,b,neutral\n")
+    (tmp_path / "b.csv").write_text("index,hypothesis,premise,label\n1,b,a,neutral\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        pairs.read_pairs(spark, str(tmp_path)).collect()
+
+
+def test_read_external(spark, tmp_path):
+    mapping = {"index": "guid", "premise": "sentence1", "hypothesis": "sentence2", "label": "gold_label"}
+    tsv = tmp_path / "x.tsv"
+    tsv.write_text('guid\tsentence1\tsentence2\tgold_label\n7\tsay "a\tb\tneutral\n')
+    assert rows(pairs.read_external(spark, str(tsv), "tsv", mapping)) == [(7, 'say "a', "b", "neutral")]
+    json = tmp_path / "x.json"
+    json.write_text('{"guid": 8, "sentence1": "a", "sentence2": "b", "gold_label": "neutral"}\n')
+    assert rows(pairs.read_external(spark, str(json), "json", mapping)) == [(8, "a", "b", "neutral")]
+    with pytest.raises(ValueError, match="missing"):
+        pairs.read_external(spark, str(tsv), "tsv")
+
+
+def test_check_columns(some):
+    assert check_columns(some) is some
+    with pytest.raises(ValueError, match="bigint"):
+        check_columns(some.withColumn("index", F.col("index").cast("int")))
+
+
+def test_row_operators(spark, some):
+    assert ops.project_pairs(some).columns == ["premise", "hypothesis", "label"]
+    assert "label" not in ops.project_pairs(some, with_label=False).columns
+    assert [r[0] for r in rows(ops.slice_rows(some, 1, 3), "index")] == [1, 2]
+    assert [r[0] for r in rows(ops.pending_rows(some, some.where("index < 4")), "index")] == [4, 5]
+    upper = ops.clean_pairs(some, F.upper)
+    assert rows(upper, "index")[0] == (0, "A B", "B", "neutral")
+
+
+def test_range_reaches_the_scan(spark, some):
+    stored = materialise(some)
+    assert "GreaterThanOrEqual(index,1)" in plan(ops.slice_rows(stored, 1, 3))
+    assert "ReadSchema: struct<label:string>" in plan(profile.label_distribution(stored))
+
+
+def test_profiles(some):
+    assert rows(profile.label_distribution(some), "n") == [(None, 1), ("entailment", 1), ("neutral", 4)]
+    hist = rows(profile.length_histogram(some, ["premise"], 2), "bin_start")
+    assert hist == [("premise", 0, 1), ("premise", 2, 2), ("premise", 4, 2)]
+    [r] = rows(profile.length_summary(some, ["premise"], [0.5]))
+    assert r == ("premise", 5, 1, 5, pytest.approx(16 / 5), 3.0)
+    assert dict(rows(profile.dataset_sizes(all=some, none=some.limit(0)))) == {"all": 6, "none": 0}
+
+
+def test_mix(some):
+    both = mix(train=some, extra=some.where("index < 2"))
+    assert both.columns == ["source", "index", "premise", "hypothesis", "label"]
+    assert dict(rows(both.groupBy("source").count())) == {"train": 6, "extra": 2}
+
+
+def test_predictions_and_template(spark, tmp_path):
+    preds = spark.createDataFrame([(1, "neutral", [0.1, 0.2, 0.7])], "index bigint, pred_label string, probs array<double>")
+    predictions.write_predictions(preds, str(tmp_path / "p"))
+    back = spark.read.csv(str(tmp_path / "p"), header=True, escape='"')
+    assert rows(back) == [("1", "neutral", "[0.1,0.2,0.7]")]
+    predictions.write_predictions(preds, str(tmp_path / "q"), "parquet")
+    assert rows(spark.read.parquet(str(tmp_path / "q"))) == [(1, "neutral", [0.1, 0.2, 0.7])]
+    template = spark.createDataFrame([(1, "", "x"), (2, "", "y")], "index bigint, label string, note string")
+    assert rows(predictions.fill_template(template, preds), "index") == [(1, "neutral", "x"), (2, None, "y")]
+
+
+def test_metrics(spark, tmp_path):
+    path = str(tmp_path / "m")
+    assert (metrics.run_name("tag", 2), metrics.run_group("plm", 5), metrics.run_group("plm", 0)) == ("tag_2", "plm-k_fold", "plm")
+    for step, value in ((500, 0.7), (1000, 0.8), (1500, 0.8)):
+        for fold in (0, 1):
+            metrics.append_metrics(metrics.metric_rows(spark, {"accuracy": value}, "tag", fold, "plm", 2, step), path)
+    table = metrics.read_metrics(spark, path)
+    assert table.count() == 6
+    assert rows(best_checkpoint(table), "run") == [("tag_0", 1000, 0.8), ("tag_1", 1000, 0.8)]
+
+
+def test_write_shard_replaces_its_own_range_only(spark, tmp_path):
+    path = str(tmp_path / "s")
+    df = spark.createDataFrame([(i, f"t{i}", "ok") for i in range(6)], "row_index bigint, text string, status string")
+    shards.write_shard(df, path, "out", 0, 3)
+    shards.write_shard(df, path, "out", 3, 6)
+    shards.write_shard(df.withColumn("text", F.lit("new")), path, "out", 3, 6)
+    got = rows(shards.read_shards(spark, path, "out").select("row_index", "text", "shard"), "row_index")
+    assert got == [(i, f"t{i}" if i < 3 else "new", "0-3" if i < 3 else "3-6") for i in range(6)]
+    assert shards.read_shards(spark, path, "back").count() == 0
+    assert shards.read_shards(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_vocabulary_and_encoding(spark, some):
+    vocab = build_vocab(some, size=3)
+    assert rows(vocab.select("token", "token_count", "token_id"), "token_id") == [("b", 8, 5), ("a", 5, 6), ("c", 2, 7)]
+    ids = rows(encode_texts(some, {"premise": "p"}, vocab).select("index", "p"), "index")
+    assert ids == [(0, [6, 5]), (1, [6, 5]), (2, None), (3, [7]), (4, [6, 5]), (5, [5, 6, 6])]
+    pairs_ids = sequences.encoded_pairs(some.na.drop(), vocab).select("input_ids", "length")
+    assert rows(pairs_ids.where("length = 6"))[0] == ([0, 6, 5, 2, 5, 2], 6)
+    unknown = encode_texts(some, {"hypothesis": "h"}, vocab).where("index = 3").first()["h"]
+    assert unknown == [3]
+
+
+def test_encoding_does_not_shuffle(some):
+    vocab = materialise(build_vocab(some, size=3))
+    text = plan(encode_texts(some, {"premise": "p"}, vocab))
+    assert "Exchange" not in text and "ArrowEvalPython" in text
+
+
+def test_encoding_sliced_batches(spark):
+    df = spark.range(0, 50, 1, 1).select("id", F.when(F.col("id") % 7 == 0, "").otherwise(F.concat_ws(" ", F.lit("w"), F.col("id").cast("string"))).alias("t"))
+    vocab = build_vocab(df, ["t"], 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.id: r.x for r in encode_texts(df, {"t": "x"}, vocab).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    by_token = {r.token: r.token_id for r in vocab.collect()}
+    assert got == {i: [] if i % 7 == 0 else [by_token["w"], by_token[str(i)]] for i in range(50)}
+
+
+def test_mlm_corpus_keeps_raw_order_of_steps(some):
+    full = some.na.drop()
+    raw = rows(corpus.mlm_corpus(full), "index")
+    assert raw == [(0, "a b[SEP]b", 2), (1, "a b[SEP]b", 2), (5, "b a a[SEP]c", 1)]
+    assert [r[0] for r in rows(corpus.mlm_corpus(full, clean_first=True), "index")] == [0, 5]
+    with pytest.raises(SparkRuntimeException, match="missing|unknown label"):
+        corpus.mlm_corpus(some).collect()
+
+
+def test_stream_equals_batch(spark, some, tmp_path):
+    some.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = stream_prepared_pairs(spark, str(tmp_path / "in"))
+    query = (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination(120)
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "index") == rows(training.prepared_pairs(some), "index")

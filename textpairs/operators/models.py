@@ -109,10 +109,14 @@ def score_batches(
     inputs: Sequence[str],
     keep: Sequence[str] = ("index",),
     batch_size: int = SCORE_BATCH,
+    shapes: Sequence[Sequence[int] | None] | None = None,
 ) -> DataFrame:
     """The same table from a user's model: ``make_fn`` loads it once per worker and returns a function
-    from NumPy batches of ``inputs`` to an array of logits."""
-    predict = predict_batch_udf(make_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    from NumPy batches of ``inputs`` to an array of logits. ``shapes`` gives the size of each array
+    input (padded ids, say) and None for a scalar one."""
+    predict = predict_batch_udf(
+        make_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=shapes
+    )
     logits = df.select(*keep, predict(*inputs).cast("array<double>").alias("logits"))
     return logits.withColumn("probs", softmax("logits")).withColumn("pred", argmax("logits"))
 

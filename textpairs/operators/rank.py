@@ -209,8 +209,3 @@ def not_after(cut: int, key: Sequence[str]) -> Column:
     here = F.struct("_h", *key)
     there = F.struct(F.col(f"_cut{cut}").alias("_h"), *[F.col(f"_cut{cut}_{k}").alias(k) for k in key])
     return F.col(f"_cut{cut}").isNotNull() & (here <= there)
-
-
-def drop_cuts(df: DataFrame, cuts: Cuts, key: Sequence[str]) -> DataFrame:
-    names = [f"_cut{j}" for j in range(cuts.width)]
-    return df.drop("_h", *names, *[f"{n}_{k}" for n in names for k in key])

@@ -12,7 +12,6 @@ from textpairs.operators.rank import (
     BUCKET_BITS,
     as_key,
     attach_cuts,
-    drop_cuts,
     group_sizes,
     hash_histogram,
     not_after,
@@ -37,7 +36,7 @@ def _take(
         cuts = rows_at(df, histogram, wanted, group, key, seed, bits)
     if not cuts.width:
         return df.limit(0)
-    return drop_cuts(attach_cuts(df, cuts, group, key, seed).where(not_after(0, key)), cuts, key)
+    return attach_cuts(df, cuts, group, key, seed).where(not_after(0, key)).select(*df.columns)
 
 
 def balanced_sample(

@@ -13,7 +13,6 @@ from textpairs.operators.rank import (
     BUCKET_BITS,
     as_key,
     attach_cuts,
-    drop_cuts,
     group_sizes,
     hash_histogram,
     not_after,
@@ -71,7 +70,7 @@ def stratified_kfold(
     number = before[0] if before else F.lit(0)
     for b in before[1:]:
         number = number + b
-    return drop_cuts(out.withColumn(fold, number.cast("int")), cuts, key)
+    return out.select(*df.columns, number.cast("int").alias(fold))
 
 
 def fold_pairs(df: DataFrame, k: int, fold: str = "fold") -> list[Split]:
@@ -102,7 +101,7 @@ def holdout_assign(
         cuts = rows_at(df, histogram, wanted, [label], key, seed, bits)
     out = attach_cuts(df, cuts, [label], key, seed)
     chosen = not_after(0, key) if cuts.width else F.lit(False)
-    return drop_cuts(out.withColumn(part, F.when(chosen, "validation").otherwise("train")), cuts, key)
+    return out.select(*df.columns, F.when(chosen, "validation").otherwise("train").alias(part))
 
 
 def stratified_holdout(
