@@ -112,7 +112,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten embeddings in a row as the layers of one text."""
     return table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 10).cast("bigint").alias("row_id"),
+        F.expr("vec_id div 10").alias("row_id"),
         (F.col("vec_id") % 10).cast("int").alias("layer"),
         F.col("embedding").cast("array<double>").alias("vec"),
     )

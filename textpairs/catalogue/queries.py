@@ -48,6 +48,12 @@ def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop_incomplete(inputs.pairs(spark, sf_dir)).withColumn("label", encode_label("label"))
 
 
+def _stored(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Complete pairs as a table of their own, for operators that pass over them more than once."""
+    df = _complete(spark, sf_dir)
+    return materialise(df.select(*cols) if cols else df)
+
+
 def _joined(ids: str | Column) -> Column:
     return F.array_join((F.col(ids) if isinstance(ids, str) else ids).cast("array<string>"), ",")
 
@@ -85,6 +91,11 @@ def labels_decoded(spark, sf_dir):
     return rows.with_sentinel_label(named).withColumnRenamed("label", "sentinel")
 
 
+@query(_with(sql.COMPLETE) + " SELECT premise, hypothesis, label FROM complete")
+def projected_pairs(spark, sf_dir):
+    return rows.project_pairs(_complete(spark, sf_dir))
+
+
 @query(
     _with(sql.DIRTY)
     + f""" SELECT idx AS "index", {sql.clean('premise')} AS premise, {sql.clean('hypothesis')} AS hypothesis, label
@@ -188,7 +199,7 @@ def dedup_pairs(spark, sf_dir):
 
 @query(_with(sql.COMPLETE, sql.folds("complete")) + ' SELECT idx AS "index", label, fold FROM folded')
 def kfold_assign(spark, sf_dir):
-    return split.stratified_kfold(_complete(spark, sf_dir), 5).select("index", "label", "fold")
+    return split.stratified_kfold(_stored(spark, sf_dir, "index", "label"), 5)
 
 
 @query(
@@ -205,7 +216,7 @@ def kfold_counts(spark, sf_dir):
     sum(idx)::double AS index_sum FROM folded, range(5) t(run) GROUP BY ALL"""
 )
 def fold_pairs_long(spark, sf_dir):
-    folded = split.stratified_kfold(_complete(spark, sf_dir).select("index", "label"), 5)
+    folded = split.stratified_kfold(_stored(spark, sf_dir, "index", "label"), 5)
     return (
         split.fold_pairs_long(folded, 5)
         .groupBy("run", "part", "label")
@@ -213,6 +224,11 @@ def fold_pairs_long(spark, sf_dir):
     )
 
 
+@query(_with(sql.COMPLETE) + ' SELECT label, count(*) AS "count" FROM complete GROUP BY label')
+def class_sizes(spark, sf_dir):
+    return split.class_sizes(_complete(spark, sf_dir))
+
+
 _HOLDOUT = f"""
 held AS (
   SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {sql.draw(42, 'idx')}, idx)
@@ -222,7 +238,7 @@ held AS (
 
 @query(_with(sql.COMPLETE, _HOLDOUT) + ' SELECT idx AS "index", label, part FROM held')
 def holdout_assign(spark, sf_dir):
-    return split.holdout_assign(_complete(spark, sf_dir), 0.2).select("index", "label", "part")
+    return split.holdout_assign(_stored(spark, sf_dir, "index", "label"), 0.2)
 
 
 @query(
@@ -231,7 +247,7 @@ def holdout_assign(spark, sf_dir):
     CASE part WHEN 'train' THEN {sql.draw(7, 'idx')} ELSE {sql.draw(8, 'idx')} END, idx) - 1 AS position FROM held"""
 )
 def holdout_shuffled(spark, sf_dir):
-    parts = split.shuffle_parts(split.stratified_holdout(_complete(spark, sf_dir), 0.2), seed=7)
+    parts = split.shuffle_parts(split.stratified_holdout(_stored(spark, sf_dir, "index", "label"), 0.2), seed=7)
     named = [df.select(F.lit(n).alias("part"), "index", "position") for n, df in zip(("train", "validation"), parts)]
     return named[0].unionByName(named[1])
 
@@ -246,8 +262,7 @@ def shuffled_positions(spark, sf_dir):
 
 @query(_with(sql.COMPLETE) + ' SELECT idx AS "index", row_number() OVER (ORDER BY idx) - 1 AS position FROM complete')
 def source_positions(spark, sf_dir):
-    df = rank.with_position(_complete(spark, sf_dir), rows_per_bucket=1000)
-    return df.select("index", "position")
+    return rank.with_position(_stored(spark, sf_dir, "index"), rows_per_bucket=1000)
 
 
 @query(
@@ -256,7 +271,7 @@ def source_positions(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY label ORDER BY {sql.draw(42, 'idx')}, idx) <= 300"""
 )
 def balanced_sample(spark, sf_dir):
-    return sample.balanced_sample(_complete(spark, sf_dir), 300)
+    return sample.balanced_sample(_stored(spark, sf_dir), 300)
 
 
 def _bins(alias: str) -> str:
@@ -277,7 +292,7 @@ SELECT idx AS "index", premise, hypothesis, label FROM pool JOIN quota USING (pb
 QUALIFY row_number() OVER (PARTITION BY label, pb, hb ORDER BY {sql.draw(42, 'idx')}, idx) <= q"""
 )
 def sample_like(spark, sf_dir):
-    return sample.sample_like(_complete(spark, sf_dir), inputs.dialog(spark, sf_dir), 500)
+    return sample.sample_like(_stored(spark, sf_dir), inputs.dialog(spark, sf_dir), 500)
 
 
 @query(
@@ -730,7 +745,7 @@ WHERE p NOT IN ('', ' ') AND h NOT IN ('', ' ')
 )
 def round_trip_augment(spark, sf_dir):
     path = _scratch(spark, "shards")
-    df = materialise(_complete(spark, sf_dir))
+    df = _stored(spark, sf_dir)
     options = {"shard_rows": 200 * inputs.LINES_PER_DOCUMENT, "shards_per_job": 100, "tasks": 8}
     tripped = [
         augment.round_trip(df, c, _reverse, _reverse_and_mark, path, **options) for c in ("premise", "hypothesis")
@@ -748,7 +763,7 @@ tripped AS (
 def _overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One wide range holding everything, and a narrow one over it whose texts are all there."""
     path = _scratch(spark, "shards")
-    df = materialise(_complete(spark, sf_dir))
+    df = _stored(spark, sf_dir)
     wide = augment.enrich_column(df, "premise", _reverse)
     stop, narrow = 2**62, 100 * inputs.LINES_PER_DOCUMENT
     shards.write_shard(wide, path, "out", 0, stop)

@@ -89,8 +89,9 @@ def enrich_resumable(
     """Enrich the rows that no shard of ``hop`` under ``path`` holds yet and return the whole hop.
 
     Work goes in jobs of ``shards_per_job`` ranges of ``shard_rows`` indexes; each job's shards are on
-    disk when it ends, so a restart repeats one job at most. ``tasks`` bounds the number of concurrent
-    callers. ``redo_empty`` also tries the rows again that have no text so far.
+    disk when it ends, so a restart repeats one job at most. Every shard is a folder: size them so that
+    a corpus has thousands, not millions. ``tasks`` bounds the number of concurrent callers.
+    ``redo_empty`` also tries the rows again that have no text so far.
     """
     spark = df.sparkSession
     source = df.select(F.col(index).cast("bigint").alias("row_index"), F.col(col).alias("text"))
@@ -100,19 +101,19 @@ def enrich_resumable(
         return shards.where(~is_empty_result("text")) if redo_empty else shards
 
     span = shard_rows * shards_per_job
-    block = F.floor(F.col("row_index") / span).cast("bigint")
+    block = F.col("row_index") - F.pmod("row_index", F.lit(span))
     blocks = (
         pending_rows(source, done(), "row_index").select(block.alias("block")).distinct().limit(MAX_JOBS + 1).collect()
     )
     if len(blocks) > MAX_JOBS:
         raise ValueError("too many jobs: raise shard_rows or shards_per_job")
-    for start in sorted(r["block"] * span for r in blocks):
+    for start in sorted(r["block"] for r in blocks):
         todo = pending_rows(
             slice_rows(source, start, start + span, "row_index"),
             slice_rows(done(), start, start + span, "row_index"),
             "row_index",
         )
-        first = F.floor(F.col("row_index") / shard_rows).cast("bigint") * shard_rows
+        first = F.col("row_index") - F.pmod("row_index", F.lit(shard_rows))
         shard = F.concat_ws("-", first.cast("string"), (first + shard_rows).cast("string"))
         by_shard = todo.repartition(tasks, shard) if tasks else todo.repartition(shard)
         (

@@ -28,7 +28,7 @@ def batch_and_pad(
     fields = {"input_ids": PAD_ID} if fields is None else fields
     if "position" not in df.columns:
         df = with_position(df, order)
-    out = df.withColumn("batch_id", F.floor(F.col("position") / size).cast("bigint"))
+    out = df.withColumn("batch_id", F.expr(f"position div {int(size)}"))
     if max_len is not None:
         return out.withColumns({c: pad_fixed(c, max_len, fill) for c, fill in fields.items()})
     batch = W.partitionBy("batch_id")

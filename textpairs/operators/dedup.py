@@ -17,17 +17,17 @@ def dedup_keep_first(
     """Keep the row that comes first in ``order`` among rows of equal ``key`` text (default: the joined pair).
 
     Spark cuts each map task down to one row per key before the exchange, so a text that makes up a
-    third of the corpus reaches its reducer once per map task. The 64-bit hash leads the partition
-    key only to make the sort compare numbers; equality is still decided on the text.
+    third of the corpus reaches its reducer once per map task. Texts are told apart by their SHA-256
+    digest: 32 bytes are sorted and shuffled beside the row instead of a second copy of its text.
     """
     if key is None:
         key = join_pair_text("premise", "hypothesis")
     order = [order] if isinstance(order, str) else list(order)
-    first = W.partitionBy("_key_hash", "_key").orderBy(*order)
+    text = F.col(key) if isinstance(key, str) else key
+    first = W.partitionBy("_digest").orderBy(*order)
     return (
-        df.withColumn("_key", F.col(key) if isinstance(key, str) else key)
-        .withColumn("_key_hash", F.xxhash64("_key"))
+        df.withColumn("_digest", F.unhex(F.sha2(text, 256)))
         .withColumn("_rank", F.row_number().over(first))
         .where("_rank = 1")
-        .drop("_key", "_key_hash", "_rank")
+        .drop("_digest", "_rank")
     )

@@ -1,8 +1,8 @@
-"""Exact positions without a global sort.
+"""Exact positions without a global sort. Keys are unique.
 
 A position is the number of rows in earlier buckets plus the rank inside the own bucket. Buckets
 follow the wanted order and are small, so one exchange on the bucket is all the wide rows see; the
-running sum over bucket counts handles at most ``2**BUCKET_BITS`` rows per group.
+running sum over bucket counts handles at most ``2**bits`` rows per group.
 
 When only a few positions matter (fold borders, hold-out and sample sizes) no wide row moves at
 all: ``rows_at`` finds the row at each wanted position from a histogram of the hash, and every
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from textpairs.functions.hashing import DRAW_BITS, draw
 
 BUCKET_BITS = 16
-ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKET_BITS = 20
+ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 1 << 15
 MAX_GROUPS = 10_000
 
@@ -36,11 +37,14 @@ def as_key(key: str | Sequence[str]) -> list[str]:
 
 def hash_bucket(h: Column, bits: int = BUCKET_BITS) -> Column:
     """Leading bits of a draw: rises with the draw, and unique keys fill all buckets alike."""
+    if not 0 < bits <= MAX_BUCKET_BITS:
+        raise ValueError(f"bits must be in 1..{MAX_BUCKET_BITS}")
     return F.shiftright(h, DRAW_BITS - bits).cast("int")
 
 
 def _positions(df: DataFrame, bucket: Column, order: Sequence[str], position: str) -> DataFrame:
-    """Add the dense 0-based position in (bucket, order); there are at most ``MAX_BUCKETS * 2`` buckets."""
+    """Add the dense 0-based position in (bucket, order); callers bound the buckets by
+    ``MAX_BUCKETS`` or ``2**MAX_BUCKET_BITS``, so the table of offsets is small enough to send around."""
     df = df.withColumn("_bucket", bucket)
     offsets = (
         df.groupBy("_bucket")
@@ -73,7 +77,7 @@ def with_position(
     rows = df.count()
     buckets = min(ceil(rows / rows_per_bucket), MAX_BUCKETS)
     if buckets < 2:  # at most rows_per_bucket rows in total
-        return _positions(df, F.lit(0), [order], position)
+        return df.withColumn(position, (F.row_number().over(W.orderBy(order)) - 1).cast("bigint"))
     shares = [i / buckets for i in range(1, buckets)]
     found = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10 * buckets)).first()[0]
     splits = [-float("inf"), *sorted(set(found)), float("inf")]
@@ -170,12 +174,15 @@ def rows_at(
         )
         .select(*group, "_bucket", "_pos", (F.col("_pos") - F.col("_upto") + F.col("count")).alias("_rank"))
     )
-    narrow = df.select(*group, *key, draw(seed, key).alias("_h")).withColumn("_bucket", hash_bucket(F.col("_h"), bits))
     at_bucket = [*group, "_bucket"]
-    ranked = narrow.join(F.broadcast(hits.select(*at_bucket).distinct()), at_bucket, "left_semi").withColumn(
+    hit_rows = hits.collect()
+    hit_types = {g: types[g].simpleString() for g in group} | {"_bucket": "int", "_pos": "bigint", "_rank": "bigint"}
+    hit = _small_table(spark, {c: [r[c] for r in hit_rows] for c in hit_types}, hit_types)
+    narrow = df.select(*group, *key, draw(seed, key).alias("_h")).withColumn("_bucket", hash_bucket(F.col("_h"), bits))
+    ranked = narrow.join(F.broadcast(hit), at_bucket, "left_semi").withColumn(
         "_rank", F.row_number().over(W.partitionBy(*at_bucket).orderBy("_h", *key)).cast("bigint")
     )
-    found = ranked.join(F.broadcast(hits), [*at_bucket, "_rank"]).select(*group, "_pos", "_h", *key).collect()
+    found = ranked.join(F.broadcast(hit), [*at_bucket, "_rank"]).select(*group, "_pos", "_h", *key).collect()
     at = {(tuple(r[g] for g in group), r["_pos"]): r for r in found}
 
     names = [f"_cut{j}" for j in range(width)]

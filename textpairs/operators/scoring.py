@@ -48,9 +48,9 @@ def ensemble(scores: DataFrame, row: str = "row_id", logits: str = "logits", cla
 def accuracy(
     df: DataFrame, by: str | Sequence[str] | None = None, pred: str = "pred", gold: str = "gold"
 ) -> DataFrame:
-    """Share of rows whose prediction equals the gold label, whole or per ``by``."""
+    """Share of rows whose prediction equals the gold label, whole or per ``by``; no prediction is wrong."""
     by = [] if by is None else [by] if isinstance(by, str) else list(by)
-    hit = (F.col(pred) == F.col(gold)).cast("double")
+    hit = F.coalesce(F.col(pred) == F.col(gold), F.lit(False)).cast("double")
     return df.groupBy(*by).agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
 
 
