@@ -13,10 +13,6 @@ from textpairs.schema import FIRST_TOKEN_ID, MASK_ID, SEP_ID
 NOT_SELECTED = -100
 
 
-def _selected(x: Column, digest: Column, p: float) -> Column:
-    return (x > SEP_ID) & (hex_number(digest, 1) < int(p * 2**32))
-
-
 def mlm_mask(
     ids: Column | str, key: Sequence[str], vocab_size: int, p: float = 0.15, seed: int = 42
 ) -> tuple[Column, Column]:
@@ -26,20 +22,23 @@ def mlm_mask(
     Draws come from ``md5(seed:key:position)``, so a row gives the same result anywhere; another
     epoch is another seed. Start, pad and separator are never drawn.
     """
+    if not 0 <= p < 1:
+        raise ValueError("p must be in [0, 1)")
     ids = F.col(ids) if isinstance(ids, str) else ids
     prefix = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
+    digests = F.transform(ids, lambda _, i: F.md5(F.concat(prefix, F.lit(":"), i.cast("string"))))
+    limit = f"{int(p * 2**32):08x}"  # hex digits of equal number compare like the numbers they spell
 
-    def digest(i: Column) -> Column:
-        return F.md5(F.concat_ws(":", prefix, i.cast("string")))
+    def selected(x: Column, digest: Column) -> Column:
+        return (x > SEP_ID) & (F.substring(digest, 1, 8) < limit)
 
-    def masked(x: Column, i: Column) -> Column:
-        d = digest(i)
-        kind = hex_number(d, 9) % 10
-        random_id = (F.lit(FIRST_TOKEN_ID) + hex_number(d, 17) % vocab_size).cast("int")
+    def masked(x: Column, digest: Column) -> Column:
+        kind = hex_number(digest, 9) % 10
+        random_id = (F.lit(FIRST_TOKEN_ID) + hex_number(digest, 17) % vocab_size).cast("int")
         changed = F.when(kind < 8, F.lit(MASK_ID)).when(kind == 8, random_id).otherwise(x)
-        return F.when(_selected(x, d, p), changed).otherwise(x)
+        return F.when(selected(x, digest), changed).otherwise(x)
 
-    def label(x: Column, i: Column) -> Column:
-        return F.when(_selected(x, digest(i), p), x).otherwise(F.lit(NOT_SELECTED))
+    def label(x: Column, digest: Column) -> Column:
+        return F.when(selected(x, digest), x).otherwise(F.lit(NOT_SELECTED))
 
-    return F.transform(ids, masked), F.transform(ids, label)
+    return F.zip_with(ids, digests, masked), F.zip_with(ids, digests, label)
