@@ -113,7 +113,8 @@ def test_mlm_mask(spark):
     df = spark.range(2000).select(
         F.col("id").alias("index"), F.expr("array(0, 7, 8, 2, 9, 10, 11, 12, 2, 1)").cast("array<int>").alias("ids")
     )
-    masked, labels = mlm_mask("ids", ["index"], 100)
+    mask = mlm_mask("ids", ["index"], 100)
+    masked, labels = mask.getField("masked_id"), mask.getField("label")
     got = df.select("ids", masked.alias("m"), labels.alias("l")).collect()
     picked = [(i, m) for r in got for i, m, lab in zip(r.ids, r.m, r.l) if lab != -100]
     assert all(lab in (-100, i) for r in got for i, lab in zip(r.ids, r.l))
@@ -123,5 +124,5 @@ def test_mlm_mask(spark):
     assert 0.75 < sum(m == 4 for _, m in picked) / len(picked) < 0.85
     again = df.repartition(7).select("index", masked.alias("m")).orderBy("index").collect()
     assert [r.m for r in again] == [r.m for r in got]
-    other = df.select(mlm_mask("ids", ["index"], 100, seed=1)[0].alias("m")).collect()
+    other = df.select(mlm_mask("ids", ["index"], 100, seed=1).getField("masked_id").alias("m")).collect()
     assert [r.m for r in other] != [r.m for r in got]

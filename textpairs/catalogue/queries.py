@@ -469,7 +469,7 @@ FROM drawn GROUP BY idx"""
 def mlm_masked(spark, sf_dir):
     lines = corpus.mlm_corpus(rows.drop_incomplete(inputs.pairs(spark, sf_dir)))
     masked = corpus.masked_corpus(lines, _vocabulary(spark, sf_dir), VOCABULARY)
-    return masked.where("length > 0").select("index", _joined("masked_ids").alias("masked_ids"), _joined("labels").alias("labels"))
+    return masked.select("index", _joined("masked_ids").alias("masked_ids"), _joined("labels").alias("labels"))
 
 
 # --- scores ---------------------------------------------------------------------------------------

@@ -15,9 +15,11 @@ NOT_SELECTED = -100
 
 def mlm_mask(
     ids: Column | str, key: Sequence[str], vocab_size: int, p: float = 0.15, seed: int = 42
-) -> tuple[Column, Column]:
-    """``(masked_ids, labels)``: a share ``p`` of the tokens is drawn; of those 80 % become the mask
-    id, 10 % a random id, 10 % stay. Labels hold the original id where drawn and -100 elsewhere.
+) -> Column:
+    """Array of ``(masked_id, label)`` per token: a share ``p`` of the tokens is drawn; of those 80 %
+    become the mask id, 10 % a random id, 10 % stay. The label is the original id where drawn and -100
+    elsewhere. Select ``col.masked_id`` and ``col.label`` from it in a step of its own, so that the draws are
+    made once.
 
     Draws come from ``md5(seed:key:position)``, so a row gives the same result anywhere; another
     epoch is another seed. Start, pad and separator are never drawn.
@@ -32,13 +34,14 @@ def mlm_mask(
     def selected(x: Column, digest: Column) -> Column:
         return (x > SEP_ID) & (F.substring(digest, 1, 8) < limit)
 
-    def masked(x: Column, digest: Column) -> Column:
+    def outcome(x: Column, digest: Column) -> Column:
+        drawn = selected(x, digest)
         kind = hex_number(digest, 9) % 10
         random_id = (F.lit(FIRST_TOKEN_ID) + hex_number(digest, 17) % vocab_size).cast("int")
         changed = F.when(kind < 8, F.lit(MASK_ID)).when(kind == 8, random_id).otherwise(x)
-        return F.when(selected(x, digest), changed).otherwise(x)
+        return F.struct(
+            F.when(drawn, changed).otherwise(x).alias("masked_id"),
+            F.when(drawn, x).otherwise(F.lit(NOT_SELECTED)).alias("label"),
+        )
 
-    def label(x: Column, digest: Column) -> Column:
-        return F.when(selected(x, digest), x).otherwise(F.lit(NOT_SELECTED))
-
-    return F.zip_with(ids, digests, masked), F.zip_with(ids, digests, label)
+    return F.zip_with(ids, digests, outcome)

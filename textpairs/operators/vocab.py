@@ -60,5 +60,6 @@ def encode_texts(df: DataFrame, cols: dict[str, str], vocab: DataFrame, unknown:
         mask = batch.is_null() if batch.null_count else None
         return pa.ListArray.from_arrays(offsets, filled, mask=mask)
 
-    encode = F.arrow_udf(look_up, T.ArrayType(T.IntegerType()))
+    # Marked so that a later filter on the ids is not pushed below and the lookup run once for each.
+    encode = F.arrow_udf(look_up, T.ArrayType(T.IntegerType())).asNondeterministic()
     return reduce(lambda out, c: out.withColumn(c[1], encode(words(c[0]))), cols.items(), df)

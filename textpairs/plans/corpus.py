@@ -33,5 +33,11 @@ def mlm_corpus(df: DataFrame, clean_first: bool = False) -> DataFrame:
 def masked_corpus(df: DataFrame, vocab: DataFrame, vocab_size: int, p: float = 0.15, seed: int = 42) -> DataFrame:
     """``index, input_ids, masked_ids, labels`` of an MLM corpus."""
     encoded = encode_texts(df.select("index", "sentence"), {"sentence": "input_ids"}, vocab)
-    masked, labels = mlm_mask("input_ids", ["index"], vocab_size, p, seed)
-    return encoded.select("index", "input_ids", masked.alias("masked_ids"), labels.alias("labels"), F.size("input_ids").alias("length"))
+    masked = encoded.withColumn("_masked", mlm_mask("input_ids", ["index"], vocab_size, p, seed))
+    return masked.select(
+        "index",
+        "input_ids",
+        F.col("_masked.masked_id").alias("masked_ids"),
+        F.col("_masked.label").alias("labels"),
+        F.size("input_ids").alias("length"),
+    )
