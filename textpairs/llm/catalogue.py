@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpairs.llm.byte_bpe import encode_documents
 from textpairs.llm.common import table
 from textpairs.llm.line_dedup import drop_repeated_lines
+from textpairs.llm.quality import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, screen_documents
 from textpairs.llm.sharding import curve_automaton, hilbert_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +85,58 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 def op2_line_dedup(spark, sf_dir):
     kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+@query()
+def op10_byte_bpe(spark, sf_dir):
+    rows = encode_documents(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+_RULE_ROWS = ", ".join(f"('{rule}', {cut}, {i})" for rule, (*_, cuts) in RULES.items() for i, cut in enumerate(cuts))
+_FIRES = "CASE rule " + " ".join(
+    f"WHEN '{rule}' THEN 1000 * {a} {'>' if side == 'above' else '<'} cut * {b}" for rule, (a, b, side, _) in RULES.items()
+) + " END"
+OP3_SQL = rf"""WITH texts AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+ws AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w,
+  generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS pos FROM texts),
+tri AS (SELECT doc_id, pos, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM ws WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+rep AS (SELECT doc_id, pos, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS r FROM tri),
+cov AS (SELECT doc_id, r OR coalesce(lag(r) OVER o, false) OR coalesce(lag(r, 2) OVER o, false) AS c FROM rep
+  WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+repeats AS (SELECT doc_id, count(*) FILTER (c) AS n_repeat_words FROM cov GROUP BY 1),
+ls AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts),
+dups AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ls
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT doc_id, stratum, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words,
+  length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+  coalesce(n_lines, 0)::BIGINT AS n_lines FROM texts LEFT JOIN repeats USING (doc_id) LEFT JOIN dups USING (doc_id)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+cuts(rule, cut, place) AS (VALUES {_RULE_ROWS}),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY 1),
+seen AS (SELECT stratum, rule, cut, place, count(*) FILTER (quality = 1) AS n,
+  count(*) FILTER (quality = 1 AND {_FIRES}) AS k, count(*) FILTER (quality = 0 AND {_FIRES}) AS bad
+  FROM b JOIN known USING (doc_id), cuts WHERE NOT base_failed GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END)
+  - (CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END) + i * ln({ALPHA / len(RULES)}) + (n - i) * ln(1 - {ALPHA / len(RULES)})))
+  FROM (SELECT unnest(range(k + 1)) AS i)) END AS tail FROM seen),
+best AS (SELECT stratum, rule, first(cut ORDER BY bad - k DESC, place) AS cut FROM p
+  WHERE bad > k AND tail <= {DELTA} / (SELECT count(*) FROM seen) GROUP BY ALL),
+fired AS (SELECT DISTINCT doc_id FROM b JOIN best USING (stratum) WHERE {_FIRES})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM fired) AS kept FROM b"""
+
+
+@query(OP3_SQL)
+def op3_risk_controlled(spark, sf_dir):
+    rows = screen_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
