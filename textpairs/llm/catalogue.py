@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textpairs.llm.byte_bpe import encode_documents
 from textpairs.llm.common import table
+from textpairs.llm.jaccard_join import jaccard_classes
 from textpairs.llm.line_dedup import drop_repeated_lines
 from textpairs.llm.quality import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, screen_documents
 from textpairs.llm.sharding import curve_automaton, hilbert_shards
@@ -140,3 +141,21 @@ def op3_risk_controlled(spark, sf_dir):
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+OP6_SQL = r"""WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+  FROM ws WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 80 * (s.n + t.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.x WHERE r.root < l.y)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT x, min(root) AS root FROM reach GROUP BY 1) ON x = d.doc_id"""
+
+
+@query(OP6_SQL)
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_classes(table(spark, sf_dir, "documents"))
