@@ -12,6 +12,7 @@ from textpairs.llm.common import table
 from textpairs.llm.jaccard_join import jaccard_classes
 from textpairs.llm.line_dedup import drop_repeated_lines
 from textpairs.llm.quality import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, screen_documents
+from textpairs.llm.repeats import remove_repeats
 from textpairs.llm.sharding import curve_automaton, hilbert_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +160,15 @@ JOIN (SELECT x, min(root) AS root FROM reach GROUP BY 1) ON x = d.doc_id"""
 @query(OP6_SQL)
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_deep_shallow(spark, sf_dir):
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
