@@ -7,26 +7,75 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpairs.llm.byte_bpe import encode_documents
 from textpairs.llm.common import table
+from textpairs.llm.decontaminate import find_passages
+from textpairs.llm.jaccard_join import jaccard_classes
 from textpairs.llm.line_dedup import drop_repeated_lines
+from textpairs.llm.quality import fit_cutoffs, measure_documents, verdict
 from textpairs.storage import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the certified cutoffs of their language."""
+    cutoffs = materialise(fit_cutoffs(materialise(measure_documents(docs)), table(spark, sf_dir, "labels")))
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    passed = verdict(measure_documents(docs, carry=rest), cutoffs).where("kept")
+    return passed.select("doc_id", *[F.col(f"carried_{c}").alias(c) for c in rest])
+
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that an earlier one holds."""
-    kept = drop_repeated_lines(docs).select("doc_id", "text")
-    rest = docs.drop("text", "n_chars")
-    return rest.join(kept, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    """Every document, without the lines that one with a smaller id holds."""
+    kept = drop_repeated_lines(docs, carry=["lang", "source"])
+    return kept.select(
+        "doc_id",
+        "text",
+        F.col("carried_lang").alias("lang"),
+        F.col("carried_source").alias("source"),
+        F.char_length("text").cast("bigint").alias("n_chars"),
+    )
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest id; rows without id stay."""
+    classes = jaccard_classes(docs)
+    copies = materialise(classes.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with a benchmark item; rows without id stay."""
+    passages = find_passages(docs, table(spark, sf_dir, "benchmark"))
+    leaks = materialise(passages.where("doc_id is not null").select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the hash of the bytes that they decode to."""
+    rows = encode_documents(docs)
+    return rows.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", line_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
 
+# Certified cutoffs, near-duplicate classes and token ids are checked against brute force in the tests.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``; repeated ids share the fate of the smallest in the joins on ids."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.llm.byte_bpe import encode_documents
+from textpairs.llm.chat import format_conversations
 from textpairs.llm.common import table
 from textpairs.llm.decontaminate import find_passages
 from textpairs.llm.jaccard_join import jaccard_classes
+from textpairs.llm.licenses import scan_licenses
 from textpairs.llm.line_dedup import drop_repeated_lines
 from textpairs.llm.quality import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, screen_documents
 from textpairs.llm.repeats import remove_repeats
 from textpairs.llm.sharding import curve_automaton, hilbert_shards
+from textpairs.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,3 +201,29 @@ SELECT doc_id, item_id, max(s)::BIGINT AS best_window, max(total)::BIGINT AS mat
 @query(OP9_SQL)
 def op9_spaced_seeds(spark, sf_dir):
     return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_linear_pieces(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT conv_id, row_number() OVER o AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  string_agg(role || chr(1) || text, chr(2)) OVER o AS head FROM t
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+h AS (SELECT md5(head) AS head, k, max(n) AS longest, min(conv_id) FILTER (n = k) AS first FROM p GROUP BY ALL),
+kept AS (SELECT p.conv_id FROM p JOIN h ON md5(p.head) = h.head AND p.k = h.k WHERE p.k = p.n AND longest = p.n AND first = p.conv_id)
+SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg('<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) ||
+  replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+FROM t WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id"""
+
+
+@query(OP7_SQL)
+def op7_snapshot_collapse(spark, sf_dir):
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op8_conditional_compression(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,14 +70,20 @@ class LineRuns:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, fan_in: int = FAN_IN, min_chars: int = MIN_CHARS
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    batches: int = BATCHES,
+    fan_in: int = FAN_IN,
+    min_chars: int = MIN_CHARS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     r"""Every document without the lines that a document with a smaller id holds.
 
     A line's key is the line stripped of ``[\x20\x09-\x0D]`` at both ends with A-Z lower-cased. Keys of at least
     ``min_chars`` code points that two or more documents hold lose all lines except those of the smallest id; other
-    lines stay, joined by newlines. Returns ``doc_id, n_lines, n_dropped, text`` (text after dropping). Documents
-    enter in ``batches`` runs of ids; the result does not depend on their number.
+    lines stay, joined by newlines. Returns ``doc_id, n_lines, n_dropped, text`` (text after dropping), and the columns to
+    carry as ``carried_<name>``. Documents enter in ``batches`` runs of ids; the result does not depend on their number.
 
     Null or empty text is one empty line. A row without id holds no line and loses none. Rows that repeat an id
     count as one document. A line repeated inside its first document stays. An empty table gives no rows; other
@@ -84,7 +91,8 @@ def drop_repeated_lines(
     """
     spark = docs.sparkSession
     body = F.coalesce(col(text), F.lit(""))
-    rows = docs.select(col(key).alias("doc_id"), body.alias("text"))
+    carried = [f"carried_{c}" for c in carry]
+    rows = docs.select(col(key).alias("doc_id"), body.alias("text"), *[col(c).alias(f"carried_{c}") for c in carry])
     lines = (
         rows.where("doc_id is not null")
         .select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -122,4 +130,5 @@ def drop_repeated_lines(
         "n_lines",
         F.coalesce(F.size("drops"), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept_text).alias("text"),
+        *carried,
     )
