@@ -216,58 +216,66 @@ def _gram_blocks(buckets: int):
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, grams, counts``: of each text in some buckets the n-grams that other texts hold too."""
-    by_bucket: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            by_bucket.setdefault(row["bucket"], []).append(row)
-    for blocks in by_bucket.values():
-        gram = np.concatenate([np.frombuffer(b["grams"], np.uint64) for b in blocks])
-        nodes = np.concatenate([np.array(b["nodes"], np.int64) for b in blocks])
-        starts = np.r_[0, np.cumsum([len(b["nodes"]) for b in blocks])]
-        owner = np.concatenate(
-            [np.frombuffer(b["owners"], np.uint32).astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)]
-        )
-        _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
-        count = count[inverse]
-        shared = count > 1
-        gram, owner, count = gram[shared], owner[shared], count[shared]
-        order = np.argsort(owner, kind="stable")
-        gram, owner, count = gram[order], owner[order], count[order].astype(np.uint32)
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
-        last = np.r_[first[1:], len(owner)]
-        for at in range(0, len(first), 20_000):
-            part = range(at, min(at + 20_000, len(first)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(nodes[owner[first[i]]]) for i in part], pa.int64()),
-                    pa.array([gram[first[i] : last[i]].tobytes() for i in part], pa.binary()),
-                    pa.array([count[first[i] : last[i]].tobytes() for i in part], pa.binary()),
-                ],
-                names=["node", "grams", "counts"],
+SHARED = "part int, nodes array<bigint>, sizes binary, grams binary, counts binary"
+
+
+def _frequencies(parts: int):
+    """Of the texts in some buckets the n-grams that other texts hold too, packed by the part their node falls into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                by_bucket.setdefault(row["bucket"], []).append(row)
+        for blocks in by_bucket.values():
+            gram = np.concatenate([np.frombuffer(b["grams"], np.uint64) for b in blocks])
+            nodes = np.concatenate([np.array(b["nodes"], np.int64) for b in blocks])
+            starts = np.r_[0, np.cumsum([len(b["nodes"]) for b in blocks])]
+            owner = np.concatenate(
+                [np.frombuffer(b["owners"], np.uint32).astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)]
             )
+            _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
+            count = count[inverse]
+            shared = count > 1
+            gram, node, count = gram[shared], nodes[owner[shared]], count[shared].astype(np.uint32)
+            part = (_mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((node, part))
+            gram, node, count, part = gram[order], node[order], count[order], part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            rows = []
+            for k in range(parts):
+                some = slice(cuts[k], cuts[k + 1])
+                if cuts[k] < cuts[k + 1]:
+                    names, sizes = np.unique(node[some], return_counts=True)
+                    packed = (sizes.astype(np.uint32).tobytes(), gram[some].tobytes(), count[some].tobytes())
+                    rows.append((k, names, *packed))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = [pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 3]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "nodes", "sizes", "grams", "counts"])
 
+    return run
 
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, n, alone, grams``: the shared n-grams of a text in the global order, rarest first.
 
-    A text with more unshared n-grams than a linked one may miss is left out.
-    """
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, grams``: the shared n-grams of the texts in some parts in the global order, rarest first."""
+    by_part: dict[int, list] = {}
     for batch in batches:
-        rows = []
         for row in batch.to_pylist():
-            gram = np.concatenate([np.frombuffer(p["grams"], np.uint64) for p in row["parts"]])
-            count = np.concatenate([np.frombuffer(p["counts"], np.uint32) for p in row["parts"]])
-            alone = row["n"] - len(gram)
-            if alone <= max_missing(row["n"]):
-                ordered = gram[np.lexsort((gram, count))]
-                rows.append((row["node"], row["n"], alone, ordered.view(np.int64)))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["node", "n", "alone", "grams"]
-        )
+            by_part.setdefault(row["part"], []).append(row)
+    for blocks in by_part.values():
+        sizes = np.concatenate([np.frombuffer(b["sizes"], np.uint32) for b in blocks])
+        node = np.repeat(np.concatenate([np.array(b["nodes"], np.int64) for b in blocks]), sizes)
+        gram = np.concatenate([np.frombuffer(b["grams"], np.uint64) for b in blocks])
+        count = np.concatenate([np.frombuffer(b["counts"], np.uint32) for b in blocks])
+        order = np.lexsort((gram, count, node))
+        node, gram = node[order], gram[order].view(np.int64)
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        ends = np.r_[first, len(node)]
+        for at in range(0, len(first), 5_000):
+            some = ends[at : at + 5_001]
+            grams = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(gram[some[0] : some[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[some[:-1]]), grams], names=["node", "grams"])
 
 
 def _overlapping(pairs: DataFrame, core: DataFrame) -> DataFrame:
@@ -354,10 +362,11 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one = one.select("node", "n", kept["grams"]).dropDuplicates(["node"])
     one = materialise(one)
     blocks = one.select("node", "grams").mapInArrow(_gram_blocks(buckets), GRAM_BLOCK).repartition(tasks, "bucket")
-    shared = blocks.mapInArrow(_frequencies, "node bigint, grams binary, counts binary")
-    shared = shared.groupBy("node").agg(F.collect_list(F.struct("grams", "counts")).alias("parts"))
-    core = one.select("node", "n").join(shared, "node").select("node", "n", "parts")
-    core = materialise(core.mapInArrow(_ordered, "node bigint, n bigint, alone bigint, grams array<bigint>"))
+    shared = blocks.mapInArrow(_frequencies(buckets), SHARED).repartition(tasks, "part")
+    shared = shared.mapInArrow(_ordered, "node bigint, grams array<bigint>")
+    core = one.select("node", "n").join(shared, "node").withColumn("alone", F.col("n") - F.size("grams"))
+    # A text with more unshared n-grams than a linked one may miss is left out.
+    core = materialise(core.where(F.col("alone") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
 
     roots = components(_links(core))
     named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
