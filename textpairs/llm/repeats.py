@@ -24,7 +24,7 @@ from textpairs.storage import shared_folder
 LENGTH = 100
 GRAM = 16
 LARGE_GROUP = 10_000
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 PIECE = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
 
