@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from textpairs.catalogue.queries import ORACLES, QUERIES
 
 SLOW = {"oof_predictions", "fold_metrics", "scored_ensemble"}
 
@@ -32,12 +33,12 @@ def test_flagship(spark):
     assert driver.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, sql, name):
-    df = driver.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     found = sorted(normal(r) for r in df.select(*[f"`{c}`" for c in columns]).collect())
-    result = sql.execute(driver.oracle_sql()[name])
+    result = sql.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
@@ -47,8 +48,8 @@ def test_query_equals_sql(spark, sf_dir, sql, name):
 
 @pytest.mark.parametrize("name", sorted(SLOW))
 def test_model_queries_run(spark, sf_dir, name):
-    assert driver.queries()[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_only_model_queries_have_no_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == SLOW
+    assert set(QUERIES) - set(ORACLES) == SLOW

@@ -10,9 +10,9 @@ from textpairs.functions.text import KNOWN_TYPOS
 from textpairs.operators.spans import enumerate_spans
 from textpairs.operators.vocab import encode_texts
 from textpairs.schema import UNLABELLED
-from textpairs.storage import materialise
 
 LINES_PER_DOCUMENT = 1_000_000
+TURNS_PER_CONVERSATION = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def _null_if_empty(col: Column | str) -> Column:
     return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def _below(name: str, limit: int) -> Column:
+    """The number itself; one that would run into the next key is an error."""
+    too_large = F.raise_error(F.concat(F.lit(f"{name} does not fit below {limit}: "), F.col(name).cast("string")))
+    return F.when(F.col(name) < limit, F.col(name)).otherwise(too_large.cast("int"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document line with the line after it: ``index, premise, hypothesis, label``.
 
@@ -47,7 +53,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.posexplode(F.arrays_zip(F.col("lines").alias("p"), F.slice("lines", F.lit(2), n).alias("h"))).alias("pos", "x"),
     ).where("pos < greatest(n - 1, 1)")
     return exploded.select(
-        (F.col("doc_id") * LINES_PER_DOCUMENT + F.col("pos")).alias("index"),
+        (F.col("doc_id") * LINES_PER_DOCUMENT + _below("pos", LINES_PER_DOCUMENT)).alias("index"),
         _null_if_empty("x.p").alias("premise"),
         _null_if_empty("x.h").alias("hypothesis"),
         "label",
@@ -85,7 +91,7 @@ def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     key = ["conv_id", "turn"]
     return users.repartition(*key).join(replies, key).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("index"),
+        (F.col("conv_id") * TURNS_PER_CONVERSATION + _below("turn", TURNS_PER_CONVERSATION)).alias("index"),
         "premise",
         "hypothesis",
         F.lit(UNLABELLED).alias("label"),
@@ -93,20 +99,17 @@ def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five models per embedding: consecutive triples as logits, ``gold`` from its label."""
-    models = F.array(
-        *[F.struct(F.lit(m).alias("model_id"), F.slice("embedding", 3 * m + 1, 3).alias("logits")) for m in range(5)]
-    )
-    return (
-        table(spark, sf_dir, "embeddings")
-        .select("vec_id", (F.col("label") % 3).cast("int").alias("gold"), F.explode(models).alias("m"))
-        .select(
-            "m.model_id",
-            F.col("vec_id").alias("row_id"),
-            F.col("m.logits").cast("array<double>").alias("logits"),
-            "gold",
-        )
-    )
+    """One model per number of an embedding: it and the two after it, from the start again at the end, as logits.
+
+    ``gold`` comes from the label.
+    """
+    vec, n = F.col("embedding").cast("array<double>"), F.size("embedding")
+    triples = F.transform(vec, lambda x, m: F.array(x, F.get(vec, (m + 1) % n), F.get(vec, (m + 2) % n)))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_id"),
+        (F.col("label") % 3).cast("int").alias("gold"),
+        F.posexplode(triples).alias("model_id", "logits"),
+    ).select("model_id", "row_id", "logits", "gold")
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +127,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_spans(spark: SparkSession, sf_dir: str, vocab: DataFrame, max_width: int = 3) -> DataFrame:
-    """Spans of the dialog pairs with a fixed score and a vector of four numbers."""
+def scored_spans(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
+    """All spans of the dialog pairs with a fixed score and a vector of four numbers; the sequences are dealt by row."""
     ids = encode_texts(dialog(spark, sf_dir), {"premise": "p", "hypothesis": "h"}, vocab)
     sequences = ids.select(F.col("index").alias("row_id"), assemble_pair("p", "h", 512).alias("input_ids")).withColumn(
         "length", F.size("input_ids")
@@ -133,7 +136,7 @@ def scored_spans(spark: SparkSession, sf_dir: str, vocab: DataFrame, max_width:
     start, end = F.col("span_start"), F.col("span_end")
     score = ((F.col("row_id") * 7 + start * 3 + end * 5) % 11).cast("double") / 4.0
     return (
-        enumerate_spans(materialise(sequences), ["row_id"], max_width=max_width)
+        enumerate_spans(sequences.repartition("row_id"), ["row_id"])
         .withColumn("score", score)
         .withColumn("vec", F.array(start / 10.0, end / 10.0, (end - start).cast("double"), score))
     )

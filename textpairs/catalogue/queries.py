@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-VOCABULARY = 20_000
-
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
@@ -308,12 +307,12 @@ def mixed_corpus(spark, sf_dir):
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str, source: Query = _complete) -> DataFrame:
-    return build_vocab(source(spark, sf_dir), size=VOCABULARY)
+    return build_vocab(source(spark, sf_dir), size=None)
 
 
-_VOCAB = sql.vocabulary("complete", VOCABULARY)
+_VOCAB = sql.vocabulary("complete")
 _IDS = (sql.COMPLETE, _VOCAB, sql.encoded("complete"))
-_DIALOG_IDS = (sql.DIALOG, sql.vocabulary("dialog", VOCABULARY), sql.encoded("dialog"))
+_DIALOG_IDS = (sql.DIALOG, sql.vocabulary("dialog"), sql.encoded("dialog"))
 
 
 def _ids(spark: SparkSession, sf_dir: str, max_length: int | None = None) -> DataFrame:
@@ -324,7 +323,7 @@ def _dialog_ids(spark: SparkSession, sf_dir: str, max_length: int | None = 512)
     return sequences.encoded_pairs(inputs.dialog(spark, sf_dir), _vocabulary(spark, sf_dir, inputs.dialog), max_length)
 
 
-@query(_with(sql.PAIRS, sql.vocabulary("pairs", VOCABULARY)) + " SELECT token, token_count, token_id::int AS token_id FROM vocab")
+@query(_with(sql.PAIRS, sql.vocabulary("pairs")) + " SELECT token, token_count, token_id::int AS token_id FROM vocab")
 def vocabulary(spark, sf_dir):
     return _vocabulary(spark, sf_dir, inputs.pairs)
 
@@ -371,30 +370,60 @@ batched AS (
     array_to_string(input_ids, ',') || repeat(',1', (width - len(input_ids))::bigint) AS input_ids FROM batched"""
 )
 def padded_batches(spark, sf_dir):
-    df = batches.batch_and_pad(_ids(spark, sf_dir, 512).select("index", "input_ids"))
+    df = batches.batch_and_pad(materialise(_ids(spark, sf_dir, 512).select("index", "input_ids")))
     return df.select("index", "batch_id", F.size("input_ids").cast("bigint").alias("width"), _joined("input_ids").alias("input_ids"))
 
 
 @query(
-    _with(*_IDS, sql.assembled(64))
-    + """ SELECT idx AS "index", array_to_string(input_ids, ',') || repeat(',1', 64 - len(input_ids)::bigint) AS input_ids
+    _with(*_IDS, sql.assembled(512))
+    + """ SELECT idx AS "index", array_to_string(input_ids, ',') || repeat(',1', 512 - len(input_ids)::bigint) AS input_ids
     FROM sequences"""
 )
 def padded_fixed(spark, sf_dir):
-    return _ids(spark, sf_dir, 64).select("index", _joined(seq.pad_fixed("input_ids", 64)).alias("input_ids"))
+    return _ids(spark, sf_dir, 512).select("index", _joined(seq.pad_fixed("input_ids", 512)).alias("input_ids"))
 
 
 @query(
     _with(*_IDS, sql.assembled(512), _BATCHED)
     + """ SELECT idx AS "index", repeat('1', len(input_ids)::bigint) || repeat('0', (width - len(input_ids))::bigint) AS mask,
-  repeat('0', len(p)::bigint + 2) || repeat('1', len(h)::bigint + 1) AS segments FROM batched"""
+  repeat('0', list_position(input_ids, 2)::bigint) || repeat('1', (len(input_ids) - list_position(input_ids, 2))::bigint)
+    || repeat('0', (width - len(input_ids))::bigint) AS segments FROM batched"""
 )
 def attention_and_segments(spark, sf_dir):
-    df = batches.batch_and_pad(_ids(spark, sf_dir, 512).select("index", "premise_ids", "hypothesis_ids", "input_ids"))
+    df = batches.batch_and_pad(materialise(_ids(spark, sf_dir, 512).select("index", "input_ids")))
     return df.select(
         "index",
         F.array_join(seq.attention_mask("input_ids").cast("array<string>"), "").alias("mask"),
-        F.array_join(seq.token_type_ids("premise_ids", "hypothesis_ids").cast("array<string>"), "").alias("segments"),
+        F.array_join(seq.segment_ids("input_ids").cast("array<string>"), "").alias("segments"),
+    )
+
+
+_ITEMS = """
+cut AS (
+  SELECT idx, 253 AS t, p, h, len(p) AS np, len(h) AS nh FROM encoded),
+sequences AS (
+  SELECT idx, list_concat(list_concat(list_concat([0::bigint],
+    p[1:CASE WHEN np + nh <= t THEN np WHEN nh <= t // 2 THEN t - nh WHEN np <= (t + 1) // 2 THEN np ELSE (t + 1) // 2 END]),
+    list_concat([2::bigint],
+    h[1:CASE WHEN np + nh <= t THEN nh WHEN np <= (t + 1) // 2 THEN t - np WHEN nh <= t // 2 THEN nh ELSE t // 2 END])),
+    [2::bigint]) AS input_ids FROM cut)"""
+
+
+@query(
+    _with(*_IDS, _ITEMS, _BATCHED)
+    + """ SELECT idx AS "index", batch_id, array_to_string(input_ids, ',') || repeat(',1', (width - len(input_ids))::bigint) AS input_ids,
+  repeat('1', len(input_ids)::bigint) || repeat('0', (width - len(input_ids))::bigint) AS mask,
+  repeat('0', list_position(input_ids, 2)::bigint) || repeat('1', (len(input_ids) - list_position(input_ids, 2))::bigint)
+    || repeat('0', (width - len(input_ids))::bigint) AS segments FROM batched"""
+)
+def encoded_items(spark, sf_dir):
+    items = sequences.encoded_items(_complete(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return items.select(
+        "index",
+        "batch_id",
+        _joined("input_ids").alias("input_ids"),
+        F.array_join(F.col("attention_mask").cast("array<string>"), "").alias("mask"),
+        F.array_join(F.col("token_type_ids").cast("array<string>"), "").alias("segments"),
     )
 
 
@@ -404,12 +433,12 @@ def attention_and_segments(spark, sf_dir):
 spans AS (
   SELECT idx, s, e, CASE WHEN s <= n - 2 AND e <= n - 2 AND (s > m OR e < m) THEN 0 ELSE 1000000 END AS mask
   FROM (SELECT idx, len(input_ids) AS n, list_position(input_ids, 2) - 1 AS m, width, unnest(range(1, width - 1)) AS s FROM batched) b,
-  LATERAL (SELECT unnest(range(s, least(width - 1, s + 11))) AS e) x)
+  LATERAL (SELECT unnest(range(s, width - 1)) AS e) x)
 SELECT idx AS "index", s::int AS span_start, count(*) AS n, sum(e)::bigint AS end_sum, sum(mask)::bigint AS mask_sum FROM spans GROUP BY ALL"""
 )
 def spans_masked(spark, sf_dir):
-    padded = batches.batch_and_pad(_dialog_ids(spark, sf_dir).select("index", "input_ids", "length"))
-    table = spans.enumerate_spans(padded, ["index"], max_width=10)
+    padded = batches.batch_and_pad(materialise(_dialog_ids(spark, sf_dir).select("index", "input_ids", "length")))
+    table = spans.enumerate_spans(padded, ["index"])
     return table.groupBy("index", "span_start").agg(
         F.count("*").alias("n"), F.sum("span_end").alias("end_sum"), F.sum("span_mask").alias("mask_sum")
     )
@@ -452,23 +481,22 @@ def mlm_corpus(spark, sf_dir):
     _with(sql.COMPLETE, _UNIQUE, _MLM, _VOCAB)
     + f""",
 mlm_words AS (
-  SELECT idx, unnest(list_filter(string_split(sentence, ' '), lambda w: w <> '')) AS token FROM mlm),
+  SELECT idx, list_concat(list_concat(['[START]'], list_filter(string_split(replace(sentence, '[SEP]', ' [SEP] '), ' '),
+    lambda w: w <> '')), ['[SEP]']) AS ws FROM mlm),
 mlm_ids AS (
-  SELECT idx, i, coalesce(token_id, 3) AS id, md5('42:' || idx || ':' || i) AS d FROM (
-    SELECT idx, token, i FROM (
-      SELECT idx, ws, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS token FROM (
-        SELECT idx, list_filter(string_split(sentence, ' '), lambda w: w <> '') AS ws FROM mlm)))
-  LEFT JOIN vocab USING (token)),
+  SELECT idx, i, CASE WHEN i = 0 THEN 0 WHEN token = '[SEP]' THEN 2 ELSE coalesce(token_id, 3) END AS id,
+    md5('42:' || idx || ':' || i) AS d
+  FROM (SELECT idx, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS token FROM mlm_words) LEFT JOIN vocab USING (token)),
 drawn AS (
-  SELECT *, ('0x' || substr(d, 1, 8))::bigint < 644245094 AS picked, ('0x' || substr(d, 9, 8))::bigint % 10 AS kind,
-    5 + ('0x' || substr(d, 17, 8))::bigint % {VOCABULARY} AS other FROM mlm_ids)
+  SELECT *, ('0x' || substr(d, 1, 8))::bigint < 644245094 AND id > 2 AS picked, ('0x' || substr(d, 9, 8))::bigint % 10 AS kind,
+    5 + ('0x' || substr(d, 17, 8))::bigint % (SELECT count(*) FROM vocab) AS other FROM mlm_ids)
 SELECT idx AS "index", string_agg(CASE WHEN NOT picked THEN id WHEN kind < 8 THEN 4 WHEN kind = 8 THEN other ELSE id END::varchar, ',' ORDER BY i) AS masked_ids,
   string_agg(CASE WHEN picked THEN id ELSE -100 END::varchar, ',' ORDER BY i) AS labels
 FROM drawn GROUP BY idx"""
 )
 def mlm_masked(spark, sf_dir):
     lines = corpus.mlm_corpus(rows.drop_incomplete(inputs.pairs(spark, sf_dir)))
-    masked = corpus.masked_corpus(lines, _vocabulary(spark, sf_dir), VOCABULARY)
+    masked = corpus.masked_corpus(lines, materialise(_vocabulary(spark, sf_dir)))
     return masked.select("index", _joined("masked_ids").alias("masked_ids"), _joined("labels").alias("labels"))
 
 
@@ -569,7 +597,7 @@ def smoothed_cross_entropy(spark, sf_dir):
 _WEIGHTS = """
 starts AS (
   SELECT idx, len(input_ids) AS n, list_position(input_ids, 2) - 1 AS m, unnest(range(1, len(input_ids) - 1)) AS s FROM sequences),
-spans AS (SELECT *, unnest(range(s, least(n - 1, s + 4))) AS e FROM starts),
+spans AS (SELECT *, unnest(range(s, n - 1)) AS e FROM starts),
 scored AS (
   SELECT idx AS row_id, s, e, (idx * 7 + s * 3 + e * 5) % 11 / 4.0 AS score,
          CASE WHEN s > m OR e < m THEN 0 ELSE 1000000 END AS mask FROM spans),
@@ -582,9 +610,16 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooling.masked_softmax(inputs.scored_spans(spark, sf_dir, _vocabulary(spark, sf_dir, inputs.dialog)))
 
 
-@query(_with(*_WEIGHTED) + " SELECT row_id, s::int AS span_start, e::int AS span_end, round(weight, 9) AS weight FROM weights")
+@query(_with(*_WEIGHTED) + """ SELECT row_id, s::int AS span_start, count(*) AS n, sum(e)::bigint AS end_sum, round(sum(weight), 9) AS weight,
+    round(sum(weight * e), 6) AS end_weight FROM weights GROUP BY ALL""")
 def masked_softmax(spark, sf_dir):
-    return _weights(spark, sf_dir).select("row_id", "span_start", "span_end", F.round("weight", 9).alias("weight"))
+    sums = _weights(spark, sf_dir).groupBy("row_id", "span_start").agg(
+        F.count("*").alias("n"),
+        F.sum("span_end").alias("end_sum"),
+        F.round(F.sum("weight"), 9).alias("weight"),
+        F.round(F.sum(F.col("weight") * F.col("span_end")), 6).alias("end_weight"),
+    )
+    return sums
 
 
 @query(
@@ -801,7 +836,7 @@ def pending_rows(spark, sf_dir):
 
 
 def _estimator():
-    return models.default_estimator(features=1 << 10, max_iter=10)
+    return models.default_estimator()
 
 
 @query()
@@ -818,7 +853,134 @@ def fold_metrics(spark, sf_dir):
 
 @query()
 def scored_ensemble(spark, sf_dir):
-    _, fitted = training.train_folds(inputs.pairs(spark, sf_dir), 3, _estimator())
+    _, fitted = training.train_folds(inputs.pairs(spark, sf_dir), 5, _estimator())
     named = {f"run_{fold}": m for fold, m in fitted.models.items()}
     out = inference.predict(inputs.dialog(spark, sf_dir), named)
     return out.select("index", "pred_label", *_rounded("probs"))
+
+
+_BAYES = f"""
+counted AS (
+  SELECT *, len(string_split(premise, ' ')) AS x0, len(string_split(hypothesis, ' ')) AS x1,
+    len(list_intersect(string_split(premise, ' '), string_split(hypothesis, ' '))) AS x2 FROM folded),
+sums AS (
+  SELECT run, label AS c, count(*) AS n, sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2
+  FROM counted, range(5) t(run) WHERE fold <> run GROUP BY ALL),
+theta AS (
+  SELECT run, c, ln(n + 1) - ln(sum(n) OVER (PARTITION BY run) + count(*) OVER (PARTITION BY run)) AS prior,
+    ln(s0 + 1) - ln(s0 + s1 + s2 + 3) AS t0, ln(s1 + 1) - ln(s0 + s1 + s2 + 3) AS t1, ln(s2 + 1) - ln(s0 + s1 + s2 + 3) AS t2 FROM sums)"""
+_BAYES_FOLDS = (sql.COMPLETE, _CLEAN_UNIQUE, sql.folds("ready"), _BAYES)
+_BAYES_SCORED = """
+raw AS (SELECT o.idx, o.label, o.fold, t.run, c, prior + x0 * t0 + x1 * t1 + x2 * t2 AS l FROM {rows} o JOIN theta t ON {on}),
+soft AS (SELECT *, exp(l - max(l) OVER w) / sum(exp(l - top)) OVER w AS p FROM (
+  SELECT *, max(l) OVER (PARTITION BY idx, run) AS top FROM raw) WINDOW w AS (PARTITION BY idx, run))"""
+
+
+def _bayes_folds(spark: SparkSession, sf_dir: str, **options: str) -> tuple[DataFrame, models.FoldFit]:
+    return training.train_folds(inputs.pairs(spark, sf_dir), 5, models.bayes_estimator(), **options)
+
+
+@query(
+    _with(*_BAYES_FOLDS, _BAYES_SCORED.format(rows="counted", on="o.fold = t.run"))
+    + """ SELECT idx AS "index", any_value(label) AS label, any_value(fold) AS fold, first(c ORDER BY l DESC, c) AS pred,
+    round(max(p) FILTER (c = 0), 6) AS p0, round(max(p) FILTER (c = 1), 6) AS p1, round(max(p) FILTER (c = 2), 6) AS p2
+    FROM soft GROUP BY idx"""
+)
+def oof_bayes(spark, sf_dir):
+    stored, fitted = _bayes_folds(spark, sf_dir)
+    return models.out_of_fold(stored, fitted.models).select("index", "label", "fold", "pred", *_rounded("probs"))
+
+
+@query(
+    _with(*_BAYES_FOLDS, _BAYES_SCORED.format(rows="counted", on="o.fold = t.run"))
+    + """,
+hits AS (SELECT idx, any_value(fold) AS fold, (first(c ORDER BY l DESC, c) = any_value(label))::int AS hit FROM soft GROUP BY idx)
+SELECT fold, 'accuracy' AS metric, round(avg(hit), 6) AS value FROM hits GROUP BY fold
+UNION ALL SELECT f::int, 'train_samples', count(*) FROM hits, range(5) t(f) WHERE fold <> f GROUP BY f"""
+)
+def fold_metrics_bayes(spark, sf_dir):
+    metrics = _bayes_folds(spark, sf_dir)[1].metrics
+    return metrics.select("fold", "metric", F.round("value", 6).alias("value"))
+
+
+@query(
+    _with(*_BAYES_FOLDS, sql.DIALOG)
+    + f""",
+asked AS (
+  SELECT idx, NULL AS label, NULL AS fold, len(string_split(p, ' ')) AS x0, len(string_split(h, ' ')) AS x1,
+    len(list_intersect(string_split(p, ' '), string_split(h, ' '))) AS x2
+  FROM (SELECT idx, {sql.clean('premise')} AS p, {sql.clean('hypothesis')} AS h FROM dialog
+    WHERE premise IS NOT NULL AND hypothesis IS NOT NULL)),
+{_BAYES_SCORED.format(rows="asked", on="true")},
+means AS (SELECT idx, c, avg(l) AS l FROM soft GROUP BY ALL),
+voted AS (SELECT idx, first(c ORDER BY l DESC, c) AS pred FROM means GROUP BY idx)
+SELECT d.idx AS "index", {sql.label_name('pred')} AS label FROM dialog d LEFT JOIN voted USING (idx)"""
+)
+def submission_from_models(spark, sf_dir):
+    path = _scratch(spark, "models")
+    _bayes_folds(spark, sf_dir, model_path=path)
+    asked = inputs.dialog(spark, sf_dir)
+    template = asked.select("index", F.lit("").alias("label"))
+    return inference.submission(template, asked, models.load_models(path, range(5)))
+
+
+@query(
+    _with(sql.COMPLETE)
+    + f""" SELECT idx AS "index", a * 0.5 AS l0, b * 0.25 AS l1, (a - b) * 0.125 AS l2,
+    {_ARGMAX.format('(a * 0.5)', '(b * 0.25)', '((a - b) * 0.125)')} AS pred
+    FROM (SELECT idx, length(premise)::double AS a, length(hypothesis)::double AS b FROM complete)"""
+)
+def scored_batches(spark, sf_dir):
+    def load() -> Callable:
+        import numpy as np
+
+        return lambda a, b: np.stack([a * 0.5, b * 0.25, (a - b) * 0.125], axis=1).astype(np.float32)
+
+    lengths = _complete(spark, sf_dir).select(
+        "index", *[F.char_length(c).cast("double").alias(n) for c, n in (("premise", "a"), ("hypothesis", "b"))]
+    )
+    out = models.score_batches(lengths, load, ["a", "b"])
+    return out.select("index", *[F.col("logits")[i].alias(f"l{i}") for i in range(3)], "pred")
+
+
+@query(
+    _with(sql.COMPLETE, _CLEAN_UNIQUE, sql.folds("ready"), sql.DIALOG)
+    + """,
+mixed AS (
+  SELECT 'train' AS source, label, fold FROM folded UNION ALL SELECT 'dialog', 3, NULL FROM dialog
+  UNION ALL SELECT 'reversed', label, fold FROM folded)
+SELECT run::int AS run, CASE WHEN run = fold THEN 'validation' ELSE 'train' END AS part, source, label, count(*) AS n
+FROM mixed, range(5) t(run) WHERE source = 'train' OR fold IS NULL OR fold <> run GROUP BY ALL"""
+)
+def mixed_folds(spark, sf_dir):
+    folded = training.folded_pairs(inputs.pairs(spark, sf_dir), 5)
+    backwards = _complete(spark, sf_dir).withColumns({c: F.reverse(c) for c in ("premise", "hypothesis")})
+    mixed = training.mixed_folds(folded, {"dialog": inputs.dialog(spark, sf_dir)}, {"reversed": backwards})
+    return training.mixed_runs(mixed, 5).groupBy("run", "part", "source", "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    _with(sql.COMPLETE, sql.folds("complete"), _HOLDOUT)
+    + """ SELECT 'fold' || fold AS part, count(*) AS n, sum(idx)::double AS index_sum FROM folded GROUP BY ALL
+    UNION ALL SELECT part, count(*), sum(idx)::double FROM held GROUP BY ALL
+    UNION ALL SELECT 'whole', count(*), sum(idx)::double FROM complete"""
+)
+def split_dispatch(spark, sf_dir):
+    df = _stored(spark, sf_dir, "index", "label")
+    parts = {f"fold{i}": s.validation for i, s in enumerate(split.split(df, k_fold=5))}
+    parts |= dict(zip(("train", "validation"), split.split(df, val_ratio=0.2)[0], strict=True))
+    parts["whole"] = split.split(df, train=False)
+    sums = [F.count("*").alias("n"), F.sum("index").cast("double").alias("index_sum")]
+    return reduce(DataFrame.unionByName, [d.agg(F.lit(p).alias("part"), *sums) for p, d in parts.items()])
+
+
+@query(_with(sql.PAIRS) + " SELECT premise, hypothesis, label, count(*) AS n, count(*) AS numbers FROM pairs GROUP BY ALL")
+def external_unnumbered(spark, sf_dir):
+    path = _scratch(spark, "json")
+    inputs.pairs(spark, sf_dir).drop("index").write.json(path)
+    found = pair_files.read_external(spark, path, "json", {"index": None})
+    cols = ("premise", "hypothesis", "label")
+    total = found.agg(F.countDistinct("index").alias("d"), F.count("*").alias("t"), F.max("index").alias("m")).first()
+    if not total["d"] == total["t"] == total["m"] + 1:
+        raise ValueError("the numbers given to the rows are not dense")
+    return found.groupBy(*cols).agg(F.count("*").alias("n"), F.countDistinct("index").alias("numbers"))

@@ -51,9 +51,9 @@ dialog AS (
 
 SCORES = """
 scores AS (
-  SELECT m::int AS model_id, vec_id AS row_id, label % 3 AS gold, embedding[3 * m + 1]::double AS a,
-         embedding[3 * m + 2]::double AS b, embedding[3 * m + 3]::double AS c
-  FROM embeddings, range(5) t(m)),
+  SELECT m::int AS model_id, vec_id AS row_id, label % 3 AS gold, embedding[m + 1]::double AS a,
+         embedding[(m + 1) % n + 1]::double AS b, embedding[(m + 2) % n + 1]::double AS c
+  FROM (SELECT *, len(embedding) AS n, unnest(range(len(embedding))) AS m FROM embeddings)),
 probs AS (
   SELECT *, exp(a - t) / (exp(a - t) + exp(b - t) + exp(c - t)) AS p0,
          exp(b - t) / (exp(a - t) + exp(b - t) + exp(c - t)) AS p1,
@@ -109,7 +109,7 @@ folded AS (
   SELECT ranked.*, f::int AS fold FROM ranked JOIN fold_range ON {label} = l AND r >= lo AND r < hi)"""
 
 
-def vocabulary(source: str, size: int) -> str:
+def vocabulary(source: str) -> str:
     """CTE ``vocab`` over the cleaned premise and hypothesis of ``source``."""
     return f"""
 all_words AS (
@@ -117,8 +117,7 @@ all_words AS (
   UNION ALL SELECT unnest(string_split({clean('hypothesis')}, ' ')) FROM {source}),
 vocab AS (
   SELECT token, n AS token_count, row_number() OVER (ORDER BY n DESC, token) + 4 AS token_id
-  FROM (SELECT token, count(*) AS n FROM all_words WHERE token <> '' GROUP BY 1)
-  ORDER BY n DESC, token LIMIT {size})"""
+  FROM (SELECT token, count(*) AS n FROM all_words WHERE token <> '' GROUP BY 1))"""
 
 
 def encoded(source: str) -> str:

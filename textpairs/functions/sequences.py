@@ -58,6 +58,13 @@ def token_type_ids(premise: Column | str, hypothesis: Column | str) -> Column:
     )
 
 
+def segment_ids(ids: Column | str) -> Column:
+    """Segments of an assembled, cut or padded id array, as long as it: 1 after the first separator, else and on padding 0."""
+    ids = _col(ids)
+    middle = first_separator(ids)
+    return F.transform(ids, lambda x, i: ((i > middle) & (x != PAD_ID)).cast("int"))
+
+
 def pad_to(ids: Column | str, length: Column | int, fill: int = PAD_ID) -> Column:
     """Append ``fill`` up to ``length``; ids already that long stay as they are."""
     ids = _col(ids)

@@ -11,13 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textpairs.functions.text import clean_text, is_empty_result
-from textpairs.operators.rows import pending_rows, slice_rows
+from textpairs.operators.rows import pending_rows
 from textpairs.sources.shards import read_shards
+from textpairs.storage import materialise
 
 Translate = Callable[[list[str]], list[str]]
 
 CALL_ROWS = 99  # fixed value: texts per call
-MAX_JOBS = 100_000
 
 
 def _call(fn: Translate, texts: list[str]) -> list[tuple[str, bool]]:
@@ -90,7 +90,8 @@ def enrich_resumable(
 
     Work goes in jobs of ``shards_per_job`` ranges of ``shard_rows`` indexes; each job's shards are on
     disk when it ends, so a restart repeats one job at most. Every shard is a folder: size them so that
-    a corpus has thousands, not millions. ``tasks`` bounds the number of concurrent callers.
+    a corpus has thousands, not millions. The pending rows are stored once, a folder per job, so a job reads its own
+    rows and no shards. ``tasks`` sets the number of concurrent callers.
     ``redo_empty`` also tries the rows again that have no text so far.
     """
     spark = df.sparkSession
@@ -101,18 +102,11 @@ def enrich_resumable(
         return shards.where(~is_empty_result("text")) if redo_empty else shards
 
     span = shard_rows * shards_per_job
-    block = F.col("row_index") - F.pmod("row_index", F.lit(span))
-    blocks = (
-        pending_rows(source, done(), "row_index").select(block.alias("block")).distinct().limit(MAX_JOBS + 1).collect()
-    )
-    if len(blocks) > MAX_JOBS:
-        raise ValueError("too many jobs: raise shard_rows or shards_per_job")
-    for start in sorted(r["block"] for r in blocks):
-        todo = pending_rows(
-            slice_rows(source, start, start + span, "row_index"),
-            slice_rows(done(), start, start + span, "row_index"),
-            "row_index",
-        )
+    block = (F.col("row_index") - F.pmod("row_index", F.lit(span))).alias("block")
+    pending = pending_rows(source, done(), "row_index").select("*", block)
+    pending = materialise(pending, partition_by=["block"])
+    for start in sorted(r["block"] for r in pending.select("block").distinct().collect()):
+        todo = pending.where(F.col("block") == start).drop("block")
         first = F.col("row_index") - F.pmod("row_index", F.lit(shard_rows))
         shard = F.concat_ws("-", first.cast("string"), (first + shard_rows).cast("string"))
         by_shard = todo.repartition(tasks, shard) if tasks else todo.repartition(shard)

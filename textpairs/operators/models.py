@@ -8,8 +8,8 @@ from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
@@ -44,6 +44,22 @@ def default_estimator(
     return Pipeline(stages=[*split_words, shared, *hashed, joined, weighted, regression])
 
 
+def bayes_estimator(smoothing: float = 1.0) -> Pipeline:
+    """Naive Bayes on three counts: premise words, hypothesis words, distinct shared words."""
+    counts = SQLTransformer(
+        statement="SELECT *, CAST(size(split(premise, ' ')) AS DOUBLE) AS n_premise, "
+        "CAST(size(split(hypothesis, ' ')) AS DOUBLE) AS n_hypothesis, "
+        "CAST(size(array_intersect(split(premise, ' '), split(hypothesis, ' '))) AS DOUBLE) AS n_shared FROM __THIS__"
+    )
+    features = VectorAssembler(inputCols=["n_premise", "n_hypothesis", "n_shared"], outputCol="features")
+    return Pipeline(stages=[counts, features, NaiveBayes(smoothing=smoothing, modelType="multinomial", labelCol="label")])
+
+
+def load_models(path: str, folds: Sequence[int], tag: str = "run") -> dict[str, Model]:
+    """The models that ``fit_folds`` saved under ``path``, by run name."""
+    return {run_name(tag, f): PipelineModel.load(f"{path.rstrip('/')}/{run_name(tag, f)}") for f in folds}
+
+
 class FoldFit(NamedTuple):
     models: dict[int, Model]
     metrics: DataFrame

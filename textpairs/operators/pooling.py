@@ -12,34 +12,18 @@ from pyspark.sql import functions as F
 
 
 def masked_softmax(
-    spans: DataFrame,
-    row: str = "row_id",
-    score: str = "score",
-    mask: str = "span_mask",
-    weight: str = "weight",
-    spread: Sequence[str] = ("span_start", "span_end"),
-    pieces: int = 16,
+    spans: DataFrame, row: str = "row_id", score: str = "score", mask: str = "span_mask", weight: str = "weight"
 ) -> DataFrame:
-    """Add the softmax of ``score - mask`` within each row.
+    """Add the softmax of ``score - mask`` within each row; rows without id are one row.
 
-    Maximum and sum are aggregates, combined before their shuffles, with one result per row. They are
-    joined back on (row, piece), a row's spans being dealt to ``pieces`` by the ``spread`` columns and
-    the result repeated for each, so a row that holds most spans is no single task. ``spans`` is read
-    three times, twice without its vectors: pass a stored table.
+    Maximum and sum are windows over a row's spans, of which there are at most some hundred thousand (a sequence is
+    cut at 512 tokens). Repartition the sequences by ``row`` before their spans are made: the spans then stay where
+    they are, here and in the aggregates over rows that follow.
     """
     shifted = F.col(score).cast("double") - F.col(mask)
-    piece = F.pmod(F.xxhash64(*spread), F.lit(pieces)).cast("int").alias("_piece")
-    every_piece = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_piece")
-    top = spans.groupBy(row).agg(F.max(shifted).alias("_top"))
-    sums = (
-        spans.select(row, shifted.alias("_shifted"), piece)
-        .join(top.select("*", every_piece), [row, "_piece"])
-        .groupBy(row)
-        .agg(F.max("_top").alias("_top"), F.sum(F.exp(F.col("_shifted") - F.col("_top"))).alias("_sum"))
-    )
-    share = F.exp(shifted - F.col("_top")) / F.col("_sum")
-    joined = spans.select("*", piece).join(sums.select("*", every_piece), [row, "_piece"])
-    return joined.select(*spans.columns, share.alias(weight))
+    over = W.partitionBy(row)
+    scaled = spans.withColumn("_e", F.exp(shifted - F.max(shifted).over(over)))
+    return scaled.select(*spans.columns, (F.col("_e") / F.sum("_e").over(over)).alias(weight))
 
 
 def weighted_pool(

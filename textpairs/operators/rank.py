@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 from math import ceil
 from typing import NamedTuple
 
@@ -21,13 +22,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textpairs.functions.hashing import DRAW_BITS, draw
 
 BUCKET_BITS = 16
 MAX_BUCKET_BITS = 20
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1 << 15
 MAX_GROUPS = 10_000
 
 
@@ -43,8 +45,9 @@ def hash_bucket(h: Column, bits: int = BUCKET_BITS) -> Column:
 
 
 def _positions(df: DataFrame, bucket: Column, order: Sequence[str], position: str) -> DataFrame:
-    """Add the dense 0-based position in (bucket, order); callers bound the buckets by
-    ``MAX_BUCKETS`` or ``2**MAX_BUCKET_BITS``, so the table of offsets is small enough to send around."""
+    """Add the dense 0-based position in (bucket, order); there is a bucket per
+    ``ROWS_PER_BUCKET`` rows or ``2**MAX_BUCKET_BITS``, and one offset for each. The planner decides by the size
+    found at run time whether the offsets are sent around."""
     df = df.withColumn("_bucket", bucket)
     offsets = (
         df.groupBy("_bucket")
@@ -59,7 +62,7 @@ def _positions(df: DataFrame, bucket: Column, order: Sequence[str], position: st
     inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
     return (
         df.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumn(position, (F.col("_offset") + F.col("_inside")).cast("bigint"))
         .drop("_bucket", "_inside", "_offset")
     )
@@ -74,13 +77,10 @@ def with_position(
     even buckets; the result does not depend on where the borders fall. Borders are found on call
     from the one column, so pass a stored frame rather than a long lineage.
     """
-    rows = df.count()
-    buckets = min(ceil(rows / rows_per_bucket), MAX_BUCKETS)
-    if buckets < 2:  # at most rows_per_bucket rows in total
-        return df.withColumn(position, (F.row_number().over(W.orderBy(order)) - 1).cast("bigint"))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10 * buckets)).first()[0]
-    splits = [-float("inf"), *sorted(set(found)), float("inf")]
+    buckets = max(ceil(df.count() / rows_per_bucket), 1)
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    found = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10 * buckets)).first()[0] or []
+    splits = [-float("inf"), *(sorted(set(found)) or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol="_at", handleInvalid="error").transform(
         df.withColumn("_order", F.col(order).cast("double"))
     )
@@ -163,7 +163,7 @@ def rows_at(
     upto = F.sum("count").over(in_group)
     hits = (
         histogram.withColumn("_upto", upto)
-        .join(F.broadcast(asked), group)
+        .join(F.broadcast(_renamed(asked, group)), _same(group))
         .withColumn(
             "_pos",
             F.explode(
@@ -179,10 +179,11 @@ def rows_at(
     hit_types = {g: types[g].simpleString() for g in group} | {"_bucket": "int", "_pos": "bigint", "_rank": "bigint"}
     hit = _small_table(spark, {c: [r[c] for r in hit_rows] for c in hit_types}, hit_types)
     narrow = df.select(*group, *key, draw(seed, key).alias("_h")).withColumn("_bucket", hash_bucket(F.col("_h"), bits))
-    ranked = narrow.join(F.broadcast(hit), at_bucket, "left_semi").withColumn(
+    ranked = narrow.join(F.broadcast(_renamed(hit, at_bucket)), _same(at_bucket), "left_semi").withColumn(
         "_rank", F.row_number().over(W.partitionBy(*at_bucket).orderBy("_h", *key)).cast("bigint")
     )
-    found = ranked.join(F.broadcast(hit), [*at_bucket, "_rank"]).select(*group, "_pos", "_h", *key).collect()
+    hit_rank = [*at_bucket, "_rank"]
+    found = ranked.join(F.broadcast(_renamed(hit, hit_rank)), _same(hit_rank)).select(*group, "_pos", "_h", *key).collect()
     at = {(tuple(r[g] for g in group), r["_pos"]): r for r in found}
 
     names = [f"_cut{j}" for j in range(width)]
@@ -198,17 +199,25 @@ def rows_at(
     return Cuts(_small_table(spark, columns, dtypes), width)
 
 
+def _renamed(table: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return table.withColumnsRenamed({c: f"_of_{c}" for c in cols})
+
+
+def _same(cols: Sequence[str]) -> Column:
+    """Equal in all columns; null equals null, so rows without a label are a class of their own."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cols])
+
+
 def _small_table(spark, columns: dict[str, list], dtypes: dict[str, str]) -> DataFrame:
     """A driver-side table as a local relation, so that its size is known to the planner."""
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
-    return spark.createDataFrame(
-        pa.table({name: pa.array(values, type=arrow[dtypes[name]]) for name, values in columns.items()})
-    )
+    schema = to_arrow_schema(T._parse_datatype_string(", ".join(f"`{n}` {dtypes[n]}" for n in columns)))
+    return spark.createDataFrame(pa.table([pa.array(v, type=schema.field(n).type) for n, v in columns.items()], names=list(columns)))
 
 
 def attach_cuts(df: DataFrame, cuts: Cuts, group: Sequence[str], key: Sequence[str], seed: int) -> DataFrame:
     """Add the group's cut columns and ``_h`` to every row; a map-side join with the small table."""
-    return df.withColumn("_h", draw(seed, key)).join(F.broadcast(cuts.table), list(group), "left")
+    table = _renamed(cuts.table, group)
+    return df.withColumn("_h", draw(seed, key)).join(F.broadcast(table), _same(group), "left").drop(*[f"_of_{g}" for g in group])
 
 
 def not_after(cut: int, key: Sequence[str]) -> Column:

@@ -31,10 +31,10 @@ def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def fold_sizes(sizes: dict[tuple, int], k: int) -> dict[tuple, list[int]]:
-    """Rows per label and fold: labels in ascending order are dealt to folds 0, 1, .., k-1, 0, ..
+    """Rows per label and fold: labels in ascending order, the missing one first, are dealt to folds 0, 1, .., k-1, 0, ..
     without starting over, so each label and the folds as a whole differ by one row at most."""
     out, start = {}, 0
-    for group in sorted(sizes):
+    for group in sorted(sizes, key=lambda g: [(v is not None, v) for v in g]):
         n = sizes[group]
         base, extra = divmod(n, k)
         out[group] = [base + (1 if (fold - start) % k < extra else 0) for fold in range(k)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,47 +17,63 @@ from textpairs.functions.text import words
 from textpairs.schema import FIRST_TOKEN_ID, UNKNOWN_ID
 
 MAX_VOCABULARY = 2_000_000
+_INDEXES: dict[str, dict[str, int]] = {}
 
 
-def build_vocab(df: DataFrame, cols: Sequence[str] = ("premise", "hypothesis"), size: int = 32_000) -> DataFrame:
-    """The ``size`` most frequent words with ids from 5: ``token, token_count, token_id``.
+def build_vocab(
+    df: DataFrame, cols: Sequence[str] = ("premise", "hypothesis"), size: int | None = 32_000
+) -> DataFrame:
+    """The ``size`` most frequent words, or all, with ids from 5: ``token, token_count, token_id``.
 
-    Words are counted before the shuffle, so the commonest word is no hot spot. Each task keeps at
-    most ``size`` candidates, and only the ``size`` survivors are ranked in one place.
+    Words are counted before the shuffle, so the commonest word is no hot spot. How many words share a count
+    is a small table, one row per count; its running sum tells the smallest count that is still taken, so only
+    words at or above it go on, and words of one count are ranked on their own.
     """
-    if size > MAX_VOCABULARY:
+    if size is not None and size > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary is held whole by every task; at most {MAX_VOCABULARY} words")
     # Nulls are skipped by explode; each column is split on its own, so no word spans two texts.
     every = F.concat(*[F.coalesce(words(c), F.array().cast("array<string>")) for c in cols])
-    order = [F.desc("token_count"), F.asc("token")]
-    return (
-        df.select(F.explode(every).alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("token_count"))
-        .orderBy(*order)
-        .limit(size)
-        .withColumn("token_id", (F.row_number().over(W.orderBy(*order)) + (FIRST_TOKEN_ID - 1)).cast("int"))
-    )
+    counted = df.select(F.explode(every).alias("token")).groupBy("token").agg(F.count("*").alias("token_count"))
+    before = W.orderBy(F.desc("token_count")).rowsBetween(W.unboundedPreceding, -1)
+    levels = counted.groupBy("token_count").agg(F.count("*").alias("_n"))
+    levels = levels.select("token_count", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if size is not None:
+        levels = levels.where(F.col("_before") < size)
+    inside = F.row_number().over(W.partitionBy("token_count").orderBy("token"))
+    ranked = counted.join(levels, "token_count").withColumn("_rank", F.col("_before") + inside)
+    if size is not None:
+        ranked = ranked.where(F.col("_rank") <= size)
+    return ranked.select("token", "token_count", (F.col("_rank") + (FIRST_TOKEN_ID - 1)).cast("int").alias("token_id"))
 
 
-def encode_texts(df: DataFrame, cols: dict[str, str], vocab: DataFrame, unknown: int = UNKNOWN_ID) -> DataFrame:
+def encode_texts(
+    df: DataFrame,
+    cols: dict[str, str],
+    vocab: DataFrame,
+    unknown: int = UNKNOWN_ID,
+    specials: dict[str, int] | None = None,
+) -> DataFrame:
     """Add an id array per text column: ``cols`` maps a text column to its output column.
 
-    The vocabulary (checked size) is sent to each task once and looked up by Arrow in batches, so
-    rows stay where they are: no exploded words, no exchange, no regrouping.
+    The vocabulary (checked size) is sent to each worker once, indexed there once, and looked up for the distinct
+    words of a batch, so rows stay where they are: no exploded words, no exchange, no regrouping. ``specials``
+    are words with ids of their own.
     """
     entries = vocab.select("token", F.col("token_id").cast("int")).limit(MAX_VOCABULARY + 1).toArrow()
     if entries.num_rows > MAX_VOCABULARY:
         raise ValueError(f"vocabulary larger than {MAX_VOCABULARY}")
-    shared = df.sparkSession.sparkContext.broadcast(
-        (entries["token"].combine_chunks(), entries["token_id"].combine_chunks())
-    )
+    shared = df.sparkSession.sparkContext.broadcast((entries["token"].combine_chunks(), entries["token_id"].combine_chunks()))
+    name, special = uuid.uuid4().hex, dict(specials or {})
 
     def look_up(batch: pa.Array) -> pa.Array:
-        tokens, ids = shared.value
+        if name not in _INDEXES:
+            _INDEXES.clear()  # a worker serves one vocabulary at a time
+            _INDEXES[name] = dict(zip(*(c.to_pylist() for c in shared.value), strict=True)) | special
+        index = _INDEXES[name]
         offsets = pa.array(pc.add(pc.subtract(batch.offsets, batch.offsets[0]), 0), pa.int32())
-        found = pc.take(ids, pc.index_in(batch.flatten().cast(tokens.type), value_set=tokens))
-        filled = pc.fill_null(found.cast(pa.int32()), unknown)
+        words_ = batch.flatten().dictionary_encode()
+        ids = pa.array([index.get(word, unknown) for word in words_.dictionary.to_pylist()], pa.int32())
+        filled = pc.fill_null(pc.take(ids, words_.indices), unknown)
         mask = batch.is_null() if batch.null_count else None
         return pa.ListArray.from_arrays(offsets, filled, mask=mask)
 

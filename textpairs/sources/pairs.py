@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpairs.operators.rank import seeded_shuffle
 from textpairs.operators.rows import with_sentinel_label
 from textpairs.schema import PAIR_SCHEMA, check_columns
 
@@ -71,20 +72,22 @@ def read_external(
     spark: SparkSession,
     path: str,
     fmt: str = "tsv",
-    mapping: dict[str, str] | None = None,
+    mapping: dict[str, str | None] | None = None,
     multi_line: bool = False,
     quoted: bool | None = None,
 ) -> DataFrame:
     """Pairs of another corpus: ``mapping`` gives the source column of each pair column.
 
     ``fmt`` is ``tsv``, ``csv``, ``json`` (one object per line, or ``multi_line``) or ``parquet``.
-    Tab-separated files are read without quoting unless ``quoted`` is set.
+    Tab-separated files are read without quoting unless ``quoted`` is set. A corpus without an index gets one from its
+    rows: their place in the order of a hash of the row, equal rows side by side, whatever files they come from. JSON lines
+    do not tell what they lack, so for them the index is mapped to None.
     """
     if fmt in ("tsv", "csv"):
         df = _delimited(spark, path, "\t" if fmt == "tsv" else ",", multi_line, (fmt == "csv") if quoted is None else quoted)
     elif fmt == "json":
         names = [(mapping or {}).get(f.name, f.name) for f in PAIR_SCHEMA.fields]
-        schema = ", ".join(f"`{n}` string" for n in names)
+        schema = ", ".join(f"`{n}` string" for n in names if n is not None)
         df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
@@ -92,7 +95,14 @@ def read_external(
         raise ValueError(f"unknown format {fmt}")
     mapping = mapping or {}
     names = {f.name: mapping.get(f.name, f.name) for f in PAIR_SCHEMA.fields}
+    numbered = names["index"] is None or "index" not in mapping and "index" not in df.columns
+    if numbered:
+        names.pop("index")
     missing = [n for n in names.values() if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; found {df.columns}")
-    return df.select(*[F.col(f"`{n}`").cast(PAIR_SCHEMA[c].dataType).alias(c) for c, n in names.items()])
+    pairs = df.select(*[F.col(f"`{n}`").cast(PAIR_SCHEMA[c].dataType).alias(c) for c, n in names.items()])
+    if numbered:
+        whole = F.sha2(F.to_json(F.struct(*names)), 256)  # tells null from empty
+        pairs = seeded_shuffle(pairs.withColumn("_row", whole), key="_row", position="index")
+    return pairs.select(*PAIR_SCHEMA.names)
