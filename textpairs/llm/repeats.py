@@ -126,34 +126,38 @@ def _repeated_grams(large: int):
     """``key, body, grams, hot``: of each text the bucketed grams that occur again, and which of them very often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                by_bucket.setdefault(row["bucket"], []).append(row)
-        for bucket, blocks in by_bucket.items():
-            place = np.concatenate([np.frombuffer(b["places"], np.uint32) for b in blocks])
-            starts = np.r_[0, np.cumsum([len(b["keys"]) for b in blocks])]
-            owner = np.concatenate(
-                [np.frombuffer(b["owners"], np.uint32).astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)]
+        blocks = [row for batch in batches for row in batch.to_pylist()]
+        if not blocks:
+            return
+        gram = np.concatenate(
+            [(np.uint64(b["bucket"]) << np.uint64(32)) | np.frombuffer(b["places"], np.uint32).astype(np.uint64) for b in blocks]
+        )
+        keys, bodies = (np.concatenate([np.array(b[c], np.int64) for b in blocks]) for c in ("keys", "bodies"))
+        starts = np.r_[0, np.cumsum([len(b["keys"]) for b in blocks])]
+        owner = np.concatenate(
+            [np.frombuffer(b["owners"], np.uint32).astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)]
+        )
+        # A text has blocks in several buckets: its entries here are one row.
+        _, text = np.unique(np.stack([keys, bodies], axis=1), axis=0, return_inverse=True)
+        whose = np.empty(text.max() + 1, np.int64)
+        whose[text] = np.arange(len(text))
+        owner = whose[text][owner]
+        _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
+        count = count[inverse]
+        order = np.lexsort((gram, owner))
+        order = order[count[order] > 1]
+        gram, owner, hot = gram[order], owner[order], count[order] > large
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+        last = np.r_[first[1:], len(owner)].astype(np.int64)
+        for at in range(0, len(first), 20_000):
+            some = slice(at, at + 20_000)
+            who = owner[first[some]]
+            grams = [gram[a:b].tobytes() for a, b in zip(first[some], last[some], strict=True)]
+            often = [gram[a:b][hot[a:b]].tobytes() for a, b in zip(first[some], last[some], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[who]), pa.array(bodies[who]), pa.array(grams, pa.binary()), pa.array(often, pa.binary())],
+                names=["key", "body", "grams", "hot"],
             )
-            keys, bodies = (np.concatenate([np.array(b[c], np.int64) for b in blocks]) for c in ("keys", "bodies"))
-            _, inverse, count = np.unique(place, return_inverse=True, return_counts=True)
-            count = count[inverse]
-            order = np.lexsort((place, owner))
-            order = order[count[order] > 1]
-            place, owner, hot = place[order], owner[order], count[order] > large
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
-            last = np.r_[first[1:], len(owner)].astype(np.int64)
-            gram = (np.uint64(bucket) << np.uint64(32)) | place.astype(np.uint64)
-            for at in range(0, len(first), 20_000):
-                some = slice(at, at + 20_000)
-                who = owner[first[some]]
-                grams = [gram[a:b].tobytes() for a, b in zip(first[some], last[some], strict=True)]
-                often = [gram[a:b][hot[a:b]].tobytes() for a, b in zip(first[some], last[some], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[who]), pa.array(bodies[who]), pa.array(grams, pa.binary()), pa.array(often, pa.binary())],
-                    names=["key", "body", "grams", "hot"],
-                )
 
     return run
 
