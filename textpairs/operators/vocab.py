@@ -8,6 +8,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ MAX_VOCABULARY = 2_000_000
 _INDEXES: dict[str, dict[str, int]] = {}
 
 
+def _index(name: str, shared: Broadcast, special: dict[str, int]) -> dict[str, int]:
+    """Built once in each Python worker, which serves one vocabulary at a time."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = dict(zip(*(c.to_pylist() for c in shared.value), strict=True)) | special
+    return _INDEXES[name]
+
+
 def build_vocab(
     df: DataFrame, cols: Sequence[str] = ("premise", "hypothesis"), size: int | None = 32_000
 ) -> DataFrame:
@@ -66,10 +75,7 @@ def encode_texts(
     name, special = uuid.uuid4().hex, dict(specials or {})
 
     def look_up(batch: pa.Array) -> pa.Array:
-        if name not in _INDEXES:
-            _INDEXES.clear()  # a worker serves one vocabulary at a time
-            _INDEXES[name] = dict(zip(*(c.to_pylist() for c in shared.value), strict=True)) | special
-        index = _INDEXES[name]
+        index = _index(name, shared, special)
         offsets = pa.array(pc.add(pc.subtract(batch.offsets, batch.offsets[0]), 0), pa.int32())
         words_ = batch.flatten().dictionary_encode()
         ids = pa.array([index.get(word, unknown) for word in words_.dictionary.to_pylist()], pa.int32())

@@ -9,6 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+_STORED: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
@@ -34,5 +37,14 @@ def materialise(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this session has stored; frames that read them can no longer run."""
+    sc = spark.sparkContext
+    while _STORED.get(sc.applicationId):
+        path = sc._jvm.org.apache.hadoop.fs.Path(_STORED[sc.applicationId].pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
