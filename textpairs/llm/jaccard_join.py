@@ -372,6 +372,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialise(named.join(least, "root").select("digest", "component_id"))
-    return sets.join(classes, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    # Apart, so that the many texts without a digest are no key of the join.
+    alone = sets.where("digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    found = sets.where("digest is not null").join(classes, "digest").select("doc_id", "n", "component_id")
+    return found.unionByName(alone).withColumnRenamed("n", "n_shingles")
