@@ -26,6 +26,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
+class _Pieces(dict):
+    """Ids of the pieces met so far, as 32-bit integers; emptied when full."""
+
+    def __init__(self, pairs: BytePairs):
+        super().__init__()
+        self.pairs = pairs
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.pairs.cached:
+            self.clear()
+        ids = self[piece] = np.array(self.pairs.encode_piece(piece.encode()), dtype=np.int32).tobytes()
+        return ids
+
+
 class BytePairs:
     """Encoder for one vocabulary of byte strings and merge ranks.
 
@@ -43,7 +57,8 @@ class BytePairs:
         for token, rank in ranks.items():
             self.backwards.add_word(token[::-1].decode("latin-1"), rank)
         self.backwards.make_automaton()
-        self.pieces: dict[bytes, list[int]] = {}
+        self.pieces = _Pieces(self)
+        self.strings = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.binary())
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
         self.single: dict[int, bool] = {}
@@ -111,18 +126,14 @@ class BytePairs:
 
     def encode(self, pieces: Iterable[str]) -> bytes:
         """Ids of a text's pieces as 32-bit integers."""
-        if len(self.pieces) >= self.cached:
-            self.pieces.clear()
-        known, out = self.pieces, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = np.array(self.encode_piece(piece.encode()), dtype=np.int32).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of many texts, whose ids lie one after the other and end at ``ends`` (from 0)."""
+        found = self.strings.take(pa.array(ids))
+        _, offsets, data = found.buffers()
+        cuts = np.frombuffer(offsets, np.int32)[ends] if len(ids) else np.zeros(len(ends), np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(cuts.tobytes()), data or pa.py_buffer(b"")])
 
 
 @lru_cache(maxsize=2)
@@ -137,15 +148,11 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(ENCODED)
     def encode_texts(texts: pa.Array) -> pa.Array:
         pairs, split = encoder(path), regex.compile(pattern)
-        ids, ends, decoded = [], [0], []
-        for text in texts:
-            one = pairs.encode(split.findall(text.as_py() or ""))
-            ids.append(one)
-            ends.append(ends[-1] + len(one) // 4)
-            decoded.append(pairs.decode(np.frombuffer(one, dtype=np.int32).tolist()))
-        values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-        arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        return pa.StructArray.from_arrays([arrays, pa.array(decoded, pa.binary())], names=["ids", "decoded"])
+        each = [pairs.encode(split.findall(text.as_py() or "")) for text in texts]
+        ends = np.cumsum([0, *(len(ids) // 4 for ids in each)])
+        ids = np.frombuffer(b"".join(each), dtype=np.int32)
+        arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        return pa.StructArray.from_arrays([arrays, pairs.decode(ids, ends)], names=["ids", "decoded"])
 
     return encode_texts(text)
 
