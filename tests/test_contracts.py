@@ -109,3 +109,10 @@ def test_submission_leaves_rows_without_text_open(spark):
     asked = spark.createDataFrame([(1, "a b c d", "a"), (2, "a", None)], "index bigint, premise string, hypothesis string")
     found = dict(rows(submission(asked.select("index", F.lit("").alias("label")), asked, {"m": model}), "index"))
     assert found == {1: "contradiction", 2: None}
+
+
+def test_rows_without_key_are_no_duplicates(spark):
+    from textpairs.operators.dedup import dedup_keep_first
+
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "x"), (4, None)], "index bigint, t string")
+    assert rows(dedup_keep_first(df, "t").select("index"), "index") == [(1,), (2,), (4,)]

@@ -104,32 +104,41 @@ def clean_pairs(spark, sf_dir):
     return rows.clean_pairs(inputs.dirty_pairs(spark, sf_dir))
 
 
-@query(_with(sql.DIRTY) + f' SELECT idx AS "index", {sql.typo("premise")} AS premise FROM dirty')
+@query(
+    _with(sql.DIRTY)
+    + f' SELECT idx AS "index", {sql.typo("premise")} AS premise, {sql.typo("hypothesis")} AS hypothesis FROM dirty'
+)
 def known_typos(spark, sf_dir):
-    return inputs.dirty_pairs(spark, sf_dir).select("index", text.fix_known_typos("premise").alias("premise"))
+    sides = [text.fix_known_typos(c).alias(c) for c in ("premise", "hypothesis")]
+    return inputs.dirty_pairs(spark, sf_dir).select("index", *sides)
+
+
+_CHARACTER_RULES = """ SELECT idx AS "index", '{0}' AS side, replace(replace({0}, chr(160), ''), chr(8), '') AS deleted,
+    regexp_replace({0}, '[《》『』…]', ' ', 'g') AS spaced, replace({0}, '．', '.') AS stopped, {1} AS squeezed FROM dirty"""
 
 
 @query(
     _with(sql.DIRTY)
-    + f""" SELECT idx AS "index", replace(replace(premise, chr(160), ''), chr(8), '') AS deleted,
-    regexp_replace(premise, '[《》『』…]', ' ', 'g') AS spaced, replace(premise, '．', '.') AS stopped,
-    {sql.squeezed('premise')} AS squeezed FROM dirty"""
+    + " UNION ALL ".join(_CHARACTER_RULES.format(c, sql.squeezed(c)) for c in ("premise", "hypothesis"))
 )
 def character_rules(spark, sf_dir):
-    return inputs.dirty_pairs(spark, sf_dir).select(
+    df = inputs.dirty_pairs(spark, sf_dir)
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("t")) for c in ("premise", "hypothesis")])
+    return df.select("index", F.explode(sides).alias("s")).select("index", "s.side", "s.t").select(
         "index",
-        text.delete_chars("premise").alias("deleted"),
-        text.chars_to_space("premise").alias("spaced"),
-        text.normalise_stop("premise").alias("stopped"),
-        text.squeeze_space("premise").alias("squeezed"),
+        "side",
+        text.delete_chars("t").alias("deleted"),
+        text.chars_to_space("t").alias("spaced"),
+        text.normalise_stop("t").alias("stopped"),
+        text.squeeze_space("t").alias("squeezed"),
     )
 
 
-@query(_with(sql.PAIRS) + ' SELECT idx AS "index", premise, label FROM pairs WHERE doc_id >= 50 AND doc_id < 150')
+@query(_with(sql.PAIRS) + ' SELECT idx AS "index", premise, hypothesis, label FROM pairs WHERE doc_id >= 50 AND doc_id < 150')
 def sliced_rows(spark, sf_dir):
     per_doc = inputs.LINES_PER_DOCUMENT
     df = rows.slice_rows(inputs.pairs(spark, sf_dir), 50 * per_doc, 150 * per_doc)
-    return df.select("index", "premise", "label")
+    return df.select("index", "premise", "hypothesis", "label")
 
 
 # --- profiles -------------------------------------------------------------------------------------
@@ -789,47 +798,55 @@ def round_trip_augment(spark, sf_dir):
 
 
 _OVERLAP = """
+sides AS (SELECT idx, 'premise' AS hop, premise AS t, label FROM complete UNION ALL SELECT idx, 'hypothesis', hypothesis, label FROM complete),
 tripped AS (
-  SELECT idx, CASE WHEN length(premise) % 13 = 0 OR length(premise) % 17 = 0 THEN '' ELSE reverse(premise) END AS text,
-    CASE WHEN length(premise) % 13 = 0 THEN 'failed' WHEN length(premise) % 17 = 0 THEN 'empty' ELSE 'ok' END AS status
-  FROM complete)"""
+  SELECT idx, hop, t, CASE WHEN length(t) % 13 = 0 OR length(t) % 17 = 0 THEN '' ELSE reverse(t) END AS text,
+    CASE WHEN length(t) % 13 = 0 THEN 'failed' WHEN length(t) % 17 = 0 THEN 'empty' ELSE 'ok' END AS status
+  FROM sides)"""
+_SIDES = ("premise", "hypothesis")
 
 
-def _overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One wide range holding everything, and a narrow one over it whose texts are all there."""
+def _overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """For each text column a hop with one wide range holding everything, and a narrow one over it whose texts are all there."""
     path = _scratch(spark, "shards")
     df = _stored(spark, sf_dir)
-    wide = augment.enrich_column(df, "premise", _reverse)
     stop, narrow = 2**62, 100 * inputs.LINES_PER_DOCUMENT
-    shards.write_shard(wide, path, "out", 0, stop)
-    repaired = df.select(
-        F.col("index").alias("row_index"), F.reverse("premise").alias("text"), F.lit("ok").alias("status")
-    )
-    shards.write_shard(repaired, path, "out", 0, narrow)
-    return df, shards.read_shards(spark, path, "out")
+    for side in _SIDES:
+        shards.write_shard(augment.enrich_column(df, side, _reverse), path, side, 0, stop)
+        repaired = df.select(F.col("index").alias("row_index"), F.reverse(side).alias("text"), F.lit("ok").alias("status"))
+        shards.write_shard(repaired, path, side, 0, narrow)
+    return df, {side: shards.read_shards(spark, path, side) for side in _SIDES}
+
+
+def _both(parts: dict[str, DataFrame], *cols: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.select(F.lit(side).alias("hop"), *cols) for side, df in parts.items()])
 
 
 @query(
     _with(sql.COMPLETE, _OVERLAP)
-    + """ SELECT idx AS row_index, CASE WHEN idx < 100000000 AND status <> 'ok' THEN reverse(premise) ELSE text END AS text,
-    CASE WHEN idx < 100000000 THEN 'ok' ELSE status END AS status FROM complete JOIN tripped USING (idx)"""
+    + """ SELECT hop, idx AS row_index, CASE WHEN idx < 100000000 AND status <> 'ok' THEN reverse(t) ELSE text END AS text,
+    CASE WHEN idx < 100000000 THEN 'ok' ELSE status END AS status FROM tripped"""
 )
 def shards_assembled(spark, sf_dir):
-    return augment.assemble_hop(_overlapping(spark, sf_dir)[1])
+    parts = {side: augment.assemble_hop(df) for side, df in _overlapping(spark, sf_dir)[1].items()}
+    return _both(parts, "row_index", "text", "status")
 
 
 @query(
-    _with(sql.COMPLETE, _OVERLAP) + " SELECT idx AS row_index, status FROM tripped WHERE status <> 'ok' AND idx >= 100000000"
+    _with(sql.COMPLETE, _OVERLAP)
+    + " SELECT hop, idx AS row_index, status FROM tripped WHERE status <> 'ok' AND idx >= 100000000"
 )
 def failed_rows(spark, sf_dir):
-    return augment.failed_rows(_overlapping(spark, sf_dir)[1]).select("row_index", "status")
+    parts = {side: augment.failed_rows(df) for side, df in _overlapping(spark, sf_dir)[1].items()}
+    return _both(parts, "row_index", "status")
 
 
-@query(_with(sql.COMPLETE) + ' SELECT idx AS "index", label FROM complete WHERE idx >= 100000000')
+@query(_with(sql.COMPLETE, _OVERLAP) + ' SELECT hop, idx AS "index", label FROM sides WHERE idx >= 100000000')
 def pending_rows(spark, sf_dir):
     df, done = _overlapping(spark, sf_dir)
-    narrow = done.where(F.col("shard") == shards.shard_name(0, 100 * inputs.LINES_PER_DOCUMENT))
-    return rows.pending_rows(df, narrow.select(F.col("row_index").alias("index"))).select("index", "label")
+    name = shards.shard_name(0, 100 * inputs.LINES_PER_DOCUMENT)
+    held = {side: part.where(F.col("shard") == name).select(F.col("row_index").alias("index")) for side, part in done.items()}
+    return _both({side: rows.pending_rows(df, part) for side, part in held.items()}, "index", "label")
 
 
 # --- models ---------------------------------------------------------------------------------------
