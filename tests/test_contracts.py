@@ -116,3 +116,11 @@ def test_rows_without_key_are_no_duplicates(spark):
 
     df = spark.createDataFrame([(1, "x"), (2, None), (3, "x"), (4, None)], "index bigint, t string")
     assert rows(dedup_keep_first(df, "t").select("index"), "index") == [(1,), (2,), (4,)]
+
+
+def test_positions_in_a_mixed_corpus(spark):
+    one, two = (spark.range(n).select(F.col("id").alias("index"), F.lit("p").alias("premise"), F.lit("h").alias("hypothesis"), F.lit(0).alias("label")) for n in (30, 20))
+    mixed = sample.mix(b=one, a=two)
+    found = rank.with_position(mixed, ["source", "index"], rows_per_bucket=7)
+    got = sorted((r["source"], r["index"], r["position"]) for r in found.collect())
+    assert [p for _, _, p in got] == list(range(50))

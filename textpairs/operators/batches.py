@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ def batch_and_pad(
     df: DataFrame,
     fields: dict[str, int] | None = None,
     size: int = 16,
-    order: str = "index",
+    order: str | Sequence[str] = "index",
     max_len: int | None = None,
 ) -> DataFrame:
     """Consecutive rows in groups of ``size``; each array in ``fields`` (column to fill value) is padded

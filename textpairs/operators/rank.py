@@ -69,22 +69,28 @@ def _positions(df: DataFrame, bucket: Column, order: Sequence[str], position: st
 
 
 def with_position(
-    df: DataFrame, order: str = "index", position: str = "position", rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame,
+    order: str | Sequence[str] = "index",
+    position: str = "position",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Dense 0-based row number in the order of a unique numeric column.
+    """Dense 0-based row number in the order of a unique key: a numeric column, after columns of few values if there are
+    more (``source, index`` of a mixed corpus).
 
-    Bucket borders are approximate quantiles of that column, so gaps and dense stretches of ids give
+    Bucket borders are approximate quantiles of the numeric column, so gaps and dense stretches of ids give
     even buckets; the result does not depend on where the borders fall. Borders are found on call
     from the one column, so pass a stored frame rather than a long lineage.
     """
+    *lead, last = as_key(order)
     buckets = max(ceil(df.count() / rows_per_bucket), 1)
     shares = [i / buckets for i in range(1, buckets)] or [0.5]
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10 * buckets)).first()[0] or []
+    found = df.agg(F.percentile_approx(F.col(last).cast("double"), shares, 10 * buckets)).first()[0] or []
     splits = [-float("inf"), *(sorted(set(found)) or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol="_at", handleInvalid="error").transform(
-        df.withColumn("_order", F.col(order).cast("double"))
+        df.withColumn("_order", F.col(last).cast("double"))
     )
-    return _positions(bucketed.drop("_order"), F.col("_at").cast("int"), [order], position).drop("_at")
+    bucket = F.struct(*lead, F.col("_at").cast("int").alias("_at"))
+    return _positions(bucketed.drop("_order"), bucket, [*lead, last], position).drop("_at")
 
 
 def seeded_shuffle(
