@@ -59,7 +59,7 @@ class BytePairs:
         self.backwards.make_automaton()
         self.pieces = _Pieces(self)
         self.strings = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.binary())
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.shorter: dict[int, int | None] = {}
         self.single: dict[int, bool] = {}
 
@@ -78,10 +78,10 @@ class BytePairs:
             if token not in self.single:
                 self.single[token] = self.merged(self.tokens[token]) == [token]
             return self.single[token]
-        key = (last, token)
+        key = last << 32 | token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 4 * self.cached:
+            if len(self.pairs) >= 2 * self.cached:
                 self.pairs.clear()
             found = self.pairs[key] = self.merged(self.tokens[last] + self.tokens[token]) == [last, token]
         return found

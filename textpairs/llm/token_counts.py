@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textpairs.llm.byte_bpe import RANKS, read_ranks
 from textpairs.llm.common import col
 
-CACHED = 500_000
+CACHED = 200_000
 COUNTED = "struct<n_words:bigint,n_tokens:bigint,n_unknown:bigint>"
 
 
