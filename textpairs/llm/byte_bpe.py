@@ -52,6 +52,7 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int], cached: int = CACHED):
         self.ranks, self.cached = ranks, cached
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         # Run over a reversed text, it finds for each place the longest token that starts there.
         self.backwards = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -94,32 +95,36 @@ class BytePairs:
         return self.shorter[token]
 
     def _longest(self, piece: bytes) -> list[int]:
-        n, found = len(piece), [-1] * len(piece)
+        last, sizes, found = len(piece) - 1, self.sizes, [-1] * len(piece)
         for end, rank in self.backwards.iter(piece[::-1].decode("latin-1")):
-            at = n - 1 - end
-            if found[at] < 0 or len(self.tokens[rank]) > len(self.tokens[found[at]]):
-                found[at] = rank
+            known = found[last - end]
+            if known < 0 or sizes[rank] > sizes[known]:
+                found[last - end] = rank
         return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        longest, dead, out, at = self._longest(piece), bytearray(len(piece) + 1), [], 0
+        longest, sizes, pairs = self._longest(piece), self.sizes, self.pairs
+        n, at, out = len(piece), 0, []
+        dead = bytearray(n + 1)
         token: int | None = longest[0]
-        while at < len(piece):
-            while token is not None and (
-                dead[at + len(self.tokens[token])] or not self._fits(out[-1] if out else None, token)
-            ):
+        while at < n:
+            while token is not None:
+                if not dead[at + sizes[token]]:
+                    fits = pairs.get(out[-1] << 32 | token) if out else None
+                    if self._fits(out[-1] if out else None, token) if fits is None else fits:
+                        break
                 token = self._shorter(token)
             if token is not None:
                 out.append(token)
-                at += len(self.tokens[token])
-                token = longest[at] if at < len(piece) else None
+                at += sizes[token]
+                token = longest[at] if at < n else None
             elif out:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.tokens[token])
+                at -= sizes[token]
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
         return out
