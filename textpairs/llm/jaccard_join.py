@@ -223,36 +223,34 @@ def _frequencies(parts: int):
     """Of the texts in some buckets the n-grams that other texts hold too, packed by the part their node falls into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                by_bucket.setdefault(row["bucket"], []).append(row)
-        for blocks in by_bucket.values():
-            gram = np.concatenate([np.frombuffer(b["grams"], np.uint64) for b in blocks])
-            nodes = np.concatenate([np.array(b["nodes"], np.int64) for b in blocks])
-            starts = np.r_[0, np.cumsum([len(b["nodes"]) for b in blocks])]
-            owner = np.concatenate(
-                [np.frombuffer(b["owners"], np.uint32).astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)]
-            )
-            _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
-            count = count[inverse]
-            shared = count > 1
-            gram, node, count = gram[shared], nodes[owner[shared]], count[shared].astype(np.uint32)
-            part = (_mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((node, part))
-            gram, node, count, part = gram[order], node[order], count[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            rows = []
-            for k in range(parts):
-                some = slice(cuts[k], cuts[k + 1])
-                if cuts[k] < cuts[k + 1]:
-                    names, sizes = np.unique(node[some], return_counts=True)
-                    packed = (sizes.astype(np.uint32).tobytes(), gram[some].tobytes(), count[some].tobytes())
-                    rows.append((k, names, *packed))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = [pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 3]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["part", "nodes", "sizes", "grams", "counts"])
+        blocks = [row for batch in batches for row in batch.to_pylist()]
+        if not blocks:
+            return
+        gram = np.concatenate([np.frombuffer(b["grams"], np.uint64) for b in blocks])
+        nodes = np.concatenate([np.array(b["nodes"], np.int64) for b in blocks])
+        starts = np.r_[0, np.cumsum([len(b["nodes"]) for b in blocks])]
+        owner = np.concatenate(
+            [np.frombuffer(b["owners"], np.uint32).astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)]
+        )
+        _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
+        count = count[inverse]
+        shared = count > 1
+        gram, node, count = gram[shared], nodes[owner[shared]], count[shared].astype(np.uint32)
+        part = (_mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((node, part))
+        gram, node, count, part = gram[order], node[order], count[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        rows = []
+        for k in range(parts):
+            some = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
+                names, sizes = np.unique(node[some], return_counts=True)
+                packed = (sizes.astype(np.uint32).tobytes(), gram[some].tobytes(), count[some].tobytes())
+                rows.append((k, names, *packed))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        types = [pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 3]
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["part", "nodes", "sizes", "grams", "counts"])
 
     return run
 
@@ -362,7 +360,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one = one.select("node", "n", kept["grams"]).dropDuplicates(["node"])
     one = materialise(one)
     blocks = one.select("node", "grams").mapInArrow(_gram_blocks(buckets), GRAM_BLOCK).repartition(tasks, "bucket")
-    shared = blocks.mapInArrow(_frequencies(buckets), SHARED).repartition(tasks, "part")
+    shared = blocks.mapInArrow(_frequencies(2 * tasks), SHARED).repartition(tasks, "part")
     shared = shared.mapInArrow(_ordered, "node bigint, grams array<bigint>")
     core = one.select("node", "n").join(shared, "node").withColumn("alone", F.col("n") - F.size("grams"))
     # A text with more unshared n-grams than a linked one may miss is left out.
