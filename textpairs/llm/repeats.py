@@ -122,8 +122,11 @@ def _gram_blocks(buckets: int):
     return run
 
 
-def _repeated_grams(large: int):
-    """``key, body, grams, hot``: of each text the bucketed grams that occur again, and which of them very often."""
+PACKED = "part int, keys array<bigint>, bodies array<bigint>, sizes binary, grams binary, hot binary"
+
+
+def _repeated_grams(parts: int, large: int):
+    """The bucketed grams that occur again, and which of them very often, packed by the part their text falls into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [row for batch in batches for row in batch.to_pylist()]
@@ -137,31 +140,52 @@ def _repeated_grams(large: int):
         owner = np.concatenate(
             [np.frombuffer(b["owners"], np.uint32).astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)]
         )
-        # A text has blocks in several buckets: its entries here are one row.
-        _, text = np.unique(np.stack([keys, bodies], axis=1), axis=0, return_inverse=True)
-        whose = np.empty(text.max() + 1, np.int64)
-        whose[text] = np.arange(len(text))
-        owner = whose[text][owner]
         _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
         count = count[inverse]
-        order = np.lexsort((gram, owner))
-        order = order[count[order] > 1]
-        gram, owner, hot = gram[order], owner[order], count[order] > large
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
-        last = np.r_[first[1:], len(owner)].astype(np.int64)
-        for at in range(0, len(first), 20_000):
-            some = slice(at, at + 20_000)
-            who = owner[first[some]]
-            grams = [gram[a:b].tobytes() for a, b in zip(first[some], last[some], strict=True)]
-            often = [gram[a:b][hot[a:b]].tobytes() for a, b in zip(first[some], last[some], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[who]), pa.array(bodies[who]), pa.array(grams, pa.binary()), pa.array(often, pa.binary())],
-                names=["key", "body", "grams", "hot"],
-            )
+        again = count > 1
+        gram, owner, hot = gram[again], owner[again], (count[again] > large).astype(np.uint8)
+        part = ((keys ^ bodies).view(np.uint64) % np.uint64(parts)).astype(np.int64)[owner]
+        order = np.lexsort((owner, part))
+        gram, owner, hot, part = gram[order], owner[order], hot[order], part[order]
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        rows = []
+        for k in range(parts):
+            some = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
+                who, sizes = np.unique(owner[some], return_counts=True)
+                packed = (sizes.astype(np.uint32).tobytes(), gram[some].tobytes(), hot[some].tobytes())
+                rows.append((k, keys[who], bodies[who], *packed))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        types = [pa.int32(), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 3]
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["part", "keys", "bodies", "sizes", "grams", "hot"])
 
     return run
 
 
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, body, grams, hot``, one row per text of some parts."""
+    blocks = [row for batch in batches for row in batch.to_pylist()]
+    if not blocks:
+        return
+    sizes = np.concatenate([np.frombuffer(b["sizes"], np.uint32) for b in blocks])
+    key, body = (np.repeat(np.concatenate([np.array(b[c], np.int64) for b in blocks]), sizes) for c in ("keys", "bodies"))
+    gram = np.concatenate([np.frombuffer(b["grams"], np.uint64) for b in blocks])
+    hot = np.concatenate([np.frombuffer(b["hot"], np.uint8) for b in blocks]).astype(bool)
+    order = np.lexsort((body, key))
+    key, body, gram, hot = key[order], body[order], gram[order], hot[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1])])
+    last = np.r_[first[1:], len(key)]
+    for at in range(0, len(first), 5_000):
+        some = slice(at, at + 5_000)
+        spans = list(zip(first[some], last[some], strict=True))
+        grams = pa.array([gram[a:b].tobytes() for a, b in spans], pa.binary())
+        often = pa.array([gram[a:b][hot[a:b]].tobytes() for a, b in spans], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[first[some]]), pa.array(body[first[some]]), grams, often], names=["key", "body", "grams", "hot"]
+        )
+
+
 TEXT_RUNS = (
     "doc_id bigint, key bigint, body bigint, text binary, lo array<bigint>, hi array<bigint>, gram array<bigint>, "
     "hot array<boolean>"
@@ -176,9 +200,9 @@ def _text_runs(buckets: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = _texts(part.column(3))
-                parts = part.column(4).to_pylist()
-                grams = [np.concatenate([np.frombuffer(p["grams"], np.uint64) for p in ps]) if ps else None for ps in parts]
-                hots = [np.concatenate([np.frombuffer(p["hot"], np.uint64) for p in ps]) if ps else None for ps in parts]
+                grams, hots = (
+                    [None if g is None else np.frombuffer(g, np.uint64) for g in part.column(c).to_pylist()] for c in (4, 5)
+                )
                 found = [([], [], [], []) for _ in texts]
                 for text, lo, hi, gram, hashes in window_runs([t if g is not None else b"" for t, g in zip(texts, grams, strict=True)]):
                     bucket, place = _place(hashes, buckets)
@@ -204,9 +228,9 @@ def _text_runs(buckets: int):
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that a run's windows cover, once per batch and kind, at the earliest place."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
+        for at in range(0, batch.num_rows, 4096):
             first: dict[tuple[bytes, int], tuple[int, int, int]] = {}
-            for row in batch.slice(at, 1024).to_pylist():
+            for row in batch.slice(at, 4096).to_pylist():
                 text = row["text"]
                 for lo, hi, gram, hot in zip(row["lo"], row["hi"], row["gram"], row["hot"], strict=True):
                     if not hot:
@@ -350,9 +374,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
     rows = docs.select(col(key).cast("bigint").alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("body"), "text")
     blocks = rows.select("key", "body", "text").mapInArrow(_gram_blocks(buckets), BLOCK).repartition(tasks, "bucket")
-    again = blocks.mapInArrow(_repeated_grams(large), "key bigint, body bigint, grams binary, hot binary")
-    again = again.groupBy("key", "body").agg(F.collect_list(F.struct("grams", "hot")).alias("parts"))
-    placed = rows.join(again, ["key", "body"], "left").select("doc_id", "key", "body", "text", "parts")
+    again = blocks.mapInArrow(_repeated_grams(2 * tasks, large), PACKED).repartition(tasks, "part")
+    again = again.mapInArrow(_by_text, "key bigint, body bigint, grams binary, hot binary")
+    placed = rows.join(again, ["key", "body"], "left").select("doc_id", "key", "body", "text", "grams", "hot")
     name = f"text_runs_{uuid.uuid4().hex}"
     writer = placed.mapInArrow(_text_runs(buckets), TEXT_RUNS).write.bucketBy(tasks, "key", "body")
     writer.option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
