@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.llm.byte_bpe import encode_documents
-from textpairs.llm.common import table
+from textpairs.llm.common import digest, table
 from textpairs.llm.decontaminate import find_passages
 from textpairs.llm.jaccard_join import jaccard_classes
 from textpairs.llm.line_dedup import drop_repeated_lines
@@ -41,17 +41,45 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id; rows without id stay."""
-    classes = jaccard_classes(docs)
-    copies = materialise(classes.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each class of near copies, the one with the smallest id; texts without words stay.
+
+    The class of a row follows from its text alone, so classes are named by hashes of texts and rows are told apart by id
+    and hash: of equal ids the text with the smallest hash stays, a row without id only where no other has one, and one
+    of the rows with the same id and text.
+    """
+    rows = docs.select(*COLUMNS, *digest("text"))
+    texts = jaccard_classes(rows.select("h1", "text"), key="h1").where("n_shingles > 0")
+    texts = texts.groupBy(F.col("doc_id").alias("h1"), "component_id").agg(F.count("*").alias("n"))
+    texts = materialise(texts)
+    copied = texts.groupBy("component_id").agg(F.sum("n").alias("n")).where("n > 1").select("component_id")
+    texts = materialise(texts.join(copied, "component_id").select("h1", "component_id"))
+    named = rows.select("doc_id", "h1", "h2").join(texts, "h1")
+    named = materialise(named.groupBy("component_id", "doc_id", "h1", "h2").agg(F.count("*").alias("n")))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
+    first = named.groupBy("component_id").agg(F.min(place).alias("first"))
+    judged = named.join(first, "component_id").withColumn("stays", place.eqNullSafe(F.col("first")))
+    judged = materialise(judged.where("n > 1 or not stays").select("doc_id", "h1", "h2", "stays"))
+    kept = _rows_of(rows, judged, "left_anti").select(*COLUMNS)
+    repeated = judged.where("stays")
+    if repeated.isEmpty():
+        return kept
+    rest = F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")], "text")
+    one = _rows_of(rows, repeated, "left_semi").groupBy("doc_id", "h1", "h2").agg(F.min(rest).alias("chosen"))
+    return kept.unionByName(one.select("doc_id", "chosen.*").select(*COLUMNS))
+
+
+def _rows_of(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    """Join on id, null like any other, and hash of the text."""
+    r, s = rows.alias("r"), some.alias("s")
+    return r.join(s, F.expr("r.doc_id <=> s.doc_id and r.h1 = s.h1 and r.h2 = s.h2"), how)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with a benchmark item; rows without id stay."""
-    passages = find_passages(docs, table(spark, sf_dir, "benchmark"))
-    leaks = materialise(passages.where("doc_id is not null").select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose text shares no passage with a benchmark item, whatever their ids."""
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("body"))
+    passages = find_passages(rows, table(spark, sf_dir, "benchmark"), key="body")
+    leaks = materialise(passages.select(F.col("doc_id").alias("body")).distinct())
+    return rows.join(leaks, "body", "left_anti").select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +103,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; repeated ids share the fate of the smallest in the joins on ids."""
+    """The stages applied to ``documents``; ids may be missing or repeated, each row is judged by its own text."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))

@@ -127,3 +127,24 @@ def test_pipeline_stages_take_any_documents(spark, tmp_path):
     cases.documents(spark, rows=rows).write.parquet(f"{tmp_path}/documents.parquet")
     result = corpus_pipeline.run(spark, str(tmp_path))
     assert result.where(F.col("n_tokens") < 0).count() == 0
+
+
+def test_near_duplicates_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (cases.texts()[i] for i in (4, 5, 6, 7))
+    changed = b.split()
+    changed[30] = "changed"
+    rows = [(5, a), (7, a), (7, b), (9, " ".join(changed)), (11, c), (11, c), (None, c), (None, d), (None, d), (None, ""), (None, ""), (3, None)]
+    found = corpus_pipeline.near_duplicates(spark, cases.documents(spark, rows=rows), "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == sorted([(5, a), (7, b), (11, c), (0, d), (0, ""), (0, ""), (3, "")])
+
+
+def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
+    import corpus_pipeline
+
+    items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak, clean = cases.texts()[5], cases.texts()[4]
+    rows = [(1, leak), (1, clean), (None, leak), (None, clean), (2, None), (None, None)]
+    found = corpus_pipeline.decontamination(spark, cases.documents(spark, rows=rows), str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == sorted([(1, clean), (0, clean), (2, ""), (0, "")])
