@@ -148,3 +148,10 @@ def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
     rows = [(1, leak), (1, clean), (None, leak), (None, clean), (2, None), (None, None)]
     found = corpus_pipeline.decontamination(spark, cases.documents(spark, rows=rows), str(tmp_path))
     assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == sorted([(1, clean), (0, clean), (2, ""), (0, "")])
+
+
+def test_each_row_without_conversation_is_one_of_its_own(spark):
+    rows = [(None, i % 3, "user", f"text {i % 40}") for i in range(80)] + [(None, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "user", "ho")]
+    found = format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in found) == [(0, 1)] * 40 + [(1, 2)]
+    assert len({r.text for r in found}) == 41

@@ -31,7 +31,8 @@ def format_conversations(
     conversations share is one row.
 
     Turns are ordered by number, then role, then text; gaps do not matter and a repeated row is a turn of its own. Null
-    role or text counts as empty. Rows without id are one conversation. An empty table gives no rows; other columns
+    role or text counts as empty. Each row without id is a conversation of its own turn, of equal ones
+    one stays. An empty table gives no rows; other columns
     are left out. Only the turns of one conversation, which make one text, meet in a task.
     """
     rows = turns.select(
@@ -40,16 +41,22 @@ def format_conversations(
         F.coalesce(col(role), F.lit("")).alias("role"),
         F.coalesce(col(text), F.lit("")).alias("text"),
     )
-    hashed = rows.select("conv_id", "turn", *digest("role", "text"), F.xxhash64("role").alias("o1"), F.xxhash64("text").alias("o2"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "o1", "o2")
-    numbered = hashed.select("conv_id", "turn", "o1", "o2", "h1", "h2", F.row_number().over(order).alias("k"))
-    tagged = numbered.select("conv_id", "turn", "o1", "o2", "k", *digest("k", "h1", "h2"))
+    # Nothing ties rows without id together, so their content is their key.
+    loose = rows.where("conv_id is null").groupBy("conv_id", "role", "text").agg(F.min("turn").alias("turn"))
+    rows = rows.where("conv_id is not null").unionByName(loose)
+    keys = ["conv_id", "own1", "own2"]
+    unnamed = F.col("conv_id").isNull()
+    rows = rows.withColumns({"own1": F.when(unnamed, F.xxhash64("role", "text")), "own2": F.when(unnamed, F.xxhash64(F.lit(1), "role", "text"))})
+    hashed = rows.select(*keys, "turn", *digest("role", "text"), F.xxhash64("role").alias("o1"), F.xxhash64("text").alias("o2"))
+    order = Window.partitionBy(*keys).orderBy("turn", "o1", "o2")
+    numbered = hashed.select(*keys, "turn", "o1", "o2", "h1", "h2", F.row_number().over(order).alias("k"))
+    tagged = numbered.select(*keys, "turn", "o1", "o2", "k", *digest("k", "h1", "h2"))
     rolled = tagged.select(
-        "conv_id",
+        *keys,
         "k",
         F.bit_xor("h1").over(order).alias("p1"),
         F.bit_xor("h2").over(order).alias("p2"),
-        F.count("*").over(Window.partitionBy("conv_id")).alias("n"),
+        F.count("*").over(Window.partitionBy(*keys)).alias("n"),
     )
     rolled = materialise(rolled)
     ends = F.col("k") == F.col("n")
@@ -60,9 +67,9 @@ def format_conversations(
     )
     # Without an id beside it a conversation is first in its kind.
     alone = (F.col("longest") == F.col("n")) & (F.col("conv_id").eqNullSafe(F.col("first")) & (~F.col("unnamed") | F.col("conv_id").isNull()) | F.col("conv_id").isNull() & F.col("unnamed"))
-    maximal = rolled.where(ends).join(heads, ["k", "p1", "p2"]).where(alone).select(F.col("conv_id").alias("kept"))
-    kept = rows.join(materialise(maximal), F.col("conv_id").eqNullSafe(F.col("kept")), "left_semi")
+    maximal = rolled.where(ends).join(heads, ["k", "p1", "p2"]).where(alone).select(*[F.col(k).alias(f"kept_{k}") for k in keys])
+    kept = rows.join(materialise(maximal), [F.col(k).eqNullSafe(F.col(f"kept_{k}")) for k in keys], "left_semi")
     one = F.struct("turn", F.xxhash64("role").alias("o1"), F.xxhash64("text").alias("o2"), "role", "text")
-    grouped = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    grouped = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("turns"))
     lines = F.transform("turns", lambda t: turn_text(t["role"], t["text"]))
     return grouped.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.array_join(lines, "").alias("text"))
