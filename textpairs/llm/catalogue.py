@@ -16,8 +16,11 @@ from textpairs.llm.licenses import scan_licenses
 from textpairs.llm.line_dedup import drop_repeated_lines
 from textpairs.llm.quality import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, screen_documents
 from textpairs.llm.repeats import remove_repeats
+from textpairs.llm.sentence_pieces import encode_pieces
 from textpairs.llm.sharding import curve_automaton, hilbert_shards
+from textpairs.llm.structure import damage, repair_conversations
 from textpairs.llm.token_counts import count_tokens
+from textpairs.llm.vector_codes import Codebooks, compress_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -227,3 +230,110 @@ def op7_snapshot_collapse(spark, sf_dir):
 @query()
 def op8_conditional_compression(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _repair_sql() -> str:
+    """One step of the cheapest edits per state (nothing yet, system, user, assistant): nine digits of cost, then the edits."""
+
+    def after(state: str, cost: str, edit: str) -> str:
+        return f"(CASE WHEN {state} = '~' THEN '~' ELSE lpad((left({state}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{edit}' END)"
+
+    def stays(state: str, to: str) -> str:
+        keep = after(state, "(x[2] = 'truncated')::INT * 3", "K")
+        rerole = after(state, "3 + (x[2] = 'truncated')::INT * 3", "R")
+        return f"(CASE WHEN x[2] IN ('blank', 'duplicate') THEN '~' WHEN x[1] = '{to}' THEN {keep} ELSE {rerole} END)"
+
+    system = f"(CASE WHEN x[1] = 's' AND x[2] NOT IN ('blank', 'duplicate') THEN {after('c[1]', "(x[2] = 'truncated')::INT * 3", 'K')} ELSE '~' END)"
+    empty, user, assistant = (after(f"c[{i}]", "4", "D") for i in (1, 3, 4))
+    rows = f"""[{empty}, least({after('c[2]', '4', 'D')}, {system}),
+      least({user}, {stays('c[1]', 'u')}, {stays('c[2]', 'u')}, {stays('c[4]', 'u')}), least({assistant}, {stays('c[3]', 'a')})]"""
+    inserted = f"[v[1], v[2], least(v[3], {after('v[1]', '3', 'I')}, {after('v[2]', '3', 'I')}, {after('v[4]', '3', 'I')}), v[4]]"
+    closed = f"[w[1], w[2], w[3], least(w[4], {after('w[3]', '3', 'I')})]"
+    return f"list_transform(list_transform([{rows}], lambda v: {inserted}), lambda w: {closed})[1]"
+
+
+OP11_SQL = rf"""WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS h FROM conversations),
+harmed AS (SELECT *, xor(list_reduce(range(strlen(h)::BIGINT), lambda c, k: xor(c >> 8, t[(xor(c, unicode(substr(h, k + 1, 1))) & 255) + 1]),
+  4294967295::BIGINT), 4294967295) % 20 AS harm FROM src, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+  CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM harmed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed),
+kinds AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'sound' END AS kind FROM numbered),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'truncated') AS truncated,
+  count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal, list([ini, kind] ORDER BY i) AS steps,
+  list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts FROM kinds GROUP BY conv_id),
+solved AS (SELECT *, list_reduce(steps, lambda c, x: {_repair_sql()}, ['000000000', '~', '000000003I', '000000006II']) AS c FROM counted),
+best AS (SELECT * EXCLUDE (c), left(least(c[1], c[4]), 9)::BIGINT AS cost, substr(least(c[1], c[4]), 10) AS audit FROM solved),
+edits AS (SELECT conv_id, roles, texts, unnest(range(1, length(audit) + 1)) AS k, audit, audit[k] AS e,
+  length(replace(audit[1:k], 'I', '')) AS place, length(replace(audit[1:k], 'D', '')) AS nth FROM best),
+opened AS (SELECT conv_id, max((nth = 1 AND e = 'K' AND left(roles[place], 1) = 's')::INT) AS system FROM edits WHERE e <> 'D' GROUP BY 1),
+lines AS (SELECT e.conv_id, k, CASE WHEN e = 'K' THEN roles[place] WHEN (nth - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+  || ':' || CASE WHEN e = 'I' THEN '' ELSE texts[place] END AS line FROM edits e JOIN opened o ON o.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e <> 'D'),
+whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS body FROM lines GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query(OP11_SQL)
+def op11_auction_repair(spark, sf_dir):
+    rows = repair_conversations(damage(table(spark, sf_dir, "conversations")), present=F.col("present"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return rows.select(*[c for c in rows.columns if c != "turns"], F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+@query()
+def op12_sentence_pieces(spark, sf_dir):
+    rows = encode_pieces(table(spark, sf_dir, "documents"), packed=True)
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def _codes_sql() -> str:
+    """The books of each round, from those of the round before."""
+    nearest = """SELECT rid, label, v.p, v.v, min(list_sum(list_transform(range(1, len(v.v) + 1),
+      lambda i: (v.v[i] - b.v[i]) * (v.v[i] - b.v[i])))::BIGINT * 64 + b.e) AS m FROM parts v JOIN {books} b ON b.p = v.p GROUP BY ALL"""
+    means = """SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM {books} b LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+      FROM (SELECT p, m % 64 AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM {near}, range(1, (SELECT max(len(v)) FROM parts) + 1) r(i) GROUP BY ALL)
+      GROUP BY ALL) n ON n.p = b.p AND n.e = b.e"""
+    out = []
+    for k in range(2):
+        out.append(f"near{k} AS ({nearest.format(books=f'books{k}')}), books{k + 1} AS ({means.format(books=f'books{k}', near=f'near{k}')})")
+    return ",\n".join([*out, f"near2 AS ({nearest.format(books='books2')})"])
+
+
+OP13_SQL = rf"""WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS rid,
+  list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT rid, label, p, q[p * len(q) // 16 + 1 : (p + 1) * len(q) // 16] AS v FROM kept, range(16) r(p)),
+books0 AS (SELECT p, rid AS e, v FROM parts WHERE rid < 64),
+{_codes_sql()},
+coded AS (SELECT rid, label, string_agg(lpad(lower(to_hex(m % 64)), 2, '0'), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM near2 GROUP BY ALL),
+hashed AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY c.label)::BIGINT AS label_error, codebooks_sha256
+FROM coded c JOIN kept USING (rid), hashed"""
+
+
+@query(OP13_SQL)
+def op13_memoised_cells(spark, sf_dir):
+    rows, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    digest = Codebooks(books).digest() if books is not None else None
+    return rows.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(digest).cast("string").alias("codebooks_sha256"))
