@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -16,7 +17,7 @@ from sentencepiece import sentencepiece_model_pb2
 from textpairs.llm.common import col
 
 MODEL = "piece_bpe_32k.model"
-CACHED = 150_000
+CACHED = 300_000
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -51,28 +52,29 @@ class PieceModel:
         types = {p.type for p in proto.pieces}
         rules = proto.normalizer_spec
         plain = not rules.precompiled_charsmap and not rules.remove_extra_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix
-        if proto.trainer_spec.model_type != proto.trainer_spec.BPE or not plain or types - {NORMAL, UNKNOWN, CONTROL, BYTE}:
-            raise ValueError("only merge models without normalisation and without symbols of the user's")
+        if proto.trainer_spec.model_type != proto.trainer_spec.BPE or not plain or types != {NORMAL, UNKNOWN, CONTROL, BYTE}:
+            raise ValueError("only merge models with byte pieces, without normalisation and without symbols of the user's")
         self.cached = cached
         self.prefix = BLANK if rules.add_dummy_prefix else ""
         self.begin, self.finish = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id
-        self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.scores = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
         self.numbers = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        # Tokens are numbers of pieces, and behind these the other characters.
+        self.n = len(proto.pieces)
+        self.texts = [p.piece for p in proto.pieces]
+        self.sizes = list(map(len, self.texts))
         # Run over a reversed stretch, it finds for each place the longest piece that starts there.
         self.backwards = ahocorasick.Automaton()
-        for piece in self.scores:
-            self.backwards.add_word(piece[::-1], len(piece))
+        for piece, number in self.numbers.items():
+            self.backwards.add_word(piece[::-1], number)
         self.backwards.make_automaton()
-        # No piece goes on with a blank after another character, or else the whole text is one stretch.
-        apart = not any(BLANK in p.lstrip(BLANK) for p in self.scores)
-        self.stretches = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if apart else "(?s).+")
+        self.stretches = re.compile(self._stretches())
         self.known = _Known(self)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-        self.next_shorter: dict[str, str | None] = {}
+        self.pairs: dict[int, bool] = {}
+        self.alone: dict[int, bool] = {}
+        self.next_shorter: dict[int, int | None] = {}
         surface = {
             NORMAL: lambda p: p.piece.replace(BLANK, " ").encode(),
             UNKNOWN: lambda p: proto.trainer_spec.unk_surface.encode(),
@@ -95,70 +97,102 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, last: str | None, token: str) -> bool:
-        if last is None:
+    def _stretches(self) -> str:
+        """Pattern of the stretches that no merge joins: blanks with letters, or blanks with other characters.
+
+        That holds where no piece has a letter beside a character that is none, or a blank behind another character. Letters that
+        some piece has beside others count among these. For other vocabularies the whole text is one stretch.
+        """
+        beside = {pair for piece in self.scores for pair in zip(piece, piece[1:])}
+        odd, letter = "", re.compile(r"[^\W\d_]")
+        for _ in range(2):
+            mixed = {a if letter.match(a) else b for a, b in beside if a != BLANK and bool(letter.match(a)) != bool(letter.match(b))}
+            if not mixed:
+                return f"{BLANK}*(?:[^\\W\\d_{odd}]+|(?:(?!{BLANK})[\\W\\d_{odd}])+)|{BLANK}+"
+            odd = "".join(map(re.escape, sorted(mixed)))
+            letter = re.compile(rf"[^\W\d_{odd}]")
+        return "(?s).+" if any(b == BLANK != a for a, b in beside) else f"{BLANK}*[^{BLANK}]+|{BLANK}+"
+
+    def _text(self, token: int) -> str:
+        return self.texts[token] if token < self.n else chr(token - self.n)
+
+    def _token(self, text: str) -> int:
+        number = self.numbers.get(text)
+        return self.n + ord(text) if number is None else number
+
+    def _fits(self, last: int, token: int) -> bool:
+        """Whether the merges leave a token, behind another one if ``last`` is not negative, as it is."""
+        if last < 0:
             if token not in self.alone:
                 if len(self.alone) >= 2 * self.cached:
                     self.alone.clear()
-                self.alone[token] = self.merged(token) == [token]
+                text = self._text(token)
+                self.alone[token] = self.merged(text) == [text]
             return self.alone[token]
-        found = self.pairs.get((last, token))
+        key = last << 32 | token
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= 2 * self.cached:
                 self.pairs.clear()
-            found = self.pairs[last, token] = self.merged(last + token) == [last, token]
+            two = [self._text(last), self._text(token)]
+            found = self.pairs[key] = self.merged("".join(two)) == two
         return found
 
-    def _shorter(self, token: str) -> str | None:
-        if len(token) == 1:
-            return None
-        if token not in self.next_shorter:
-            starts = (token[:n] for n in range(len(token) - 1, 1, -1))
-            self.next_shorter[token] = next((t for t in starts if t in self.scores), token[:1])
-        return self.next_shorter[token]
-
-    def segment(self, text: str) -> list[str]:
-        """Tokens of a stretch of text: pieces, and characters that are none."""
-        if text in self.scores and self._fits(None, text):
-            return [text]
-        n, longest = len(text), [1] * len(text)
-        for end, size in self.backwards.iter(text[::-1]):
-            if size > longest[n - 1 - end]:
-                longest[n - 1 - end] = size
+    def _shorter(self, token: int) -> int:
+        """The next shorter token with which a token's text starts, -1 for none."""
+        found = self.next_shorter.get(token)
+        if found is None:
+            text = self._text(token)
+            starts = (text[:n] for n in range(len(text) - 1, 0, -1))
+            found = next((self._token(t) for t in starts if len(t) == 1 or t in self.numbers), -1)
+            if len(self.next_shorter) >= 2 * self.cached:
+                self.next_shorter.clear()
+            self.next_shorter[token] = found
+        return found
+
+    def segment(self, text: str) -> list[int]:
+        """Tokens of a stretch of text."""
+        n, sizes, count = len(text), self.sizes, self.n
+        longest, width = [-1] * n, [0] * n
+        for end, number in self.backwards.iter(text[::-1]):
+            at = n - 1 - end
+            if sizes[number] > width[at]:
+                longest[at], width[at] = number, sizes[number]
         failed = bytearray(n // 8 + 1)
-        pairs, at, out = self.pairs, 0, []
-        token: str | None = text[: longest[0]]
+        pairs, fits, at, out, last = self.pairs.get, self._fits, 0, [], -1
+        token = -2
         while at < n:
-            last = out[-1] if out else None
-            while token is not None:
-                end = at + len(token)
+            if token == -2:
+                token = longest[at]
+                if token < 0:
+                    token = count + ord(text[at])
+            while token >= 0:
+                end = at + (sizes[token] if token < count else 1)
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    fits = pairs.get((last, token))
-                    if self._fits(last, token) if fits is None else fits:
+                    known = pairs(last << 32 | token) if last >= 0 else None
+                    if fits(last, token) if known is None else known:
                         break
                 token = self._shorter(token)
-            if token is not None:
+            if token >= 0:
                 out.append(token)
-                at += len(token)
-                token = text[at : at + longest[at]] if at < n else None
+                last, at, token = token, end, -2
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
-                at -= len(token)
-                token = self._shorter(token)
+                at -= sizes[token] if token < count else 1
+                last, token = out[-1] if out else -1, self._shorter(token)
         return out
 
-    def ids(self, tokens: list[str]) -> bytes:
+    def ids(self, tokens: list[int]) -> bytes:
+        if not tokens or max(tokens) < self.n:
+            return array("i", tokens).tobytes()
         out = []
         for token in tokens:
-            number = self.numbers.get(token)
-            if number is not None:
-                out.append(number)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in token.encode())
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+            if token < self.n:
+                out.append(token)
+            else:
+                out.extend(self.bytes[b] for b in chr(token - self.n).encode())
+        return array("i", out).tobytes()
 
     def encode(self, text: str, framed: bool = True) -> bytes:
         """Ids of a whole text as 32-bit integers; an empty one has none but the frame."""
