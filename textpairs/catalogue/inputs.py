@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.functions.sequences import assemble_pair
 from textpairs.functions.text import KNOWN_TYPOS
-from textpairs.operators.spans import enumerate_spans
+from textpairs.operators.attention import SpanAttention
+from textpairs.operators.spans import span_blocks, spans_of
 from textpairs.operators.vocab import encode_texts
 from textpairs.schema import UNLABELLED
+from textpairs.storage import materialise
 
 LINES_PER_DOCUMENT = 1_000_000
 TURNS_PER_CONVERSATION = 1000
@@ -127,16 +131,16 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_spans(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
-    """All spans of the dialog pairs with a fixed score and a vector of four numbers; the sequences are dealt by row."""
+def span_attention(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> SpanAttention:
+    """All spans of the dialog pairs with a fixed score and a vector of four numbers."""
     ids = encode_texts(dialog(spark, sf_dir), {"premise": "p", "hypothesis": "h"}, vocab)
-    sequences = ids.select(F.col("index").alias("row_id"), assemble_pair("p", "h", 512).alias("input_ids")).withColumn(
-        "length", F.size("input_ids")
-    )
+    sequences = ids.select(F.col("index").alias("row_id"), assemble_pair("p", "h", 512).alias("input_ids"))
+    blocks = span_blocks(sequences.withColumn("length", F.size("input_ids")), ["row_id"])
     start, end = F.col("span_start"), F.col("span_end")
     score = ((F.col("row_id") * 7 + start * 3 + end * 5) % 11).cast("double") / 4.0
-    return (
-        enumerate_spans(sequences.repartition("row_id"), ["row_id"])
-        .withColumn("score", score)
-        .withColumn("vec", F.array(start / 10.0, end / 10.0, (end - start).cast("double"), score))
-    )
+
+    def scored(some: DataFrame, keep: Sequence[str]) -> DataFrame:
+        vec = F.array(start / 10.0, end / 10.0, (end - start).cast("double"), F.col("score"))
+        return spans_of(some, keep).withColumn("score", score).withColumn("vec", vec)
+
+    return SpanAttention(materialise(blocks), scored)

@@ -15,6 +15,7 @@ from textpairs.functions import text
 from textpairs.functions.labels import decode_label, encode_label
 from textpairs.functions.scores import argmax, softmax
 from textpairs.operators import augment, batches, models, pooling, profile, rank, rows, sample, scoring, spans, split
+from textpairs.operators.attention import SpanAttention
 from textpairs.operators.dedup import dedup_keep_first
 from textpairs.operators.vocab import build_vocab
 from textpairs.plans import corpus, inference, sequences, training
@@ -615,14 +616,14 @@ weights AS (SELECT *, x / sum(x) OVER (PARTITION BY row_id) AS weight FROM shift
 _WEIGHTED = (*_DIALOG_IDS, sql.assembled(512), _WEIGHTS)
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pooling.masked_softmax(inputs.scored_spans(spark, sf_dir, _vocabulary(spark, sf_dir, inputs.dialog)))
+def _attention(spark: SparkSession, sf_dir: str) -> SpanAttention:
+    return inputs.span_attention(spark, sf_dir, _vocabulary(spark, sf_dir, inputs.dialog))
 
 
 @query(_with(*_WEIGHTED) + """ SELECT row_id, s::int AS span_start, count(*) AS n, sum(e)::bigint AS end_sum, round(sum(weight), 9) AS weight,
     round(sum(weight * e), 6) AS end_weight FROM weights GROUP BY ALL""")
 def masked_softmax(spark, sf_dir):
-    sums = _weights(spark, sf_dir).groupBy("row_id", "span_start").agg(
+    sums = _attention(spark, sf_dir).weights().groupBy("row_id", "span_start").agg(
         F.count("*").alias("n"),
         F.sum("span_end").alias("end_sum"),
         F.round(F.sum("weight"), 9).alias("weight"),
@@ -637,7 +638,7 @@ def masked_softmax(spark, sf_dir):
     round(sum(weight * (e - s)), 6) AS v2, round(sum(weight * score), 6) AS v3 FROM weights GROUP BY row_id"""
 )
 def weighted_pool(spark, sf_dir):
-    pooled = pooling.weighted_pool(_weights(spark, sf_dir))
+    pooled = _attention(spark, sf_dir).pool("vec", 4)
     return pooled.select("row_id", *[F.round(F.col("pooled")[i], 6).alias(f"v{i}") for i in range(4)])
 
 
@@ -647,7 +648,7 @@ def weighted_pool(spark, sf_dir):
     e::int AS span_end, round(weight, 9) AS weight FROM weights QUALIFY rank <= 5"""
 )
 def top_spans(spark, sf_dir):
-    top = pooling.top_spans(_weights(spark, sf_dir), 5)
+    top = _attention(spark, sf_dir).top(5)
     return top.select("row_id", _big("rank").alias("rank"), "span_start", "span_end", F.round("weight", 9).alias("weight"))
 
 
@@ -656,7 +657,7 @@ def top_spans(spark, sf_dir):
     + """ SELECT round(avg(q), 9) AS regulariser FROM (SELECT sum(weight * weight) AS q FROM weights GROUP BY row_id)"""
 )
 def span_regulariser(spark, sf_dir):
-    df = pooling.span_regulariser(_weights(spark, sf_dir))
+    df = _attention(spark, sf_dir).regulariser()
     return df.withColumn("regulariser", F.round("regulariser", 9))
 
 

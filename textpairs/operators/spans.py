@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from textpairs.functions.sequences import first_separator, span_mask
 
+BLOCK, STARTS = "_block", "_starts"
+BLOCK_SPANS = 32_768
+TASK_SPANS = 2_000_000
+
 
 def _range(first: Column, last: Column) -> Column:
     """first..last as an array, empty when last < first (``sequence`` would count down)."""
@@ -66,3 +70,39 @@ def valid_spans(
         F.col("_last")
     )
     return _with_ends(starts, keep, stop, max_width)
+
+
+def span_blocks(
+    df: DataFrame, keep: Sequence[str], ids: str = "input_ids", length: str = "length", size: int = BLOCK_SPANS
+) -> DataFrame:
+    """Blocks of neighbouring starts with about ``size`` spans each, the ids left behind; ``spans_of`` makes their spans.
+
+    A row's blocks need not lie in one task, so a long row is no hot spot.
+    """
+    last = F.size(ids) - 2
+    rows = df.select(
+        *keep, F.col(length).cast("int").alias("_length"), first_separator(ids).alias("_middle"), last.alias("_last")
+    )
+    step = F.greatest(F.lit(1), F.floor(F.lit(size) / F.greatest(F.col("_last"), F.lit(1)))).cast("int")
+    first = F.when(F.col("_last") >= 1, F.sequence(F.lit(1), F.col("_last"), step)).otherwise(F.array().cast("array<int>"))
+    blocks = rows.select("*", step.alias("_step"), F.posexplode(first).alias(BLOCK, "_first"))
+    starts = F.sequence(F.col("_first"), F.least(F.col("_first") + F.col("_step") - 1, F.col("_last")))
+    return blocks.select(*keep, "_length", "_middle", "_last", BLOCK, starts.alias(STARTS))
+
+
+def deal_blocks(blocks: DataFrame, row: str, task_spans: int = TASK_SPANS) -> DataFrame:
+    """Blocks dealt to as many tasks as their spans need, and to each core one at least.
+
+    The number is given, since the runtime would merge partitions by the bytes of the blocks, which say nothing of the spans.
+    """
+    spans = F.sum(F.size(STARTS).cast("bigint") * F.col("_last"))
+    tasks = -(-(blocks.agg(spans.alias("n")).first()["n"] or 0) // (2 * task_spans))
+    return blocks.repartition(max(tasks, blocks.sparkSession.sparkContext.defaultParallelism), row, BLOCK)
+
+
+def spans_of(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Every ``start <= end <= L - 2`` of the blocks' starts with its mask, made where the block is."""
+    starts = blocks.select(*keep, "_length", "_middle", "_last", F.explode(STARTS).alias("span_start"))
+    ends = starts.select("*", F.explode(_range(F.col("span_start"), F.col("_last"))).alias("span_end"))
+    mask = span_mask("span_start", "span_end", "_length", "_middle")
+    return ends.select(*keep, "span_start", "span_end", mask.alias("span_mask"))
