@@ -71,7 +71,7 @@ def test_vocabulary_takes_the_most_frequent_words(spark, size):
 def test_positions_follow_the_rows_in_any_number_of_buckets(spark):
     df = spark.range(0, 1000, 7).select(F.col("id").alias("index"))
     for per_bucket in (10, 100_000):
-        found = rows(rank.with_position(df, rows_per_bucket=per_bucket), "index")
+        found = rows(rank.with_position(df, rows_per_piece=per_bucket), "index")
         assert [p for _, p in found] == list(range(len(found)))
     assert rank.with_position(df.limit(0)).count() == 0
 
@@ -121,6 +121,6 @@ def test_rows_without_key_are_no_duplicates(spark):
 def test_positions_in_a_mixed_corpus(spark):
     one, two = (spark.range(n).select(F.col("id").alias("index"), F.lit("p").alias("premise"), F.lit("h").alias("hypothesis"), F.lit(0).alias("label")) for n in (30, 20))
     mixed = sample.mix(b=one, a=two)
-    found = rank.with_position(mixed, ["source", "index"], rows_per_bucket=7)
+    found = rank.with_position(mixed, ["source", "index"], rows_per_piece=7)
     got = sorted((r["source"], r["index"], r["position"]) for r in found.collect())
     assert [p for _, _, p in got] == list(range(50))

@@ -120,7 +120,7 @@ def test_string_labels_and_compound_keys(spark):
 @pytest.mark.parametrize("index", [range(0, 5000, 5), [i**3 for i in range(1000)], [2**61 + i for i in range(1000)]])
 def test_source_positions(spark, index):
     df = spark.createDataFrame([(i,) for i in index], "index bigint").repartition(5)
-    got = rows(rank.with_position(df, rows_per_bucket=100), "index")
+    got = rows(rank.with_position(df, rows_per_piece=100), "index")
     assert got == [(i, n) for n, i in enumerate(sorted(index))]
 
 

@@ -271,7 +271,7 @@ def shuffled_positions(spark, sf_dir):
 
 @query(_with(sql.COMPLETE) + ' SELECT idx AS "index", row_number() OVER (ORDER BY idx) - 1 AS position FROM complete')
 def source_positions(spark, sf_dir):
-    return rank.with_position(_stored(spark, sf_dir, "index"), rows_per_bucket=1000)
+    return rank.with_position(_stored(spark, sf_dir, "index"), rows_per_piece=1000)
 
 
 @query(

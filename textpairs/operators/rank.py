@@ -18,7 +18,6 @@ from math import ceil
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,10 +25,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from textpairs.functions.hashing import DRAW_BITS, draw
+from textpairs.storage import materialise
 
 BUCKET_BITS = 16
 MAX_BUCKET_BITS = 20
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_PIECE = 200_000
+PIECE_BITS = 33
 MAX_GROUPS = 10_000
 
 
@@ -45,9 +46,8 @@ def hash_bucket(h: Column, bits: int = BUCKET_BITS) -> Column:
 
 
 def _positions(df: DataFrame, bucket: Column, order: Sequence[str], position: str) -> DataFrame:
-    """Add the dense 0-based position in (bucket, order); there is a bucket per
-    ``ROWS_PER_BUCKET`` rows or ``2**MAX_BUCKET_BITS``, and one offset for each. The planner decides by the size
-    found at run time whether the offsets are sent around."""
+    """Add the dense 0-based position in (bucket, order); there is one offset for each bucket. The planner decides by the
+    size found at run time whether the offsets are sent around."""
     df = df.withColumn("_bucket", bucket)
     offsets = (
         df.groupBy("_bucket")
@@ -70,27 +70,28 @@ def _positions(df: DataFrame, bucket: Column, order: Sequence[str], position: st
 
 def with_position(
     df: DataFrame,
-    order: str | Sequence[str] = "index",
+    order: str | Column | Sequence[str | Column] = "index",
     position: str = "position",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
-    """Dense 0-based row number in the order of a unique key: a numeric column, after columns of few values if there are
-    more (``source, index`` of a mixed corpus).
+    """Dense 0-based row number in the order of a unique key, of one column or several, of any orderable type.
 
-    Bucket borders are approximate quantiles of the numeric column, so gaps and dense stretches of ids give
-    even buckets; the result does not depend on where the borders fall. Borders are found on call
-    from the one column, so pass a stored frame rather than a long lineage.
+    Rows are dealt into ordered pieces, sorted there and stored with their place in the piece; the size of the pieces
+    before is added. So a row is shuffled once, no task sees more than a piece, and gaps, dense stretches and outliers of
+    the key do not matter: borders come from a sample of it, and the result does not depend on where they fall.
     """
-    *lead, last = as_key(order)
-    buckets = max(ceil(df.count() / rows_per_bucket), 1)
-    shares = [i / buckets for i in range(1, buckets)] or [0.5]
-    found = df.agg(F.percentile_approx(F.col(last).cast("double"), shares, 10 * buckets)).first()[0] or []
-    splits = [-float("inf"), *(sorted(set(found)) or [0.0]), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol="_at", handleInvalid="error").transform(
-        df.withColumn("_order", F.col(last).cast("double"))
-    )
-    bucket = F.struct(*lead, F.col("_at").cast("int").alias("_at"))
-    return _positions(bucketed.drop("_order"), bucket, [*lead, last], position).drop("_at")
+    order = [order] if isinstance(order, (str, Column)) else list(order)
+    pieces = max(ceil(df.count() / rows_per_piece), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = df.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
+    stored = materialise(sorted_.withColumn("_at", F.monotonically_increasing_id()))
+    # The number of the partition stands above the number of the row in it.
+    piece = F.shiftright("_at", PIECE_BITS).cast("int")
+    inside = F.col("_at").bitwiseAND((1 << PIECE_BITS) - 1)
+    sizes = stored.groupBy(piece.alias("_piece")).agg((F.max(inside) + 1).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_piece", F.coalesce(before, F.lit(0)).alias("_offset"))
+    placed = stored.withColumn("_piece", piece).join(offsets, "_piece")
+    return placed.withColumn(position, (F.col("_offset") + inside).cast("bigint")).drop("_piece", "_offset", "_at")
 
 
 def seeded_shuffle(

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpairs.functions.text import words
+from textpairs.operators.rank import with_position
 from textpairs.schema import FIRST_TOKEN_ID, UNKNOWN_ID
+from textpairs.storage import materialise, materialise_bucketed
 
 MAX_VOCABULARY = 2_000_000
+BLOCK_BITS = 12
 _INDEXES: dict[str, dict[str, int]] = {}
 
 
@@ -36,23 +39,22 @@ def build_vocab(
 
     Words are counted before the shuffle, so the commonest word is no hot spot. How many words share a count
     is a small table, one row per count; its running sum tells the smallest count that is still taken, so only
-    words at or above it go on, and words of one count are ranked on their own.
+    words at or above it go on. These are dealt into ordered pieces of count and word, so that the words of one count, of
+    which most occur once or twice, are ranked in as many tasks as there are pieces.
     """
-    if size is not None and size > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary is held whole by every task; at most {MAX_VOCABULARY} words")
     # Nulls are skipped by explode; each column is split on its own, so no word spans two texts.
     every = F.concat(*[F.coalesce(words(c), F.array().cast("array<string>")) for c in cols])
-    counted = df.select(F.explode(every).alias("token")).groupBy("token").agg(F.count("*").alias("token_count"))
-    before = W.orderBy(F.desc("token_count")).rowsBetween(W.unboundedPreceding, -1)
-    levels = counted.groupBy("token_count").agg(F.count("*").alias("_n"))
-    levels = levels.select("token_count", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counted = materialise(df.select(F.explode(every).alias("token")).groupBy("token").agg(F.count("*").alias("token_count")))
     if size is not None:
-        levels = levels.where(F.col("_before") < size)
-    inside = F.row_number().over(W.partitionBy("token_count").orderBy("token"))
-    ranked = counted.join(levels, "token_count").withColumn("_rank", F.col("_before") + inside)
+        before = W.orderBy(F.desc("token_count")).rowsBetween(W.unboundedPreceding, -1)
+        levels = counted.groupBy("token_count").agg(F.count("*").alias("_n"))
+        levels = levels.select("token_count", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        least = levels.where(F.col("_before") < size).agg(F.min("token_count")).first()[0]
+        counted = counted.where(F.col("token_count") >= F.lit(least))
+    ranked = with_position(counted, [F.desc("token_count"), F.col("token")], "_position")
     if size is not None:
-        ranked = ranked.where(F.col("_rank") <= size)
-    return ranked.select("token", "token_count", (F.col("_rank") + (FIRST_TOKEN_ID - 1)).cast("int").alias("token_id"))
+        ranked = ranked.where(F.col("_position") < size)
+    return ranked.select("token", "token_count", (F.col("_position") + FIRST_TOKEN_ID).cast("int").alias("token_id"))
 
 
 def encode_texts(
@@ -64,25 +66,58 @@ def encode_texts(
 ) -> DataFrame:
     """Add an id array per text column: ``cols`` maps a text column to its output column.
 
-    The vocabulary (checked size) is sent to each worker once, indexed there once, and looked up for the distinct
-    words of a batch, so rows stay where they are: no exploded words, no exchange, no regrouping. ``specials``
-    are words with ids of their own.
+    A vocabulary of at most ``MAX_VOCABULARY`` words is sent to each worker once, indexed there once, and looked up for the
+    distinct words of a batch, so rows stay where they are: no exploded words, no exchange, no regrouping. A larger one
+    stays dealt out, and the distinct words of blocks of rows go to it. ``specials`` are words with ids of their own.
     """
-    entries = vocab.select("token", F.col("token_id").cast("int")).limit(MAX_VOCABULARY + 1).toArrow()
-    if entries.num_rows > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary larger than {MAX_VOCABULARY}")
+    if vocab.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
+        return _encode_blocks(df, cols, vocab, unknown, dict(specials or {}))
+    entries = vocab.select("token", F.col("token_id").cast("int")).toArrow()
     shared = df.sparkSession.sparkContext.broadcast((entries["token"].combine_chunks(), entries["token_id"].combine_chunks()))
     name, special = uuid.uuid4().hex, dict(specials or {})
 
     def look_up(batch: pa.Array) -> pa.Array:
-        index = _index(name, shared, special)
-        offsets = pa.array(pc.add(pc.subtract(batch.offsets, batch.offsets[0]), 0), pa.int32())
-        words_ = batch.flatten().dictionary_encode()
-        ids = pa.array([index.get(word, unknown) for word in words_.dictionary.to_pylist()], pa.int32())
-        filled = pc.fill_null(pc.take(ids, words_.indices), unknown)
-        mask = batch.is_null() if batch.null_count else None
-        return pa.ListArray.from_arrays(offsets, filled, mask=mask)
+        return _looked_up(batch, _index(name, shared, special), unknown)
 
     # Marked so that a later filter on the ids is not pushed below and the lookup run once for each.
     encode = F.arrow_udf(look_up, T.ArrayType(T.IntegerType())).asNondeterministic()
     return reduce(lambda out, c: out.withColumn(c[1], encode(words(c[0]))), cols.items(), df)
+
+
+def _looked_up(batch: pa.Array, index: dict[str, int], unknown: int) -> pa.Array:
+    """Id arrays of an array of word arrays; each distinct word is looked up once."""
+    offsets = pa.array(pc.add(pc.subtract(batch.offsets, batch.offsets[0]), 0), pa.int32())
+    words_ = batch.flatten().dictionary_encode()
+    ids = pa.array([index.get(word, unknown) for word in words_.dictionary.to_pylist()], pa.int32())
+    filled = pc.fill_null(pc.take(ids, words_.indices), unknown)
+    mask = batch.is_null() if batch.null_count else None
+    return pa.ListArray.from_arrays(offsets, filled, mask=mask)
+
+
+def _encode_blocks(
+    df: DataFrame, cols: dict[str, str], vocab: DataFrame, unknown: int, specials: dict[str, int]
+) -> DataFrame:
+    """Blocks of neighbouring rows ask a dealt-out vocabulary for their distinct words.
+
+    Rows are stored once, dealt by their block, and do not move again; what is shuffled is a block's distinct words and
+    the small dictionary that comes back. A frequent word is asked for once per block, and the runtime may split its rows.
+    """
+    spark = df.sparkSession
+    split = {f"_words{i}": words(c) for i, c in enumerate(cols)}
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialise_bucketed(df.withColumns(split).withColumn("_block", block), buckets, "_block")
+    every = F.concat(*[F.coalesce(w, F.array().cast("array<string>")) for w in split])
+    asked = rows.select(F.col("_block").alias("_of"), F.explode(F.array_distinct(every)).alias("token")).distinct()
+    known = asked.join(vocab.select("token", F.col("token_id").cast("int").alias("token_id")), "token")
+    kept, columns = df.columns, list(zip(cols.values(), split, strict=True))
+
+    def encode(some: pa.Table, dictionary: pa.Table) -> pa.Table:
+        index = dict(zip(dictionary["token"].to_pylist(), dictionary["token_id"].to_pylist(), strict=True)) | specials
+        out = some.select(kept)
+        for name, column in columns:
+            out = out.append_column(name, _looked_up(some[column].combine_chunks(), index, unknown))
+        return out
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in cols.values()]])
+    return rows.groupBy("_block").cogroup(known.groupBy("_of")).applyInArrow(encode, schema)

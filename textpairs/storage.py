@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _STORED: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,9 +43,22 @@ def materialise(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def materialise_bucketed(df: DataFrame, buckets: int, *by: str) -> DataFrame:
+    """Write ``df`` once as a table whose files are dealt by the hash of ``by``: joins and groups on it need no shuffle."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.bucketBy(buckets, *by).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this session has stored; frames that read them can no longer run."""
     sc = spark.sparkContext
+    while _TABLES.get(sc.applicationId):
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES[sc.applicationId].pop()}")
     while _STORED.get(sc.applicationId):
         path = sc._jvm.org.apache.hadoop.fs.Path(_STORED[sc.applicationId].pop())
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
