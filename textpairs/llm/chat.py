@@ -30,10 +30,10 @@ def format_conversations(
     beginnings and the smallest id are counted per hash before anything is joined, so a first turn that most
     conversations share is one row.
 
-    Turns are ordered by number, then role, then text; gaps do not matter and a repeated row is a turn of its own. Null
-    role or text counts as empty. Each row without id is a conversation of its own turn, of equal ones
-    one stays. An empty table gives no rows; other columns
-    are left out. Only the turns of one conversation, which make one text, meet in a task.
+    Turns are ordered by number (nulls first), then role, then text; gaps do not matter and a repeated row is a turn of its
+    own. Null role or text counts as empty. Each row without id is a conversation of one turn; of equal ones one stays, ahead
+    of equal conversations with an id. An empty table gives no rows; other columns are left out. Only the turns of one
+    conversation, which make one text, meet in a task.
     """
     rows = turns.select(
         col(key).alias("conv_id"),
@@ -46,17 +46,15 @@ def format_conversations(
     rows = rows.where("conv_id is not null").unionByName(loose)
     keys = ["conv_id", "own1", "own2"]
     unnamed = F.col("conv_id").isNull()
-    rows = rows.withColumns({"own1": F.when(unnamed, F.xxhash64("role", "text")), "own2": F.when(unnamed, F.xxhash64(F.lit(1), "role", "text"))})
-    hashed = rows.select(*keys, "turn", *digest("role", "text"), F.xxhash64("role").alias("o1"), F.xxhash64("text").alias("o2"))
-    order = Window.partitionBy(*keys).orderBy("turn", "o1", "o2")
-    numbered = hashed.select(*keys, "turn", "o1", "o2", "h1", "h2", F.row_number().over(order).alias("k"))
-    tagged = numbered.select(*keys, "turn", "o1", "o2", "k", *digest("k", "h1", "h2"))
+    own1, own2 = digest("role", "text")
+    rows = rows.withColumns({"own1": F.when(unnamed, own1), "own2": F.when(unnamed, own2)})
+    each = Window.partitionBy(*keys)
+    numbered = rows.withColumn("k", F.row_number().over(each.orderBy("turn", "role", "text")))
+    tagged = numbered.select(*keys, "k", *digest("k", *digest("role", "text")))
+    # Rows, not a range of values: a repeated turn rolls the hash on by itself.
+    upto = each.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rolled = tagged.select(
-        *keys,
-        "k",
-        F.bit_xor("h1").over(order).alias("p1"),
-        F.bit_xor("h2").over(order).alias("p2"),
-        F.count("*").over(Window.partitionBy(*keys)).alias("n"),
+        *keys, "k", F.bit_xor("h1").over(upto).alias("p1"), F.bit_xor("h2").over(upto).alias("p2"), F.count("*").over(each).alias("n")
     )
     rolled = materialise(rolled)
     ends = F.col("k") == F.col("n")
@@ -65,11 +63,11 @@ def format_conversations(
         F.min(F.when(ends, F.col("conv_id"))).alias("first"),
         F.max(ends & F.col("conv_id").isNull()).alias("unnamed"),
     )
-    # Without an id beside it a conversation is first in its kind.
-    alone = (F.col("longest") == F.col("n")) & (F.col("conv_id").eqNullSafe(F.col("first")) & (~F.col("unnamed") | F.col("conv_id").isNull()) | F.col("conv_id").isNull() & F.col("unnamed"))
+    # A conversation without id comes before equal ones with an id.
+    named = ~F.col("unnamed") & F.col("conv_id").eqNullSafe(F.col("first"))
+    alone = (F.col("longest") == F.col("n")) & F.when(F.col("conv_id").isNull(), F.col("unnamed")).otherwise(named)
     maximal = rolled.where(ends).join(heads, ["k", "p1", "p2"]).where(alone).select(*[F.col(k).alias(f"kept_{k}") for k in keys])
     kept = rows.join(materialise(maximal), [F.col(k).eqNullSafe(F.col(f"kept_{k}")) for k in keys], "left_semi")
-    one = F.struct("turn", F.xxhash64("role").alias("o1"), F.xxhash64("text").alias("o2"), "role", "text")
-    grouped = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    grouped = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     lines = F.transform("turns", lambda t: turn_text(t["role"], t["text"]))
     return grouped.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.array_join(lines, "").alias("text"))
