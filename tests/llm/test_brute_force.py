@@ -355,3 +355,33 @@ def test_find_passages_sends_only_seeds(spark, sf_dir):
 def test_encode_documents_returns_ids_and_bytes(spark):
     rows = encode_documents(cases.documents(spark)).collect()
     assert {r.doc_id: bytes(r.decoded) for r in rows} == {i: (t or "").encode() for i, t in cases.texts().items()}
+
+
+@pytest.mark.parametrize("large", [1, 3, 40])
+def test_repeats_of_a_passage_in_many_surroundings(spark, large):
+    """Shared passages, whole and in pieces, each time between other words; grams are split down to single windows."""
+    rng = random.Random(9)
+    shared = cases.sentence(rng, 60, 9000)
+    texts = {}
+    for i in range(90):
+        cut = shared[rng.randrange(len(shared) // 2) :] if i % 3 else shared
+        texts[i] = cases.sentence(rng, rng.randrange(30), 9000) + " " + cut[: rng.randrange(90, len(cut))] + cases.sentence(rng, 9, 9000)
+    texts[90] = "again and again " * 60
+    found = remove_repeats(cases.documents(spark, rows=list(texts.items())), large=large).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), bytes(r.kept)) for r in found} == cases.repeats(texts)
+
+
+def test_contexts_are_halved_in_proportion(spark):
+    """Many different surroundings of one passage make a few rows each, not one for every window."""
+    from textpairs.llm import repeats
+
+    rng = random.Random(10)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    rows = [(int(i), f"{rng.random():.17f} {passage} {rng.random():.17f}".encode()) for i in range(3000)]
+    at = 60
+    data = [(text[10 : 10 + 184], at, i, 0, 10) for i, text in rows]
+    contexts = spark.createDataFrame(data, "context binary, at int, key bigint, body bigint, lo bigint")
+    small, halved = repeats._small_groups(contexts, 500)
+    n = small.count() + sum(h.count() for h in halved)
+    assert halved and n < 12 * len(data)
+    assert small.groupBy("group").count().agg({"count": "max"}).first()[0] <= 500

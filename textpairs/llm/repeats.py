@@ -5,12 +5,18 @@ Equal windows pick the same gram, so a window can only occur elsewhere if its gr
 dropped by their hashes alone; around the others the text that their windows cover goes to the gram's task, which sorts
 the suffixes that start at the grams, and the reversed texts before them, and reads from the common prefixes of
 neighbours which windows are equal.
+
+A gram that very many texts hold with different surroundings is split by these. Of the ``SPREAD + 1`` places that it can have
+in a window the first half has the longer part of the window to the right and the second half to the left: the windows of one half
+share the gram and all that any of them has on that side, so they are handed to that longer string, and again by halves where it
+still is in too many different surroundings, down to single windows. Each half of a run is a row, and equal rows become one before they
+are counted, so inside a shared passage one row is left and at its edge one half of each row is alone at once.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +25,14 @@ from pyspark.sql import functions as F
 
 from textpairs.llm.common import col, partitions
 from textpairs.llm.deep_shallow import deep_shallow_sort, neighbour_prefixes
-from textpairs.storage import shared_folder
+from textpairs.storage import materialise, materialise_bucketed
 
 LENGTH = 100
 GRAM = 16
-LARGE_GROUP = 10_000
+SPREAD = LENGTH - GRAM
+LARGE_GROUP = 2_000
+TASK_BYTES = 1 << 26
+SORTED = 100_000
 CHUNK = 1 << 20
 PIECE = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
@@ -225,29 +234,86 @@ def _text_runs(buckets: int):
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes that a run's windows cover, once per batch and kind, at the earliest place."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            first: dict[tuple[bytes, int], tuple[int, int, int]] = {}
-            for row in batch.slice(at, 4096).to_pylist():
-                text = row["text"]
-                for lo, hi, gram, hot in zip(row["lo"], row["hi"], row["gram"], row["hot"], strict=True):
-                    if not hot:
-                        what, place = (text[lo : hi + LENGTH], gram - lo), (row["key"], row["body"], lo)
-                        if what not in first or place < first[what]:
-                            first[what] = place
-            gram = [int.from_bytes(c[o : o + 8], "little", signed=True) for c, o in first]
-            places = list(zip(*first.values(), strict=True)) if first else [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(gram, pa.int64()),
-                    pa.array([c for c, _ in first], pa.binary()),
-                    pa.array([o for _, o in first], pa.int32()),
-                    *[pa.array(p, pa.int64()) for p in places],
-                ],
-                names=["gram", "context", "at", "key", "body", "lo"],
-            )
+CONTEXTS = "context binary, at int, key bigint, body bigint, lo bigint"
+
+
+def _contexts(hot: bool):
+    """The bytes that a run's windows cover, once per batch and kind, at the earliest place; for frequent grams or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                first: dict[tuple[bytes, int], tuple[int, int, int]] = {}
+                for row in batch.slice(at, 4096).to_pylist():
+                    text = row["text"]
+                    for lo, hi, gram, often in zip(row["lo"], row["hi"], row["gram"], row["hot"], strict=True):
+                        if often == hot:
+                            what, place = (text[lo : hi + LENGTH], gram - lo), (row["key"], row["body"], lo)
+                            if what not in first or place < first[what]:
+                                first[what] = place
+                places = list(zip(*first.values(), strict=True)) if first else [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([c for c, _ in first], pa.binary()),
+                        pa.array([o for _, o in first], pa.int32()),
+                        *[pa.array(p, pa.int64()) for p in places],
+                    ],
+                    names=["context", "at", "key", "body", "lo"],
+                )
+
+    return run
+
+
+def _grouped(contexts: DataFrame) -> DataFrame:
+    """With the group that sorts a context: the hash of what its windows have in common, the gram or more."""
+    common = F.substring("context", F.col("at") - F.col("low") + 1, LENGTH - F.col("high") + F.col("low"))
+    return contexts.withColumn("group", F.xxhash64("low", "high", common))
+
+
+def _split(contexts: DataFrame) -> DataFrame:
+    """Each context as its windows of the lower half of the gram's places, and those of the upper half."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    halves = F.array(
+        F.struct(F.col("low").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("high").alias("y"))
+    )
+    rows = contexts.withColumn("half", F.explode(halves))
+    nearest = F.greatest(F.col("at") - F.octet_length("context") + LENGTH, F.col("half.x"))
+    farthest = F.least(F.col("at"), F.col("half.y"))
+    rows = rows.withColumns({"near": nearest, "far": farthest}).where("near <= far")
+    return rows.select(
+        F.substring("context", F.col("at") - F.col("far") + 1, F.col("far") - F.col("near") + LENGTH).alias("context"),
+        F.col("far").alias("at"),
+        "key",
+        "body",
+        (F.col("lo") + F.col("at") - F.col("far")).alias("lo"),
+        F.col("half.x").alias("low"),
+        F.col("half.y").alias("high"),
+    )
+
+
+def _first_of_each(contexts: DataFrame) -> DataFrame:
+    """Equal contexts once, at their earliest place; combined in each task before they are shuffled."""
+    place = F.min(F.struct("key", "body", "lo")).alias("f")
+    return contexts.groupBy("context", "at", "low", "high").agg(place).select("context", "at", "f.*", "low", "high")
+
+
+def _small_groups(contexts: DataFrame, large: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The contexts of frequent grams in groups of at most ``large``, and the parts that were halved on the way there.
+
+    Eight rounds at most: by then a part is a single window and its group one row.
+    """
+    small, halved = [], []
+    contexts = contexts.withColumns({"low": F.lit(0), "high": F.lit(SPREAD)})
+    while True:
+        rows = materialise(_grouped(_first_of_each(contexts)))
+        many = materialise(rows.groupBy("group").count().where(F.col("count") > large).select("group"))
+        if many.isEmpty():
+            small.append(rows)
+            return reduce(DataFrame.unionByName, small), halved
+        small.append(rows.join(many, "group", "left_anti"))
+        contexts = rows.join(many, "group", "left_semi").drop("group")
+        halved.append(contexts.select("key", "body", "lo", "low", "high"))
+        contexts = _split(contexts)
 
 
 def earlier_windows(contexts: list[bytes], at: list[int], places: list[tuple]) -> list[tuple[int, int, int]]:
@@ -282,43 +348,48 @@ def earlier_windows(contexts: list[bytes], at: list[int], places: list[tuple]) -
     return list(zip(which, nearest.tolist(), farthest.tolist(), strict=True))
 
 
+JUDGED = "key bigint, body bigint, lo bigint, low int, high int, near int, far int"
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    contexts, at, places, grams = [], [], [], []
-    for batch in batches:
-        c = [x.to_pylist() for x in batch.columns]
-        grams += c[0]
-        contexts += c[1]
-        at += c[2]
-        places += zip(*c[3:6], strict=True)
-    found = earlier_windows(contexts, at, places)
-    names = ["key", "body", "lo", "near", "far"]
-    for k in range(0, len(found), 50_000):
-        rows = [(*places[i], near, far) for i, near, far in found[k : k + 50_000]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=names)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the grams that occur very often, one row each."""
+    """Contexts come ordered by group; as many whole groups as ``SORTED`` contexts make are sorted together."""
+    held: list[tuple] = []
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        found = earlier_windows([r[1] for r in rows], [r[2] for r in rows], [r[3:6] for r in rows])
+        out = [(*rows[i][3:8], near, far) for i, near, far in found]
+        types = [*[pa.int64()] * 3, *[pa.int32()] * 4]
+        names = ["key", "body", "lo", "low", "high", "near", "far"]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
     for batch in batches:
-        for row in batch.to_pylist():
-            spans = [np.arange(lo, hi + 1) for lo, hi, hot in zip(row["lo"], row["hi"], row["hot"], strict=True) if hot]
-            starts = np.concatenate(spans) if spans else np.empty(0, np.int64)
-            for k in range(0, len(starts), 20_000):
-                some = starts[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["text"][s : s + LENGTH] for s in some], pa.binary()),
-                        pa.array(np.full(len(some), row["key"])),
-                        pa.array(np.full(len(some), row["body"])),
-                        pa.array(some),
-                    ],
-                    names=["window", "key", "body", "lo"],
-                )
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if len(held) >= SORTED and row[0] != held[-1][0]:
+                yield settle(held)
+                held = []
+            held.append(row)
+    if held:
+        yield settle(held)
 
 
 KEPT = "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
 
 
+def _repeated_spans(lo: int, hi: int, gram: int, known: dict, low: int = 0, high: int = SPREAD) -> list[tuple[int, int]]:
+    """Spans of a run's windows that occur earlier, from what is known of the run or of its halves."""
+    near, far = max(gram - hi, low), min(gram - lo, high)
+    if near > far:
+        return []
+    at = gram - far, low, high
+    if at not in known:
+        return [(gram - far, gram - near + LENGTH)]
+    if known[at][0] is None:
+        middle = (low + high) // 2
+        return _repeated_spans(lo, hi, gram, known, low, middle) + _repeated_spans(lo, hi, gram, known, middle + 1, high)
+    near, far = known[at]
+    return [(gram - far, gram - near + LENGTH)] if far >= 0 else []
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the bytes of repeated windows; what is not known to be first in its kind is repeated."""
     for batch in batches:
@@ -327,18 +398,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in batch.slice(at, 512).to_pylist():
                 text = row["text"]
                 change = np.zeros(len(text) + 1, np.int32)
-                known = {f["lo"]: f for f in row["firsts"] or () if f["near"] is not None}
-                alone = {f["lo"] for f in row["firsts"] or () if f["near"] is None}
-                for lo, hi, gram, hot in zip(row["lo"], row["hi"], row["gram"], row["hot"], strict=True):
-                    if hot:
-                        spans = [(s, s + LENGTH) for s in range(lo, hi + 1) if s not in alone]
-                    elif lo not in known:
-                        spans = [(lo, hi + LENGTH)]
-                    elif known[lo]["far"] >= 0:
-                        spans = [(gram - known[lo]["far"], gram - known[lo]["near"] + LENGTH)]
-                    else:
-                        spans = []
-                    for start, end in spans:
+                known = {(f["lo"], f["low"], f["high"]): (f["near"], f["far"]) for f in row["firsts"] or ()}
+                for lo, hi, gram in zip(row["lo"], row["hi"], row["gram"], strict=True):
+                    for start, end in _repeated_spans(lo, hi, gram, known):
                         change[start] += 1
                         change[end] -= 1
                 gone = np.r_[False, np.cumsum(change[:-1]) > 0, False]
@@ -363,33 +425,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
     overlapping occurrences count. Returns ``doc_id, n_bytes, removed`` (maximal runs of removed bytes) and ``kept``
     (the bytes left, which need not be valid UTF-8).
 
-    A gram that occurs more than ``large`` times is handled window by window, with one row for each, so its task does not
-    grow. Null text is empty. Rows without id come before all others. Rows that repeat an id are told apart by their
+    Grams that occur more than ``large`` times are split by their surroundings until none is in more than ``large`` different
+    ones, so no task is given an unbounded group; every window goes through the sort of suffixes. Null text is empty. Rows without id come before all others. Rows that repeat an id are told apart by their
     text, in an arbitrary but fixed order; of rows equal in both each is judged like the other. An empty table gives no
     rows; other columns are left out.
     """
     spark = docs.sparkSession
-    tasks = partitions(spark)
-    buckets = 4 * tasks
     rows = docs.select(col(key).cast("bigint").alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
+    tasks = max(partitions(spark), -(-size // TASK_BYTES))
+    buckets = 4 * tasks
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("body"), "text")
     blocks = rows.select("key", "body", "text").mapInArrow(_gram_blocks(buckets), BLOCK).repartition(tasks, "bucket")
     again = blocks.mapInArrow(_repeated_grams(2 * tasks, large), PACKED).repartition(tasks, "part")
     again = again.mapInArrow(_by_text, "key bigint, body bigint, grams binary, hot binary")
     placed = rows.join(again, ["key", "body"], "left").select("doc_id", "key", "body", "text", "grams", "hot")
-    name = f"text_runs_{uuid.uuid4().hex}"
-    writer = placed.mapInArrow(_text_runs(buckets), TEXT_RUNS).write.bucketBy(tasks, "key", "body")
-    writer.option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
-    texts = spark.table(name)
-
-    some = texts.where(F.exists("hot", lambda h: ~h)).select("key", "body", "text", "lo", "hi", "gram", "hot")
-    contexts = some.mapInArrow(_contexts, "gram bigint, context binary, at int, key bigint, body bigint, lo bigint")
-    judged = contexts.repartition(tasks, "gram").mapInArrow(_judged, "key bigint, body bigint, lo bigint, near bigint, far bigint")
-    often = texts.where(F.exists("hot", lambda h: h)).select("key", "body", "text", "lo", "hi", "hot")
-    windows = often.mapInArrow(_windows, "window binary, key bigint, body bigint, lo bigint")
-    first = windows.groupBy("window").agg(F.min(F.struct("key", "body", "lo")).alias("f")).select("f.*")
-    unknown = F.lit(None).cast("bigint")
-    firsts = judged.unionByName(first.select("key", "body", "lo", unknown.alias("near"), unknown.alias("far")))
-    firsts = firsts.groupBy("key", "body").agg(F.collect_list(F.struct("lo", "near", "far")).alias("firsts"))
+    texts = materialise_bucketed(placed.mapInArrow(_text_runs(buckets), TEXT_RUNS), tasks, "key", "body")
+
+    runs = ["key", "body", "text", "lo", "hi", "gram", "hot"]
+    rare = texts.where(F.exists("hot", lambda h: ~h)).select(*runs).mapInArrow(_contexts(False), CONTEXTS)
+    often = texts.where(F.exists("hot", lambda h: h)).select(*runs).mapInArrow(_contexts(True), CONTEXTS)
+    small, halved = _small_groups(often, large)
+    columns = ["group", "context", "at", "key", "body", "lo", "low", "high"]
+    every = _grouped(rare.withColumns({"low": F.lit(0), "high": F.lit(SPREAD)})).select(*columns).unionByName(small.select(*columns))
+    judged = every.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(_judged, JUDGED)
+    none = F.lit(None).cast("int")
+    for parts in halved:
+        judged = judged.unionByName(parts.withColumns({"near": none, "far": none}))
+    firsts = judged.groupBy("key", "body").agg(F.collect_list(F.struct("lo", "low", "high", "near", "far")).alias("firsts"))
     joined = texts.join(firsts, ["key", "body"], "left")
-    return joined.select("doc_id", "text", "lo", "hi", "gram", "hot", "firsts").mapInArrow(_cut, KEPT)
+    return joined.select("doc_id", "text", "lo", "hi", "gram", "firsts").mapInArrow(_cut, KEPT)
