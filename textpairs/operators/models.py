@@ -4,24 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from math import ceil
 from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpairs.functions.scores import argmax, softmax
-from textpairs.operators.scoring import accuracy
+from textpairs.operators.scoring import accuracy, ensemble_rows
 from textpairs.operators.split import fold_pairs
 from textpairs.sources.metrics import append_metrics, metric_rows, run_name
+from textpairs.storage import materialise
 
 SCORE_BATCH = 16  # fixed value: rows per model call
+FIT_ROWS = 32_768
 
 
 def default_estimator(
@@ -65,6 +71,32 @@ class FoldFit(NamedTuple):
     metrics: DataFrame
 
 
+def _learned_nothing(estimator: Estimator) -> tuple[list[Transformer], list]:
+    """Leading stages that learn nothing, the same for every fold, and the rest."""
+    stages = list(estimator.getStages()) if isinstance(estimator, Pipeline) else [estimator]
+    n = next((i for i, s in enumerate(stages) if not isinstance(s, Transformer)), len(stages))
+    return stages[:n], stages[n:]
+
+
+def fold_weights(df: DataFrame, idf: IDF, k: int) -> dict[int, ElementwiseProduct]:
+    """Inverse document frequencies of each fold's training part from one pass over ``df``.
+
+    Rows and documents with a term are counted per fold; a training part has those of all rows less those of its fold.
+    """
+    column = idf.getInputCol()
+    held = df.where("fold is not null").groupBy("fold")
+    counts = held.agg(F.count("*").alias("n"), Summarizer.numNonZeros(F.col(column)).alias("with")).collect()
+    rows = {r["fold"]: r["n"] for r in counts}
+    documents = {r["fold"]: r["with"].toArray() for r in counts}
+    out = {}
+    for fold in range(k):
+        n = sum(rows.values()) - rows.get(fold, 0)
+        found = sum(documents.values()) - documents.get(fold, 0)
+        weights = np.where(found >= idf.getMinDocFreq(), np.log((n + 1) / (found + 1)), 0.0)
+        out[fold] = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol=column, outputCol=idf.getOutputCol())
+    return out
+
+
 def fit_folds(
     df: DataFrame,
     k: int,
@@ -73,31 +105,43 @@ def fit_folds(
     plm: str = "hashed-words",
     model_path: str | None = None,
     metrics_path: str | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
     evaluate: Callable[[DataFrame], DataFrame] = accuracy,
 ) -> FoldFit:
     """For each fold of ``df`` (cleaned, encoded, with its ``fold``): fit on the rest, evaluate on the fold.
 
-    Pass a stored frame: every fold reads it again. Everything learned, IDF included, comes from the
-    training part alone. Up to ``parallelism`` folds are fitted at the same time. ``evaluate`` turns
+    What the stages before the first one that learns make of a row is the same in all runs, so it is made once and stored.
+    Everything learned comes from the training part alone; document frequencies are those of all rows less those of the
+    fold, counted in one pass. Up to ``parallelism`` folds are fitted at the same time, each in as many parts as hold
+    ``FIT_ROWS`` rows, since every part sends a gradient as long as the model in every step. ``evaluate`` turns
     ``pred, gold`` rows into one row of metrics.
     """
     estimator = default_estimator() if estimator is None else estimator
     spark = df.sparkSession
-    rows = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}
+    shared, learning = _learned_nothing(estimator)
+    made = PipelineModel(shared).transform(df) if shared else df
+    first = learning[0] if learning else None
+    inputs = [first.getInputCol()] if isinstance(first, IDF) else [first.getFeaturesCol()] if hasattr(first, "getFeaturesCol") else []
+    wanted = ["label", "fold", *inputs] if inputs else made.columns
+    stored = materialise(made.select(*wanted), partition_by=["fold"])
+    rows = {r["fold"]: r["count"] for r in stored.groupBy("fold").count().collect()}
+    weights = fold_weights(stored, first, k) if isinstance(first, IDF) else {}
 
     def fit(fold: int, train: DataFrame, validation: DataFrame) -> tuple[Model, dict[str, float]]:
-        model = estimator.fit(train)
-        pred = model.transform(validation).select(F.col("prediction").cast("int").alias("pred"), F.col("label").alias("gold"))
+        n = sum(rows.values()) - rows.get(fold, 0)
+        stages = [weights[fold], *learning[1:]] if weights else learning
+        fitted = Pipeline(stages=stages).fit(train.coalesce(max(ceil(n / FIT_ROWS), 1)))
+        pred = fitted.transform(validation).select(F.col("prediction").cast("int").alias("pred"), F.col("label").alias("gold"))
         found = evaluate(pred).first().asDict()
         values = {m: v for m, v in found.items() if m != "n" and v is not None}  # an empty fold has no accuracy
-        values["train_samples"] = sum(rows.values()) - rows.get(fold, 0)
+        values["train_samples"] = n
+        model = PipelineModel([*shared, *fitted.stages])
         if model_path is not None:
             model.write().overwrite().save(f"{model_path.rstrip('/')}/{run_name(tag, fold)}")
         return model, values
 
     with ThreadPool(min(k, parallelism)) as pool:
-        done = pool.starmap(inheritable_thread_target(spark)(fit), [(i, *s) for i, s in enumerate(fold_pairs(df, k))])
+        done = pool.starmap(inheritable_thread_target(spark)(fit), [(i, *s) for i, s in enumerate(fold_pairs(stored, k))])
     table = reduce(
         DataFrame.unionByName, [metric_rows(spark, v, tag, fold, plm, k, 0) for fold, (_, v) in enumerate(done)]
     )
@@ -138,17 +182,34 @@ def score_batches(
     return logits.withColumn("probs", softmax("logits")).withColumn("pred", argmax("logits"))
 
 
-def score_ensemble(df: DataFrame, models: dict[str, Model], keep: Sequence[str] = ("index",)) -> DataFrame:
-    """Long score table ``model_id, keep.., logits`` of every model in one pass over the rows."""
-    out, held = df, []
-    for i, model in enumerate(models.values()):
+def _with_logits(df: DataFrame, models: dict[str, Model]) -> tuple[DataFrame, list[str]]:
+    """The rows with a column of logits per model; the leading stages that all models share run once."""
+    stages = [list(m.stages) if isinstance(m, PipelineModel) else [m] for m in models.values()]
+    common = 0
+    while all(len(s) > common + 1 and s[common].uid == stages[0][common].uid for s in stages):
+        common += 1
+    out = PipelineModel(stages[0][:common]).transform(df) if common else df
+    columns, held = out.columns, []
+    for i, own in enumerate(stages):
         name = f"_logits{i}"
-        out = model.transform(out).select(*df.columns, *held, vector_to_array("rawPrediction").alias(name))
+        out = PipelineModel(own[common:]).transform(out).select(*columns, *held, vector_to_array("rawPrediction").alias(name))
         held.append(name)
+    return out, held
+
+
+def score_ensemble(df: DataFrame, models: dict[str, Model], keep: Sequence[str] = ("index",)) -> DataFrame:
+    """Long score table ``model_id, keep.., logits`` of every model in one pass over the rows."""
+    out, held = _with_logits(df, models)
     each = [F.struct(F.lit(str(m)).alias("model_id"), F.col(c).alias("logits")) for m, c in zip(models, held)]
     return out.select(*keep, F.explode(F.array(*each)).alias("_s")).select("_s.model_id", *keep, "_s.logits")
 
 
+def predict_ensemble(df: DataFrame, models: dict[str, Model], index: str = "index") -> DataFrame:
+    """``index, pred_label, probs`` of each row from the means over the models, taken inside the row: no shuffle."""
+    out, held = _with_logits(df, models)
+    return ensemble_rows(out, held, index)
+
+
 def out_of_fold(df: DataFrame, models: dict[int, Model], keep: Sequence[str] = ("index", "label", "fold")) -> DataFrame:
     """Each row scored by the model that was fitted without its fold.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,14 @@ def ensemble(scores: DataFrame, row: str = "row_id", logits: str = "logits", cla
     return means.select(row, decode_label(argmax("_l")).alias("pred_label"), "probs")
 
 
+def ensemble_rows(df: DataFrame, logits: Sequence[str], row: str = "row_id", classes: int = CLASSES) -> DataFrame:
+    """The same table from a column of logits per model: both means are taken inside the row."""
+    mean = lambda arrays: F.array(*[reduce(Column.__add__, [a[i] for a in arrays]) / len(arrays) for i in range(classes)])
+    probs = df.select(row, *logits, *[softmax(c, classes).alias(f"_p{i}") for i, c in enumerate(logits)])
+    label = decode_label(argmax(mean([F.col(c) for c in logits])))
+    return probs.select(row, label.alias("pred_label"), mean([F.col(f"_p{i}") for i in range(len(logits))]).alias("probs"))
+
+
 def accuracy(
     df: DataFrame, by: str | Sequence[str] | None = None, pred: str = "pred", gold: str = "gold"
 ) -> DataFrame:
