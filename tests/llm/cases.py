@@ -147,8 +147,8 @@ def passages(docs, items, window=13, changed=2):
         for j, item in items.items():
             w = re.findall(r"[^\x20\x09-\x0D]+", fold(item))
             size = min(window, len(w))
-            need = size - changed if len(w) >= window else size
-            if len(w) < 9:
+            need = size - changed if len(w) >= window else size - (len(w) >= 9)
+            if not w:
                 continue
             for shift in range(-len(w), len(d)):
                 equal = [d[p + shift] == w[p] for p in range(len(w)) if 0 <= p + shift < len(d)]

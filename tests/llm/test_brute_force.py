@@ -19,7 +19,7 @@ import __spark_entry__ as driver
 import corpus_pipeline
 from textpairs.llm import catalogue
 from textpairs.llm.byte_bpe import RANKS, BytePairs, encode_documents, read_ranks
-from textpairs.llm.decontaminate import MASKS, find_passages
+from textpairs.llm.decontaminate import LENGTHS, MASKS, SHORT_MASKS, find_passages
 from textpairs.llm.deep_shallow import deep_shallow_sort, neighbour_prefixes
 from textpairs.llm.jaccard_join import jaccard_classes, least_overlap, max_missing
 from textpairs.llm.licenses import TEMPLATES, Scanner, scan_licenses
@@ -251,6 +251,43 @@ def test_passages(spark):
     assert len(want) > 20
 
 
+def test_masks_meet_one_replaced_word_of_short_items():
+    for m in range(9, 13):
+        for a in range(m):
+            assert any(a not in {o + i for i in mask} for mask in SHORT_MASKS for o in range(m - mask[-1]))
+    assert all(any(low <= m <= high for low, high, _ in LENGTHS) for m in range(1, 40))
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_items_of_every_length(spark, sf_dir, tmp_path, limit):
+    """Planted whole, with one word replaced, with two, and cut; the same by SQL."""
+    rng = random.Random(12)
+    items = {m: cases.sentence(rng, m, 100_000) for m in range(1, 16)}
+    items |= {20: None, 21: " \t", 22: items[5].upper()}
+    docs = {}
+    for m in range(1, 16):
+        words = items[m].split()
+        for changed in (0, 1, 2):
+            some = list(words)
+            for at in rng.sample(range(m), min(changed, m)):
+                some[at] = "other"
+            docs[len(docs)] = f"{cases.sentence(rng, 5, 100_000)} {' '.join(some)}\n{cases.sentence(rng, 4, 100_000)}"
+        docs[len(docs)] = " ".join(words[:-1])
+        docs[len(docs)] = " ".join(words)
+    docs |= {900: None, 901: "", 902: "zz " * 3000}
+    table = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    found = find_passages(cases.documents(spark, rows=list(docs.items())), table, broadcast_seeds=limit).collect()
+    want = cases.passages(docs, items)
+    assert {(r.doc_id, r.item_id): (r.best_window, r.matched) for r in found} == want
+    assert {j for _, j in want} == {*range(1, 16), 22}
+    connection = duckdb.connect()
+    cases.documents(spark, rows=list(docs.items())).write.parquet(f"{tmp_path}/documents")
+    table.write.parquet(f"{tmp_path}/benchmark")
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    assert {(d, i): (s, t) for d, i, s, t in connection.execute(catalogue.ORACLES["op9_spaced_seeds"]).fetchall()} == want
+
+
 def test_masks_meet_every_pair_of_replaced_words():
     for a in range(13):
         for b in range(13):

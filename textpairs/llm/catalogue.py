@@ -181,24 +181,24 @@ def op4_deep_shallow(spark, sf_dir):
     )
 
 
-OP9_SQL = r"""WITH dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)),
-iw AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos, len(w) AS m FROM (SELECT item_id, regexp_extract_all(
+OP9_SQL = r"""WITH dl AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+il AS (SELECT item_id, w, len(w) AS m, least(len(w), 4) AS n FROM (SELECT item_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark)
-  WHERE len(w) >= 9),
-d4 AS (SELECT doc_id, pos, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o) AS g, lead(w, 3) OVER o AS last
-  FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-i4 AS (SELECT item_id, pos, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o) AS g, lead(w, 3) OVER o AS last
-  FROM iw WINDOW o AS (PARTITION BY item_id ORDER BY pos)),
-laid AS (SELECT DISTINCT doc_id, item_id, d4.pos - i4.pos AS shift FROM d4 JOIN i4 ON d4.g = i4.g
-  WHERE d4.last IS NOT NULL AND i4.last IS NOT NULL),
+  WHERE len(w) > 0),
+dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM dl),
+iw AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos, m FROM il),
+dg AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {'pos': i, 'g': array_to_string(w[i:i + n - 1], ' ')})) AS x
+  FROM dl, (SELECT DISTINCT n FROM il)),
+ig AS (SELECT item_id, n, unnest(list_transform(range(1, m - n + 2), lambda i: {'pos': i, 'g': array_to_string(w[i:i + n - 1], ' ')})) AS x FROM il),
+laid AS (SELECT DISTINCT doc_id, item_id, d.x.pos - i.x.pos AS shift FROM dg d JOIN ig i ON d.n = i.n AND d.x.g = i.x.g),
 eq AS (SELECT l.doc_id, l.item_id, shift, i.pos, m, (d.w = i.w)::INT AS e FROM laid l JOIN iw i ON i.item_id = l.item_id
   JOIN dw d ON d.doc_id = l.doc_id AND d.pos = i.pos + shift),
 wins AS (SELECT *, sum(e) OVER o AS s, count(*) OVER o AS n, sum(e) OVER (PARTITION BY doc_id, item_id, shift) AS total FROM eq
   WINDOW o AS (PARTITION BY doc_id, item_id, shift ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW))
 SELECT doc_id, item_id, max(s)::BIGINT AS best_window, max(total)::BIGINT AS matched FROM (
   SELECT doc_id, item_id, shift, max(s) AS s, max(total) AS total FROM wins
-  WHERE n = least(13, m) AND s >= CASE WHEN m >= 13 THEN 11 ELSE m END GROUP BY ALL) GROUP BY ALL"""
+  WHERE n = least(13, m) AND s >= CASE WHEN m >= 13 THEN 11 WHEN m >= 9 THEN m - 1 ELSE m END GROUP BY ALL) GROUP BY ALL"""
 
 
 @query(OP9_SQL)

@@ -9,10 +9,15 @@ from textpairs.llm.common import col, fold_ascii, words
 from textpairs.storage import materialise
 
 WINDOW = 13
-SUBSTITUTIONS = 2
-# Word positions that a seed reads. Whichever two of 13 words in a row are replaced, one of these fits between.
+# Word positions that a seed reads, for items of so many words. Whichever two of 13 words in a row, or one of 9 to 12,
+# are replaced, some place of a mask lies between; shorter items are read whole.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-SPAN = 9
+SHORT_MASKS = ((0, 1, 3, 4),)
+LENGTHS: list[tuple[int, int, tuple[tuple[int, ...], ...]]] = [
+    (WINDOW, 1 << 31, MASKS),
+    (9, 12, SHORT_MASKS),
+    *[(m, m, (tuple(range(m)),)) for m in range(8, 0, -1)],
+]
 BROADCAST_SEEDS = 2_000_000
 
 
@@ -20,12 +25,25 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(fold_ascii(text)), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per place ``at`` in the word hashes ``w`` and mask, with the hash of the words that the mask reads."""
+def needed(words_: Column) -> Column:
+    """Equal words that make a passage of an item's best window: all but two of 13, but one of 9 to 12, else all."""
+    return F.when(words_ >= WINDOW, WINDOW - 2).when(words_ >= 9, words_ - 1).otherwise(words_)
+
+
+def _seeds(df: DataFrame, lengths: list[tuple[int, int, tuple]], own: bool, *keep: str) -> DataFrame:
+    """One row per place ``at`` in the word hashes ``w`` and mask, with the hash of the words that the mask reads.
+
+    Of the masks for some lengths; ``own`` keeps to those for the length of ``w`` itself.
+    """
     places = df.select(*keep, "w", F.posexplode("w").alias("at", "_"))
-    read = [[F.get("w", F.col("at") + offset) for offset in mask] for mask in MASKS]
-    fits = [F.col("at") + mask[-1] < F.size("w") for mask in MASKS]
-    seeds = [F.when(fit, F.xxhash64(F.lit(i), *values)) for i, (fit, values) in enumerate(zip(fits, read, strict=True))]
+    seeds = []
+    for low, high, masks in lengths:
+        for mask in masks:
+            fits = F.col("at") + mask[-1] < F.size("w")
+            if own:
+                fits = fits & F.size("w").between(low, high)
+            read = [F.get("w", F.col("at") + offset) for offset in mask]
+            seeds.append(F.when(fits, F.xxhash64(F.lit(",".join(map(str, mask))), *read)))
     return places.select(*keep, "w", "at", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
@@ -60,7 +78,8 @@ def find_passages(
     A passage is 13 words in a row of which at most two differ, word by word at the same places; ``best_window`` is
     the largest number of equal words in 13 and ``matched`` the number of equal words along the best alignment with a
     passage. Words are runs other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. An item of 9 to 12 words must occur
-    whole and unchanged; a shorter one says too little and is not searched. Every place of every text is looked up.
+    whole with at most one word replaced, one of 1 to 8 words whole and unchanged. Every place of every text is looked up;
+    masks are read for the lengths that some item has.
 
     The seeds of the items go to every task if there are at most ``broadcast_seeds``, as their count tells; more of them
     are joined by a shuffle of place and hash alone, and only texts with a hit are fetched again.
@@ -70,25 +89,27 @@ def find_passages(
     """
     body = F.coalesce(col(text), F.lit(""))
     rows = docs.select(col(key).alias("doc_id"), body.alias("text"))
-    known = items.select(col(item_key).alias("item_id"), word_hashes(col(item_text)).alias("w")).where(F.size("w") >= SPAN)
+    known = items.select(col(item_key).alias("item_id"), word_hashes(col(item_text)).alias("w")).where(F.size("w") > 0)
     known = materialise(known.distinct().withColumn("item", F.monotonically_increasing_id()))
-    seeds = materialise(_seeds(known, "item").select("item", F.col("at").alias("item_at"), "seed"))
+    # One row per length at most.
+    sizes = {r["n"] for r in known.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).distinct().collect()}
+    lengths = [x for x in LENGTHS if any(x[0] <= n <= x[1] for n in sizes)] or LENGTHS[:1]
+    seeds = materialise(_seeds(known, lengths, True, "item").select("item", F.col("at").alias("item_at"), "seed"))
     texts = known.select("item", "item_id", F.col("w").alias("iw"))
     if seeds.count() <= broadcast_seeds:
-        places = _seeds(rows.select("doc_id", word_hashes(F.col("text")).alias("w")), "doc_id")
+        places = _seeds(rows.select("doc_id", word_hashes(F.col("text")).alias("w")), lengths, False, "doc_id")
         hits = places.join(F.broadcast(seeds), "seed").select("doc_id", "w", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         hits = hits.join(F.broadcast(texts), "item")
     else:
         keyed = rows.select("doc_id", F.xxhash64("text").alias("body"), word_hashes(F.col("text")).alias("w"))
-        places = _seeds(keyed, "doc_id", "body").select("doc_id", "body", "at", "seed").join(seeds, "seed")
+        places = _seeds(keyed, lengths, False, "doc_id", "body").select("doc_id", "body", "at", "seed").join(seeds, "seed")
         hits = places.select("doc_id", "body", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
         hits = hits.join(texts, "item").alias("h").join(
             keyed.alias("k"), F.expr("h.doc_id <=> k.doc_id and h.body = k.body")
         )
         hits = hits.select("h.doc_id", "k.w", "h.item_id", "h.iw", "h.shift")
     seen = hits.select("doc_id", "item_id", F.size("iw").alias("m"), _overlap(F.col("w"), F.col("iw"), F.col("shift")).alias("o"))
-    need = F.when(F.col("m") >= WINDOW, WINDOW - SUBSTITUTIONS).otherwise(F.col("m"))
-    found = seen.where(F.col("o.best") >= need)
+    found = seen.where(F.col("o.best") >= needed(F.col("m")))
     return found.groupBy("doc_id", "item_id").agg(
         F.max("o.best").cast("bigint").alias("best_window"), F.max("o.total").cast("bigint").alias("matched")
     )
