@@ -65,3 +65,27 @@ def test_texts_with_a_wrapped_cue_reach_the_scanner(spark):
     text = "\n".join(textwrap.wrap(TEMPLATES["Unlicense"], 70))
     (row,) = scan_licenses(cases.documents(spark, rows=[(1, text), (2, "public\ndomain"), (3, "the public of a domain")])).where("doc_id <> 2").collect()
     assert (row.doc_id, row.license, row.verdict) == (1, "Unlicense", "exact")
+
+
+def test_own_templates_without_a_cue(spark):
+    own = {
+        "house": "Anyone may copy these pages as often as they like provided that nothing in them is altered",
+        "short": "Copyleft applies",
+        "words": "Überall frei zu verwenden",
+    }
+    altered = own["house"].replace("pages", "leaves").replace("altered", "changed")
+    rows = [
+        (1, "before\n" + own["house"].upper() + "\nafter"),
+        (2, altered),
+        (3, "copyleft  APPLIES, it says"),
+        (4, "hier: überall frei zu verwenden"),
+        (5, "pages and pages of provided things that nobody altered"),
+        (6, "some unknown license"),
+        (7, None),
+    ]
+    for templates in (own, {k: own[k] for k in ("house", "short")}):
+        found = scan_licenses(cases.documents(spark, rows=rows), templates).collect()
+        got = sorted((r.doc_id, r.license or "", r.verdict) for r in found)
+        want = [(1, "house", "exact"), (2, "house", "near"), (3, "short", "exact"), (4, "words", "exact"), (6, "", "none")]
+        assert got == [w for w in want if not w[1] or w[1] in templates]
+    assert scan_licenses(cases.documents(spark, rows=rows), {}).where("license is not null").count() == 0

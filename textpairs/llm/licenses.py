@@ -114,9 +114,24 @@ class Page:
         return self.text[self.lines[first] : self.lines[last + 1] - 1 if last + 1 < len(self.lines) else None]
 
 
+def own_cues(templates: dict[str, str]) -> str:
+    """Pattern of the words that stand in for cues in templates without one, empty if there are none such.
+
+    Of each the longest words, one more than a notice may lack, so every notice has one of them.
+    """
+    found: set[str] = set()
+    for text in templates.values():
+        words = wording(text)
+        if not re.search(CUES, text, re.IGNORECASE):
+            found.update(sorted(set(words), key=lambda w: (-len(w), w))[: int((1 - NEAR) * len(words)) + 1])
+    return rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(found)))})(?![^\W_])" if found else ""
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.cues = re.compile(CUES, re.IGNORECASE)
+        own = own_cues(templates)
+        self.own = re.compile(own, re.IGNORECASE) if own else None
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.words = {name: wording(text) for name, text in templates.items()}
         self.allowed = {name: int((1 - NEAR) * len(words)) for name, words in self.words.items()}
@@ -215,7 +230,8 @@ class Scanner:
 
     def scan(self, text: str) -> list[dict]:
         page = Page(text, self.cues)
-        near = [(max(a - self.reach, 0), min(b + self.reach + 1, len(page.words))) for a, b, _, _ in page.cues]
+        own = Page(text, self.own).cues if self.own else []
+        near = [(max(a - self.reach, 0), min(b + self.reach + 1, len(page.words))) for a, b, _, _ in sorted(page.cues + own)]
         found = [n for low, high in joined(near, 0) for n in self.notices(page, low, high)]
         out = [(page.starts[n.start], self.row(page, n)) for n in found]
         # A cue that a notice lacks at its edge is settled by it, too.
@@ -282,7 +298,7 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per licence notice or unknown block: place, template, bytes saved, differences in wording, verdict.
 
-    A block is a line with a cue word or several that are close together. Every template is compared word by word (case
+    Words of the templates without a cue word are looked for as well, so notices of any templates are found. A block is a line with a cue word or several that are close together. Every template is compared word by word (case
     and punctuation apart) with the words around each cue, on both sides as many as a notice can have, so neither the
     length of a line nor line breaks within a notice matter. A notice differs from its template by a fifth of the template's words at most. Of notices
     that share words the one with the fewest differences wins, of equals the longer one, then the one whose template
@@ -293,6 +309,11 @@ def scan_licenses(
     Texts without a cue are left out before Python sees them; null and empty ones have none. Rows are independent: null
     and repeated keys stay, an empty table gives no rows, other columns are left out. Texts are scanned whole.
     """
-    rows = docs.select(col(key).alias("doc_id"), col(text).alias("text")).where(F.col("text").rlike(f"(?i){CUES}"))
-    found = rows.select("doc_id", F.explode(scanned(F.col("text"), templates or TEMPLATES)).alias("f"))
+    templates = TEMPLATES if templates is None else templates
+    rows = docs.select(col(key).alias("doc_id"), col(text).alias("text"))
+    # Words outside A-Z fold otherwise in the JVM, so then Python sees every text.
+    own = own_cues(templates)
+    if own.isascii():
+        rows = rows.where(F.col("text").rlike(f"(?i)(?:{CUES})" + (f"|{own}" if own else "")))
+    found = rows.select("doc_id", F.explode(scanned(F.col("text"), templates)).alias("f"))
     return found.select("doc_id", "f.*")
