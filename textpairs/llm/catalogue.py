@@ -14,7 +14,7 @@ from textpairs.llm.decontaminate import find_passages
 from textpairs.llm.jaccard_join import jaccard_classes
 from textpairs.llm.licenses import scan_licenses
 from textpairs.llm.line_dedup import drop_repeated_lines
-from textpairs.llm.quality import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, screen_documents
+from textpairs.llm.quality import ALPHA, DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, screen_documents, settings
 from textpairs.llm.repeats import remove_repeats
 from textpairs.llm.sentence_pieces import encode_pieces
 from textpairs.llm.sharding import curve_automaton, hilbert_shards
@@ -107,7 +107,7 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-_RULE_ROWS = ", ".join(f"('{rule}', {cut}, {i})" for rule, (*_, cuts) in RULES.items() for i, cut in enumerate(cuts))
+_RULE_ROWS = ", ".join(f"('{rule}', {cut}, {step})" for step, (rule, cut) in enumerate(settings()))
 _FIRES = "CASE rule " + " ".join(
     f"WHEN '{rule}' THEN 1000 * {a} {'>' if side == 'above' else '<'} cut * {b}" for rule, (a, b, side, _) in RULES.items()
 ) + " END"
@@ -128,17 +128,21 @@ m AS (SELECT doc_id, stratum, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::B
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
   coalesce(n_lines, 0)::BIGINT AS n_lines FROM texts LEFT JOIN repeats USING (doc_id) LEFT JOIN dups USING (doc_id)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
-cuts(rule, cut, place) AS (VALUES {_RULE_ROWS}),
+cuts(rule, cut, step) AS (VALUES {_RULE_ROWS}),
 known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY 1),
-seen AS (SELECT stratum, rule, cut, place, count(*) FILTER (quality = 1) AS n,
-  count(*) FILTER (quality = 1 AND {_FIRES}) AS k, count(*) FILTER (quality = 0 AND {_FIRES}) AS bad
-  FROM b JOIN known USING (doc_id), cuts WHERE NOT base_failed GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k >= n THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END)
-  - (CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END) + i * ln({ALPHA / len(RULES)}) + (n - i) * ln(1 - {ALPHA / len(RULES)})))
-  FROM (SELECT unnest(range(k + 1)) AS i)) END AS tail FROM seen),
-best AS (SELECT stratum, rule, first(cut ORDER BY bad - k DESC, place) AS cut FROM p
-  WHERE bad > k AND tail <= {DELTA} / (SELECT count(*) FROM seen) GROUP BY ALL),
-fired AS (SELECT DISTINCT doc_id FROM b JOIN best USING (stratum) WHERE {_FIRES})
+held AS (SELECT b.*, quality FROM b JOIN known USING (doc_id) WHERE NOT base_failed),
+strata AS (SELECT stratum, count(*) FILTER (quality = 1) AS n_good FROM held GROUP BY 1),
+useful AS (SELECT DISTINCT stratum, rule, cut, step FROM held, cuts WHERE quality = 0 AND {_FIRES}),
+firsts AS (SELECT doc_id, stratum, any_value(quality) AS quality, min(step) AS step FROM held JOIN useful USING (stratum) WHERE {_FIRES} GROUP BY ALL),
+steps AS (SELECT u.stratum, u.step, count(doc_id) FILTER (quality = 1) AS k, count(doc_id) FILTER (quality = 0) AS bad
+  FROM useful u LEFT JOIN firsts f ON f.stratum = u.stratum AND f.step <= u.step GROUP BY ALL),
+p AS (SELECT stratum, step, k, bad, CASE WHEN k >= n THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END)
+  - (CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))
+  FROM (SELECT unnest(range(k + 1)) AS i)) END AS tail FROM (SELECT *, n_good AS n FROM steps JOIN strata USING (stratum))),
+failed AS (SELECT stratum, min(step) FILTER (tail > {DELTA} / (SELECT count(*) FROM strata)) AS stop FROM p GROUP BY 1),
+best AS (SELECT stratum, first(step ORDER BY bad - k DESC, step) AS taken FROM p JOIN failed USING (stratum)
+  WHERE (stop IS NULL OR step < stop) AND bad > k GROUP BY 1),
+fired AS (SELECT DISTINCT doc_id FROM b JOIN best USING (stratum) JOIN useful USING (stratum) WHERE step <= taken AND {_FIRES})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM fired) AS kept FROM b"""
 

@@ -84,45 +84,74 @@ def tail(k: int, n: int, p: float) -> float:
     return math.fsum(map(math.exp, logs))
 
 
+def settings() -> list[tuple[str, int]]:
+    """All cutoffs in the fixed order in which they are tried: the most lenient ones of all rules, then the next."""
+    longest = max(len(cuts) for *_, cuts in RULES.values())
+    return [(rule, cuts[i]) for i in range(longest) for rule, (*_, cuts) in RULES.items() if i < len(cuts)]
+
+
+def last_certified(steps: Sequence[tuple[int, int, int]], n_good: int, alpha: float, level: float) -> int | None:
+    """The step to take, of (step, good documents rejected up to it, bad ones): of those before the first one that is not
+    certified the one with the largest difference of bad and good ones, the first at a tie; None if none rejects more bad ones."""
+    best, taken = 0, None
+    for step, good, bad in sorted(steps):
+        if tail(good, n_good, alpha) > level:
+            break
+        if bad - good > best:
+            best, taken = bad - good, step
+    return taken
+
+
 def fit_cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with the chosen cutoff of each rule, null where none is certified or useful.
 
     ``measures`` has ``doc_id, stratum`` and the measures, ``labels`` has ``doc_id, quality`` (1 good, 0 bad). All
-    labelled documents that pass the base rules are the holdout; cutoffs come from fixed lists, so none was chosen on it.
-    A cutoff is certified if as few rejected good documents as were seen have a chance of at most ``delta`` divided by
-    the number of all cutoffs tried in all strata (Bonferroni), were the true share of rejected good documents over
-    ``alpha`` divided by the number of rules. So with probability ``1 - delta`` no stratum loses more than ``alpha`` of
-    its good documents. Of the certified cutoffs the one with the largest difference of bad and good rejected
-    documents is taken, the most lenient at a tie.
+    labelled documents that pass the base rules are the holdout. Cutoffs come from fixed lists and are added one after the other in
+    the order of ``settings``; one that rejects no bad document of the stratum is left out, which the good ones
+    have no part in. Each step is tested on the good documents that it and all before it reject together: it is certified if
+    so few have a chance of at most ``delta`` divided by the number of strata, were the true share over ``alpha``. The first
+    step that is not certified ends the sequence. Tests in a fixed order need no division among them, so with probability
+    ``1 - delta`` no stratum loses more than ``alpha`` of its good documents, whichever of the certified steps is taken.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = measures.where(~base_failed()).join(known, "doc_id")
-    good, bad = F.col("quality") == 1, F.col("quality") == 0
-    tried = [(rule, cut) for rule, (*_, cuts) in RULES.items() for cut in cuts]
-    counted = held.groupBy("stratum").agg(
-        F.sum(good.cast("bigint")).alias("n_good"),
-        *[F.sum((good & _rejects(r, c)).cast("bigint")).alias(f"good_{r}_{c}") for r, c in tried],
-        *[F.sum((bad & _rejects(r, c)).cast("bigint")).alias(f"bad_{r}_{c}") for r, c in tried],
+    columns = ["stratum", *MEASURES]
+    held = materialise(measures.where(~base_failed()).join(known, "doc_id").select(*columns, "quality"))
+    tried = settings()
+    bad = F.col("quality") == 0
+    useful = F.array(*[F.coalesce(F.max(bad & _rejects(r, c)), F.lit(False)) for r, c in tried])
+    strata = held.groupBy("stratum").agg(F.count("*").alias("n"), F.sum((~bad).cast("bigint")).alias("n_good"), useful.alias("useful"))
+    strata = materialise(strata)
+    # The first useful step that rejects a document.
+    steps = [F.when(_rejects(r, c) & F.col("useful")[i], F.lit(i)) for i, (r, c) in enumerate(tried)]
+    of = strata.select(F.col("stratum").alias("_of"), "useful")
+    first = held.join(of, F.col("stratum") == F.col("_of")).select("stratum", bad.alias("bad"), F.least(*steps).alias("step"))
+    counts = first.where("step is not null").groupBy("stratum", "step").agg(
+        F.sum((~F.col("bad")).cast("bigint")).alias("good"), F.sum(F.col("bad").cast("bigint")).alias("bad")
     )
-    counted = materialise(counted)
-    level = delta / (max(counted.count(), 1) * len(tried))
-    chance = alpha / len(RULES)
+    per_stratum = counts.groupBy("stratum").agg(F.collect_list(F.struct("step", "good", "bad")).alias("counts"))
+    level = delta / max(strata.count(), 1)
+    joined = strata.join(per_stratum, "stratum", "left")
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             chosen = []
             for row in batch.to_dict("records"):
-                cuts = {"stratum": row["stratum"]}
-                for rule, (*_, grid) in RULES.items():
-                    best, cuts[rule] = 0, None
-                    for cut in grid:
-                        lost, gain = row[f"good_{rule}_{cut}"], row[f"bad_{rule}_{cut}"] - row[f"good_{rule}_{cut}"]
-                        if gain > best and tail(lost, row["n_good"], chance) <= level:
-                            best, cuts[rule] = gain, cut
+                rejected = {c["step"]: (c["good"], c["bad"]) for c in (row["counts"] if row["counts"] is not None else ())}
+                good = lost = 0
+                reached = []
+                for step, used in enumerate(row["useful"]):
+                    if used:
+                        good, lost = good + rejected.get(step, (0, 0))[0], lost + rejected.get(step, (0, 0))[1]
+                        reached.append((step, good, lost))
+                taken = last_certified(reached, row["n_good"], alpha, level)
+                cuts = dict.fromkeys(RULES) | {"stratum": row["stratum"]}
+                for step, *_ in reached:
+                    if taken is not None and step <= taken:
+                        cuts[tried[step][0]] = tried[step][1]
                 chosen.append(cuts)
             yield pd.DataFrame(chosen, columns=["stratum", *RULES]).astype({rule: "Int64" for rule in RULES})
 
-    return counted.mapInPandas(choose, "stratum string, " + ", ".join(f"{rule} bigint" for rule in RULES))
+    return joined.mapInPandas(choose, "stratum string, " + ", ".join(f"{rule} bigint" for rule in RULES))
 
 
 def verdict(measures: DataFrame, cutoffs: DataFrame) -> DataFrame:
