@@ -448,9 +448,12 @@ SELECT idx AS "index", s::int AS span_start, count(*) AS n, sum(e)::bigint AS en
 )
 def spans_masked(spark, sf_dir):
     padded = batches.batch_and_pad(materialise(_dialog_ids(spark, sf_dir).select("index", "input_ids", "length")))
-    table = spans.enumerate_spans(padded, ["index"])
+    table = spans.span_intervals(padded, ["index"])
+    n = (F.col("last_end") - F.col("first_end") + 1).cast("bigint")
     return table.groupBy("index", "span_start").agg(
-        F.count("*").alias("n"), F.sum("span_end").alias("end_sum"), F.sum("span_mask").alias("mask_sum")
+        F.sum(n).alias("n"),
+        F.sum(F.expr("(first_end + last_end) * (last_end - first_end + 1L) div 2")).alias("end_sum"),
+        F.sum(n * F.col("span_mask")).alias("mask_sum"),
     )
 
 

@@ -18,6 +18,7 @@ from textpairs.storage import materialise
 Translate = Callable[[list[str]], list[str]]
 
 CALL_ROWS = 99  # fixed value: texts per call
+MAX_SHARDS = 100_000
 
 
 def _call(fn: Translate, texts: list[str]) -> list[tuple[str, bool]]:
@@ -124,14 +125,50 @@ def union_shards(*shards: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, shards)
 
 
+def crowded_intervals(shards: DataFrame) -> DataFrame:
+    """``hop, shard, crowded``: per shard the parts of its range that another shard covers too, or all of it if it holds a row
+    twice, as an array of ``start, stop``.
+
+    A range goes from a shard's first row to its last. The starts and stops of a hop's shards cut the line into elementary intervals; a running sum tells how many shards lie
+    over each. Only shard names are sorted, and only row numbers are counted.
+    """
+    ranges = shards.groupBy("hop", "shard").agg(F.min("row_index").alias("start"), (F.max("row_index") + 1).alias("stop"))
+    ranges = materialise(ranges)
+    ends = [F.struct(F.col(c).alias("edge"), F.lit(step).alias("step")) for c, step in (("start", 1), ("stop", -1))]
+    steps = ranges.select("hop", F.explode(F.array(*ends)).alias("e")).groupBy("hop", "e.edge").agg(F.sum("e.step").alias("step"))
+    line = W.partitionBy("hop").orderBy("edge")
+    over = steps.select(
+        "hop", "edge", F.lead("edge").over(line).alias("next"), F.sum("step").over(line).alias("over")
+    ).where("over > 1")
+    # An elementary interval lies in a shard or outside of it, as a whole.
+    met = ranges.alias("r").join(over.alias("o"), F.expr("r.hop = o.hop and o.edge >= r.start and o.next <= r.stop"))
+    met = met.select("r.hop", "r.shard", F.struct(F.col("o.edge").alias("start"), F.col("o.next").alias("stop")).alias("part"))
+    twice = shards.groupBy("hop", "shard", "row_index").count().where("count > 1").select("hop", "shard").distinct()
+    whole = F.struct(F.lit(-(1 << 63)).alias("start"), F.lit((1 << 63) - 1).alias("stop"))
+    parts = met.unionByName(twice.select("hop", "shard", whole.alias("part")))
+    return parts.groupBy("hop", "shard").agg(F.collect_list("part").alias("crowded"))
+
+
 def resolve_overlap(shards: DataFrame) -> DataFrame:
-    """One row per hop and row index: one with text before one without, then the widest range."""
+    """One row per hop and row index: one with text before one without, then the widest range.
+
+    Only rows of intervals that more than one shard covers are ranked; the texts of all others stay where they are.
+    """
+    crowded = materialise(crowded_intervals(shards).select(F.col("hop").alias("_hop"), F.col("shard").alias("_shard"), "crowded"))
+    if crowded.isEmpty():
+        return shards
+    # Shards are folders, thousands of them; beyond that the planner decides.
+    crowded = F.broadcast(crowded) if crowded.count() <= MAX_SHARDS else crowded
+    rows = shards.join(crowded, (F.col("hop") == F.col("_hop")) & (F.col("shard") == F.col("_shard")), "left")
+    inside = F.exists("crowded", lambda c: (F.col("row_index") >= c["start"]) & (F.col("row_index") < c["stop"]))
+    rows = rows.select(*shards.columns, F.coalesce(inside, F.lit(False)).alias("_several"))
     bounds = F.split("shard", "-")
     width = bounds[1].cast("bigint") - bounds[0].cast("bigint")
     best = W.partitionBy("hop", "row_index").orderBy(
         is_empty_result("text").asc(), width.desc(), F.asc("shard"), F.asc("text")
     )
-    return shards.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+    ranked = rows.where("_several").withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
+    return rows.where("not _several").drop("_several").unionByName(ranked.drop("_rank", "_several"))
 
 
 def assemble_hop(shards: DataFrame) -> DataFrame:

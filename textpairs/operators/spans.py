@@ -48,6 +48,42 @@ def enumerate_spans(
     return spans.select(*keep, "span_start", "span_end", mask.alias("span_mask"))
 
 
+def span_intervals(
+    df: DataFrame, keep: Sequence[str], ids: str = "input_ids", length: str = "length"
+) -> DataFrame:
+    """The spans of ``enumerate_spans`` as ``span_start, first_end, last_end, span_mask``: the ends of a start that follow each
+    other and have the same mask are one row, so there are two rows per start at most. ``expand_intervals`` makes the spans."""
+    last = F.size(ids) - 2
+    starts = df.select(
+        *keep,
+        F.col(length).cast("int").alias("_length"),
+        first_separator(ids).alias("_middle"),
+        last.alias("_last"),
+        F.explode(_range(F.lit(1), last)).alias("_start"),
+    )
+    # Valid ends follow the start, up to the end of its text; a start that is no token of a text has none.
+    inside = F.least(F.col("_length") - 2, F.col("_last"))
+    stop = F.when(F.col("_start") > F.col("_middle"), inside).otherwise(F.least(F.col("_middle") - 1, inside))
+    stop = F.when(F.col("_start") <= inside, stop).otherwise(0)
+    end = F.greatest(F.least(stop, F.col("_last")), F.col("_start") - 1)
+
+    def piece(first: Column, last: Column, valid: bool) -> Column:
+        mask = F.lit(0 if valid else 1_000_000)
+        return F.struct(first.alias("first_end"), last.alias("last_end"), mask.alias("span_mask"))
+
+    pieces = F.array(piece(F.col("_start"), F.col("_stop"), True), piece(F.col("_stop") + 1, F.col("_last"), False))
+    rows = starts.withColumn("_stop", end)
+    rows = rows.select(*keep, F.col("_start").alias("span_start"), F.explode(pieces).alias("_piece"))
+    rows = rows.select(*keep, "span_start", "_piece.first_end", "_piece.last_end", "_piece.span_mask")
+    return rows.where(F.col("first_end") <= F.col("last_end"))
+
+
+def expand_intervals(intervals: DataFrame) -> DataFrame:
+    """A row per span, where a score is to be attached."""
+    others = [c for c in intervals.columns if c not in ("first_end", "last_end", "span_mask")]
+    return intervals.select(*others, F.explode(_range(F.col("first_end"), F.col("last_end"))).alias("span_end"), "span_mask")
+
+
 def valid_spans(
     df: DataFrame,
     keep: Sequence[str],
