@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from textpairs.llm.common import col
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHED = 200_000
+CACHED = 100_000
 ENCODED = "struct<ids:array<int>,decoded:binary>"
 
 

@@ -6,7 +6,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,11 +131,11 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
     level = delta / max(strata.count(), 1)
     joined = strata.join(per_stratum, "stratum", "left")
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chosen = []
-            for row in batch.to_dict("records"):
-                rejected = {c["step"]: (c["good"], c["bad"]) for c in (row["counts"] if row["counts"] is not None else ())}
+            for row in batch.to_pylist():
+                rejected = {c["step"]: (c["good"], c["bad"]) for c in row["counts"] or ()}
                 good = lost = 0
                 reached = []
                 for step, used in enumerate(row["useful"]):
@@ -149,9 +148,11 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = ALPHA, de
                     if taken is not None and step <= taken:
                         cuts[tried[step][0]] = tried[step][1]
                 chosen.append(cuts)
-            yield pd.DataFrame(chosen, columns=["stratum", *RULES]).astype({rule: "Int64" for rule in RULES})
+            columns = [pa.array([c["stratum"] for c in chosen], pa.string())]
+            columns += [pa.array([c[rule] for c in chosen], pa.int64()) for rule in RULES]
+            yield pa.RecordBatch.from_arrays(columns, names=["stratum", *RULES])
 
-    return joined.mapInPandas(choose, "stratum string, " + ", ".join(f"{rule} bigint" for rule in RULES))
+    return joined.mapInArrow(choose, "stratum string, " + ", ".join(f"{rule} bigint" for rule in RULES))
 
 
 def verdict(measures: DataFrame, cutoffs: DataFrame) -> DataFrame:
