@@ -22,7 +22,7 @@ WIDTH = 5
 PERCENT = 80
 FRAGMENTS = 4
 ZONE = 3  # the lowest 1/3 of the hash range is counted to find texts that cannot link
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
 CHUNK_BYTES = 4 << 20
 FOLD = str.maketrans(UPPER, UPPER.lower())
 
