@@ -48,10 +48,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of the rows with the same id and text.
     """
     rows = docs.select(*COLUMNS, *digest("text"))
-    texts = jaccard_classes(rows.select("h1", "text"), key="h1").where("n_shingles > 0")
-    texts = texts.groupBy(F.col("doc_id").alias("h1"), "component_id").agg(F.count("*").alias("n"))
-    texts = materialise(texts)
-    copied = texts.groupBy("component_id").agg(F.sum("n").alias("n")).where("n > 1").select("component_id")
+    many = _repeated_texts(rows)
+    texts = jaccard_classes(_one_of_each_text(rows, many), key="h1").where("n_shingles > 0")
+    texts = materialise(texts.select(F.col("doc_id").alias("h1"), "component_id").distinct())
+    copies = F.sum(F.coalesce("n", F.lit(1)))
+    copied = texts.join(many, "h1", "left").groupBy("component_id").agg(copies.alias("n")).where("n > 1").select("component_id")
     texts = materialise(texts.join(copied, "component_id").select("h1", "component_id"))
     named = rows.select("doc_id", "h1", "h2").join(texts, "h1")
     named = materialise(named.groupBy("component_id", "doc_id", "h1", "h2").agg(F.count("*").alias("n")))
@@ -68,6 +69,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.unionByName(one.select("doc_id", "chosen.*").select(*COLUMNS))
 
 
+def _repeated_texts(rows: DataFrame) -> DataFrame:
+    """``h1, n, least``: the texts with words that several rows hold, how many, and the smallest id."""
+    texts = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return materialise(texts.groupBy("h1").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"))
+
+
+def _one_of_each_text(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """``h1, text``, texts without words left out; of the rows with one text those with the smallest id alone."""
+    texts = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    met = texts.join(many.select(F.col("h1").alias("many"), "least"), F.expr("h1 = many"), "left")
+    return met.where(F.col("many").isNull() | F.col("doc_id").eqNullSafe(F.col("least"))).select("h1", "text")
+
+
 def _rows_of(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
     """Join on id, null like any other, and hash of the text."""
     r, s = rows.alias("r"), some.alias("s")

@@ -136,20 +136,35 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
+def _by_first(batches: Iterator[pa.RecordBatch], **packed: type) -> dict[int, list[dict[str, np.ndarray]]]:
+    """The rows by their first column, the others as arrays over the batch's own memory: no Python object per value."""
+    out: dict[int, list[dict[str, np.ndarray]]] = {}
+    for batch in batches:
+        names = batch.schema.names[1:]
+        for at, first in enumerate(batch.column(0).to_pylist()):
+            row = {}
+            for name in names:
+                value = batch.column(name)[at]
+                if name in packed:
+                    row[name] = np.frombuffer(value.as_buffer(), packed[name])
+                else:
+                    row[name] = value.values.to_numpy(zero_copy_only=False)
+            out.setdefault(first, []).append(row)
+    return out
+
+
 def _count_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text, how many counted n-grams no other text holds; reads the blocks of some buckets."""
-    by_bucket: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            by_bucket.setdefault(row["bucket"], []).append(row)
-    for blocks in by_bucket.values():
-        place = np.concatenate([np.frombuffer(b["places"], np.uint32) for b in blocks])
+    by_bucket = _by_first(batches, places=np.uint32, owners=np.uint32)
+    while by_bucket:
+        _, blocks = by_bucket.popitem()
+        place = np.concatenate([b["places"] for b in blocks])
         counts = [len(b["ids"]) for b in blocks]
         starts = np.r_[0, np.cumsum(counts)]
         owner = np.concatenate(
             [
-                np.where(o == 0xFFFFFFFF, -1, o.astype(np.int64) + s)
-                for o, s in zip((np.frombuffer(b["owners"], np.uint32) for b in blocks), starts, strict=False)
+                np.where(b["owners"] == 0xFFFFFFFF, -1, b["owners"].astype(np.int64) + s)
+                for b, s in zip(blocks, starts, strict=False)
             ]
         )
         order = np.argsort(place, kind="stable")
@@ -158,7 +173,7 @@ def _count_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = owner[first][np.diff(np.r_[first, len(place)]) == 1]
         total = np.bincount(alone[alone >= 0], minlength=int(starts[-1]))
         some = np.flatnonzero(total)
-        gathered = [np.concatenate([np.array(b[c], np.int64) for b in blocks])[some] for c in ("ids", "bodies", "sizes")]
+        gathered = [np.concatenate([b[c] for b in blocks])[some] for c in ("ids", "bodies", "sizes")]
         yield pa.RecordBatch.from_arrays(
             [*map(pa.array, gathered), pa.array(total[some])], names=["key", "body", "n", "alone"]
         )
@@ -223,19 +238,22 @@ def _frequencies(parts: int):
     """Of the texts in some buckets the n-grams that other texts hold too, packed by the part their node falls into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [row for batch in batches for row in batch.to_pylist()]
-        if not blocks:
+        by_bucket = _by_first(batches, grams=np.uint64, owners=np.uint32)
+        found = []
+        while by_bucket:
+            _, blocks = by_bucket.popitem()
+            gram = np.concatenate([b["grams"] for b in blocks])
+            nodes = np.concatenate([b["nodes"] for b in blocks])
+            starts = np.r_[0, np.cumsum([len(b["nodes"]) for b in blocks])]
+            owner = np.concatenate([b["owners"].astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)])
+            _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
+            count = count[inverse]
+            shared = count > 1
+            found.append((gram[shared], nodes[owner[shared]], count[shared].astype(np.uint32)))
+        if not found:
             return
-        gram = np.concatenate([np.frombuffer(b["grams"], np.uint64) for b in blocks])
-        nodes = np.concatenate([np.array(b["nodes"], np.int64) for b in blocks])
-        starts = np.r_[0, np.cumsum([len(b["nodes"]) for b in blocks])]
-        owner = np.concatenate(
-            [np.frombuffer(b["owners"], np.uint32).astype(np.int64) + s for b, s in zip(blocks, starts, strict=False)]
-        )
-        _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
-        count = count[inverse]
-        shared = count > 1
-        gram, node, count = gram[shared], nodes[owner[shared]], count[shared].astype(np.uint32)
+        gram, node, count = map(np.concatenate, zip(*found, strict=True))
+        del found
         part = (_mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((node, part))
         gram, node, count, part = gram[order], node[order], count[order], part[order]
@@ -257,15 +275,13 @@ def _frequencies(parts: int):
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``node, grams``: the shared n-grams of the texts in some parts in the global order, rarest first."""
-    by_part: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            by_part.setdefault(row["part"], []).append(row)
-    for blocks in by_part.values():
-        sizes = np.concatenate([np.frombuffer(b["sizes"], np.uint32) for b in blocks])
-        node = np.repeat(np.concatenate([np.array(b["nodes"], np.int64) for b in blocks]), sizes)
-        gram = np.concatenate([np.frombuffer(b["grams"], np.uint64) for b in blocks])
-        count = np.concatenate([np.frombuffer(b["counts"], np.uint32) for b in blocks])
+    by_part = _by_first(batches, sizes=np.uint32, grams=np.uint64, counts=np.uint32)
+    while by_part:
+        _, blocks = by_part.popitem()
+        sizes = np.concatenate([b["sizes"] for b in blocks])
+        node = np.repeat(np.concatenate([b["nodes"] for b in blocks]), sizes)
+        gram = np.concatenate([b["grams"] for b in blocks])
+        count = np.concatenate([b["counts"] for b in blocks])
         order = np.lexsort((gram, count, node))
         node, gram = node[order], gram[order].view(np.int64)
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
