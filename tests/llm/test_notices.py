@@ -89,3 +89,41 @@ def test_own_templates_without_a_cue(spark):
         want = [(1, "house", "exact"), (2, "house", "near"), (3, "short", "exact"), (4, "words", "exact"), (6, "", "none")]
         assert got == [w for w in want if not w[1] or w[1] in templates]
     assert scan_licenses(cases.documents(spark, rows=rows), {}).where("license is not null").count() == 0
+
+
+def test_the_ranking_decides_which_template_is_confirmed(monkeypatch):
+    wide = "This license lets anyone copy, change and {} the work in any form"
+    templates = {"sell": wide.format("sell"), "print": wide.format("print")}
+    for first in templates:
+        scanner = Scanner(templates)
+        order = [first, *(name for name in templates if name != first)]
+        monkeypatch.setattr(scanner, "ranked", lambda block, order=order: order)
+        assert found(scanner, wide.format("lend")) == [(first, "near")]
+        assert [found(scanner, templates[name]) for name in templates] == [[(name, "exact")] for name in templates]
+
+
+def test_templates_rank_by_the_bytes_they_save(scanner):
+    for name, text in TEMPLATES.items():
+        ranking = scanner.ranked(f"some words before it {text} and others after it")
+        saved = [scanner.reduction(n, f"some words before it {text} and others after it") for n in ranking]
+        assert saved == sorted(saved, reverse=True) and ranking[0] == name
+
+
+def test_no_exact_notice_is_missed(scanner):
+    """Notices between random words that resemble them; a plain word search finds none that the scan lacks."""
+    rng = random.Random(8)
+    pool = [w for t in TEMPLATES.values() for w in t.split()]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            parts.append(" ".join(rng.choices(pool, k=rng.randrange(1, 25))))
+            parts.append(rng.choice(list(TEMPLATES.values())))
+        text = rng.choice([" ", "\n"]).join(parts)
+        rows = scanner.scan(text)
+        got = wording(" | ".join(r["wording"] for r in rows if r["verdict"] != "none"))
+        for name in TEMPLATES:
+            held = [other for other in TEMPLATES if other != name and times(name, TEMPLATES[other])]
+            exact = sum(r.get("license") == name and r["verdict"] == "exact" for r in rows)
+            inside = sum(times(name, r["wording"]) for r in rows if r.get("license") in held)
+            assert exact + inside == times(name, text), (name, text)
+        assert got

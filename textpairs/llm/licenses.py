@@ -62,7 +62,7 @@ WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
 class Notice(NamedTuple):
-    """A template in a text, best first: differences, template words, bytes saved, name, its words and their kinds."""
+    """A template in a text: differences, template words, bytes saved, name, its words and their kinds."""
 
     wrong: int
     minus_size: int
@@ -186,6 +186,13 @@ class Scanner:
             if wrong <= k and -start <= at:
                 yield -start, at + 1, wrong - extra, extra
 
+    def ranked(self, block: str) -> list[str]:
+        """Every template, by the bytes it saves in the block as raw dictionary, then by length and name."""
+        raw = block.encode()
+        plain = len(self.plain.compress(raw))
+        saved = {name: plain - len(primed.compress(raw)) for name, primed in self.primed.items()}
+        return sorted(saved, key=lambda name: (-saved[name], -len(self.words[name]), name))
+
     def notices(self, page: Page, low: int, high: int) -> list[Notice]:
         """The notices among the words from ``low`` to ``high``, none of which share a word, the best ones first."""
 
@@ -193,39 +200,38 @@ class Scanner:
             saved = self.reduction(name, page.text[page.starts[start] : page.ends[end - 1]])
             return Notice(missing + extra, -len(self.words[name]), -saved, name, start, end, missing, extra)
 
-        def exact(low: int, high: int) -> Iterator[Notice]:
-            for name, starts in self.laid(words, low, high).items():
-                size = len(self.words[name])
-                for start in starts:
-                    if low <= start <= high - size and words[start : start + size] == self.words[name]:
-                        yield notice(name, start, start + size, 0, 0)
+        def exact(name: str, starts: list[int], low: int, high: int) -> Iterator[Notice]:
+            size = len(self.words[name])
+            for start in starts:
+                if low <= start <= high - size and words[start : start + size] == self.words[name]:
+                    yield notice(name, start, start + size, 0, 0)
 
-        def near(low: int, high: int) -> Iterator[Notice]:
-            for name, starts in self.laid(words, low, high).items():
-                k, size = self.allowed[name], len(self.words[name])
-                for first, last in joined([(s - k, s + size + k) for s in starts], 0) if k else ():
-                    for found in self.aligned(name, words, max(first, low), min(last, high)):
-                        yield notice(name, *found)
+        def near(name: str, starts: list[int], low: int, high: int) -> Iterator[Notice]:
+            k, size = self.allowed[name], len(self.words[name])
+            for first, last in joined([(s - k, s + size + k) for s in starts], 0) if k else ():
+                for found in self.aligned(name, words, max(first, low), min(last, high)):
+                    yield notice(name, *found)
 
         words, out = page.words, []
         for search in (exact, near):
-            # Words of a notice are taken away; between them is searched again if they took part in others.
+            # The template that ranks first of those confirmed takes its words; the parts between are ranked anew.
             taken = sorted((n.start, n.end) for n in out)
             parts = list(zip([low, *(e for _, e in taken)], [*(s for s, _ in taken), high], strict=True))
             while parts:
                 first, last = parts.pop()
-                chosen: list[Notice] = []
-                dropped = []
-                for one in sorted(search(first, last)):
-                    at = bisect_left(chosen, one.start, key=lambda n: n.start)
-                    if at and chosen[at - 1].end > one.start or at < len(chosen) and chosen[at].start < one.end:
-                        dropped.append(one)
-                    else:
-                        chosen.insert(at, one)
-                out += chosen
-                if search is near and dropped:
-                    edges = zip([first, *(n.end for n in chosen)], [*(n.start for n in chosen), last], strict=True)
-                    parts += [(a, b) for a, b in edges if a < b]
+                if first >= last:
+                    continue
+                laid = self.laid(words, first, last)
+                for name in self.ranked(page.text[page.starts[first] : page.ends[last - 1]]):
+                    chosen: list[Notice] = []
+                    for one in sorted(search(name, laid.get(name, []), first, last)):
+                        at = bisect_left(chosen, one.start, key=lambda n: n.start)
+                        if not (at and chosen[at - 1].end > one.start or at < len(chosen) and chosen[at].start < one.end):
+                            chosen.insert(at, one)
+                    if chosen:
+                        out += chosen
+                        parts += zip([first, *(n.end for n in chosen)], [*(n.start for n in chosen), last], strict=True)
+                        break
         return sorted(out)
 
     def scan(self, text: str) -> list[dict]:
@@ -300,10 +306,11 @@ def scan_licenses(
 
     Words of the templates without a cue word are looked for as well, so notices of any templates are found. A block is a line with a cue word or several that are close together. Every template is compared word by word (case
     and punctuation apart) with the words around each cue, on both sides as many as a notice can have, so neither the
-    length of a line nor line breaks within a notice matter. A notice differs from its template by a fifth of the template's words at most. Of notices
-    that share words the one with the fewest differences wins, of equals the longer one, then the one whose template
-    saves most bytes as raw dictionary (``reduction``); its words are taken away and the others are compared again, so
-    all notices of a block are found. ``wording`` is the notice from its first to its last word, ``verdict`` is ``exact``
+    length of a line nor line breaks within a notice matter. A notice differs from its template by less than a
+    fifth of the template's words. The words around a cue are compressed with each template as raw dictionary; templates are
+    confirmed in the order of the bytes they save, first for equal wording, then for near wording. The first one confirmed
+    takes its words away, and what is left is ranked again until none is confirmed, so all notices of a block are found.
+    ``reduction`` is what the template saves on the notice alone. ``wording`` is the notice from its first to its last word, ``verdict`` is ``exact``
     or ``near``. Cues that no notice holds give one row per block, whole lines without template, ``none``.
 
     Texts without a cue are left out before Python sees them; null and empty ones have none. Rows are independent: null
