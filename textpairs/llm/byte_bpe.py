@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from textpairs.llm.common import col
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHED = 100_000
+CACHED = 200_000
+HEAD = 4
+NEVER = 1 << 62
 ENCODED = "struct<ids:array<int>,decoded:binary>"
 
 
@@ -27,16 +29,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Pieces(dict):
-    """Ids of the pieces met so far, as 32-bit integers; emptied when full."""
+    """Ids of the pieces met so far, as 32-bit integers. When half full, what was not met since the last time is given up."""
 
     def __init__(self, pairs: BytePairs):
         super().__init__()
-        self.pairs = pairs
+        self.pairs, self.half = pairs, -(-pairs.cached // 2)
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.pairs.cached:
+        if len(self) >= self.half:
+            self.before = dict(self)
             self.clear()
-        ids = self[piece] = np.array(self.pairs.encode_piece(piece.encode()), dtype=np.int32).tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array("i", self.pairs.encode_piece(piece.encode())).tobytes()
+        self[piece] = ids
         return ids
 
 
@@ -46,18 +53,19 @@ class BytePairs:
     A sequence of tokens is the one the merges give exactly when every token is, on its own, and every two
     neighbours are. So the longest match is taken at each place, given up for the next shorter one where it does not
     go with the token before, and a place from which nothing goes on is marked and never tried again: a text of n
-    bytes takes a number of steps in proportion to n. What goes with what is decided once per pair and remembered.
+    bytes takes a number of steps in proportion to n. A match is looked for from the longest token with the same first
+    bytes downwards. What goes with what is decided once per pair and remembered.
     """
 
     def __init__(self, ranks: dict[bytes, int], cached: int = CACHED):
         self.ranks, self.cached = ranks, cached
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
-        # Run over a reversed text, it finds for each place the longest token that starts there.
-        self.backwards = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.backwards.add_word(token[::-1].decode("latin-1"), rank)
-        self.backwards.make_automaton()
+        # The longest token with these first bytes.
+        self.reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) >= HEAD:
+                self.reach[token[:HEAD]] = max(len(token), self.reach.get(token[:HEAD], 0))
         self.pieces = _Pieces(self)
         self.strings = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.binary())
         self.pairs: dict[int, bool] = {}
@@ -65,14 +73,19 @@ class BytePairs:
         self.single: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
-        """The merges done one by one; for the few bytes of one or two tokens."""
+        """The merges done one by one; for the few bytes of one or two tokens. Only a merge's neighbours are ranked anew."""
+        ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 62))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        costs = [ranks.get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while costs and (least := min(costs)) != NEVER:
+            at = costs.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del costs[at]
+            if at < len(costs):
+                costs[at] = ranks.get(parts[at] + parts[at + 1], NEVER)
+            if at:
+                costs[at - 1] = ranks.get(parts[at - 1] + parts[at], NEVER)
+        return [ranks[p] for p in parts]
 
     def _fits(self, last: int | None, token: int) -> bool:
         if last is None:
@@ -82,7 +95,7 @@ class BytePairs:
         key = last << 32 | token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 2 * self.cached:
+            if len(self.pairs) >= self.cached:
                 self.pairs.clear()
             found = self.pairs[key] = self.merged(self.tokens[last] + self.tokens[token]) == [last, token]
         return found
@@ -94,40 +107,36 @@ class BytePairs:
             self.shorter[token] = next((rank for rank in ends if rank is not None), None)
         return self.shorter[token]
 
-    def _longest(self, piece: bytes) -> list[int]:
-        last, sizes, found = len(piece) - 1, self.sizes, [-1] * len(piece)
-        for end, rank in self.backwards.iter(piece[::-1].decode("latin-1")):
-            known = found[last - end]
-            if known < 0 or sizes[rank] > sizes[known]:
-                found[last - end] = rank
-        return found
-
     def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
+        ranks, n = self.ranks.get, len(piece)
+        whole = ranks(piece)
         if whole is not None:
             return [whole]
-        longest, sizes, pairs = self._longest(piece), self.sizes, self.pairs
-        n, at, out = len(piece), 0, []
+        sizes, pairs, reach, at = self.sizes, self.pairs.get, self.reach.get, 0
+        out: list[int] = []
         dead = bytearray(n + 1)
-        token: int | None = longest[0]
-        while at < n:
-            while token is not None:
-                if not dead[at + sizes[token]]:
-                    fits = pairs.get(out[-1] << 32 | token) if out else None
-                    if self._fits(out[-1] if out else None, token) if fits is None else fits:
-                        break
-                token = self._shorter(token)
-            if token is not None:
-                out.append(token)
-                at += sizes[token]
-                token = longest[at] if at < n else None
-            elif out:
+        while True:
+            end = min(at + reach(piece[at : at + HEAD], HEAD - 1), n)
+            while (token := ranks(piece[at:end])) is None and end > at:
+                end -= 1
+            while True:
+                while token is not None:
+                    if not dead[at + sizes[token]]:
+                        fits = pairs(out[-1] << 32 | token) if out else self.single.get(token)
+                        if self._fits(out[-1] if out else None, token) if fits is None else fits:
+                            break
+                    token = self._shorter(token)
+                if token is not None:
+                    break
+                if not out:
+                    raise ValueError("the vocabulary lacks a byte of the text")
                 dead[at] = 1
                 token = out.pop()
                 at -= sizes[token]
-            else:
-                raise ValueError("the vocabulary lacks a byte of the text")
-        return out
+            out.append(token)
+            at += sizes[token]
+            if at == n:
+                return out
 
     def encode(self, pieces: Iterable[str]) -> bytes:
         """Ids of a text's pieces as 32-bit integers."""
