@@ -3,9 +3,10 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from textpairs.llm.byte_bpe import RANKS, BytePairs, read_ranks
+from textpairs.llm.byte_bpe import RANKS, BytePairs, encode_documents, read_ranks
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +46,17 @@ def test_pieces_of_any_length_are_encoded_as_the_merges(ranks):
     pieces = [bytes(draw.choices(b"aeinrst \xed\x95\x9c0", k=draw.randrange(1, 60))) for _ in range(1000)]
     pieces += [b"a" * 3000, b" " * 3000, b"abcde " * 500, "한".encode() * 500]
     assert [pairs.encode_piece(p) for p in pieces] == [pairs.merged(p) for p in pieces]
+
+
+def test_workers_keep_nothing_remembered(spark):
+    def held(batches):
+        import gc
+
+        list(batches)
+        gc.collect()
+        yield pa.RecordBatch.from_pylist([{"n": sum(len(o.pieces) + len(o.pairs) for o in gc.get_objects() if type(o).__name__ == "BytePairs")}])
+
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id bigint, text string").repartition(8)
+    assert len(encode_documents(docs).collect()) == 40
+    left = spark.range(8).repartition(8).mapInArrow(held, "n bigint").collect()
+    assert [r["n"] for r in left] == [0] * len(left)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -138,6 +138,10 @@ class BytePairs:
             if at == n:
                 return out
 
+    def forget(self) -> None:
+        self.pieces = _Pieces(self)
+        self.pairs.clear()
+
     def encode(self, pieces: Iterable[str]) -> bytes:
         """Ids of a text's pieces as 32-bit integers."""
         return b"".join(map(self.pieces.__getitem__, pieces))
@@ -156,17 +160,29 @@ def encoder(path: str) -> BytePairs:
     return BytePairs(read_ranks(path))
 
 
+def encode_batch(pairs: BytePairs, split: regex.Pattern, texts: pa.Array) -> pa.Array:
+    each = [pairs.encode(split.findall(text.as_py() or "")) for text in texts]
+    ends = np.cumsum([0, *(len(ids) // 4 for ids in each)])
+    ids = np.frombuffer(b"".join(each), dtype=np.int32)
+    arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+    return pa.StructArray.from_arrays([arrays, pairs.decode(ids, ends)], names=["ids", "decoded"])
+
+
 def encoded(text: Column, path: str, pattern: str) -> Column:
-    """``ids`` of a text and ``decoded``, the bytes that these ids stand for."""
+    """``ids`` of a text and ``decoded``, the bytes that these ids stand for.
+
+    What the encoder remembers lives as long as a task: workers are kept for the stages that follow.
+    """
 
     @F.arrow_udf(ENCODED)
-    def encode_texts(texts: pa.Array) -> pa.Array:
+    def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pairs, split = encoder(path), regex.compile(pattern)
-        each = [pairs.encode(split.findall(text.as_py() or "")) for text in texts]
-        ends = np.cumsum([0, *(len(ids) // 4 for ids in each)])
-        ids = np.frombuffer(b"".join(each), dtype=np.int32)
-        arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-        return pa.StructArray.from_arrays([arrays, pairs.decode(ids, ends)], names=["ids", "decoded"])
+        try:
+            for texts in batches:
+                yield encode_batch(pairs, split, texts)
+        finally:
+            pairs.forget()
+            pa.default_memory_pool().release_unused()
 
     return encode_texts(text)
 
