@@ -4,6 +4,8 @@ import random
 import re
 import statistics
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import plan, rows
 from pyspark.sql import functions as F
@@ -110,3 +112,24 @@ def test_release_drops_tables(spark, tmp_path):
     assert not Path(path.removeprefix("file://")).exists()
     storage._STORED.update(stored[0])
     storage._TABLES.update(stored[1])
+
+
+@pytest.mark.parametrize("hashes", [None, lambda texts: np.arange(len(texts), dtype=np.uint64) // 3 * 0, lambda texts: np.array([len(t.as_py()) for t in texts], np.uint64)])
+def test_word_indexes_are_exact_whatever_the_hashes(monkeypatch, hashes):
+    if hashes:
+        monkeypatch.setattr(vocab, "_hashes", hashes)
+    known = ["a", "b", "", "한국", "a" * 300, None, "twice", "b\0", "twice", "<sep>", "no id"]
+    ids = [5, 6, 7, 8, 9, 10, 11, 12, 13, 14, None]
+    index = vocab.WordIndex(pa.array(known), pa.array(ids, pa.int32()), 3, {"<sep>": 2, "own": 1})
+    asked = ["x", "own", "<sep>", "no id", "twice", "b\0", "a" * 300, "a" * 299, "", "한국", "한", "b", "a", "\0"]
+    assert index.look_up(pa.array(["skipped", *asked])[1:]).to_pylist() == [3, 1, 2, 3, 13, 12, 9, 3, 7, 8, 3, 6, 5, 3]
+    assert index.look_up(pa.array([], pa.string())).to_pylist() == []
+    empty = vocab.WordIndex(pa.array([], pa.string()), pa.array([], pa.int32()), 3, {"own": 1})
+    assert empty.look_up(pa.array(["own", "x"])).to_pylist() == [1, 3]
+
+
+def test_a_word_index_is_a_few_bytes_a_word():
+    n = 200_000
+    index = vocab.WordIndex(pa.array([f"word{i}" for i in range(n)]), pa.array(range(n), pa.int32()), 3)
+    size = index.hashes.nbytes + index.ids.nbytes + index.words.nbytes
+    assert not index.rest and size < 40 * n
