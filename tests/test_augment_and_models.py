@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,49 @@ def test_redo_of_rows_without_text(spark, tmp_path):
     assert rows(again.select("text", "status"), "row_index") == [("a", "ok"), ("new", "ok"), ("c", "ok")]
 
 
+def test_jobs_list_no_shards_that_are_there(spark, tmp_path):
+    def jobs(path, group):
+        spark.sparkContext.setJobGroup(group, group)
+        df = frame(spark, [f"t{i}" for i in range(80)])
+        done = augment.enrich_resumable(df, "t", lambda ts: ts, path, "b", shard_rows=2, shards_per_job=10, tasks=1)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert rows(done.select("row_index", "text"), "row_index") == [(i, f"t{i}") for i in range(80)]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    crowded = str(tmp_path / "crowded")
+    augment.enrich_resumable(frame(spark, ["x"] * 40), "t", lambda ts: ts, crowded, "a", shard_rows=1)
+    assert jobs(crowded, "beside 40 shards") == jobs(str(tmp_path / "new"), "alone")
+
+
+def test_rows_of_a_shard_that_is_there_stay(spark, tmp_path):
+    path = str(tmp_path / "out")
+    options = {"shard_rows": 4, "shards_per_job": 2}
+    df = frame(spark, [f"t{i}" for i in range(20)])
+    augment.enrich_resumable(df.where("index % 3 = 0 and index < 12"), "t", lambda ts: ["old"] * len(ts), path, "out", **options)
+    done = augment.enrich_resumable(df, "t", lambda ts: ["new"] * len(ts), path, "out", **options)
+    want = [(i, "old" if i % 3 == 0 and i < 12 else "new") for i in range(20)]
+    assert rows(done.select("row_index", "text"), "row_index") == want
+
+
+def test_hop_with_a_name_that_folders_escape(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for hop in ("ko:en/1", "plain"):
+        augment.enrich_resumable(frame(spark, [hop]), "t", lambda ts: ts, path, hop)
+        assert rows(shards.read_shards(spark, path, hop).select("hop", "text")) == [(hop, hop)]
+    assert shards.read_shards(spark, path).count() == 2
+    assert shards.read_shards(spark, path, "none").count() == 0
+
+
+def test_results_come_in_batches_of_many_calls(spark):
+    def sized(frames):
+        for f in frames:
+            yield pd.DataFrame({"n": [len(f)]})
+
+    out = augment.enrich_column(frame(spark, ["t"] * 500).coalesce(1), "t", lambda ts: ts)
+    sizes = [r[0] for r in rows(out.mapInPandas(sized, "n int"))]
+    assert sum(sizes) == 500 and max(sizes) > augment.CALL_ROWS
+
+
 def test_overlapping_shards(spark):
     data = [("out", "0-2", 0, "a", "ok"), ("out", "0-2", 1, "", "failed")]
     data += [("out", "0-4", i, f"w{i}", "ok") for i in range(4)]
@@ -110,6 +154,16 @@ def test_round_trip_and_augmented_pairs(spark, tmp_path):
     assert got == [("rtt", 0, "ab!", "cd!", 1), ("rtt", 3, " same", "xy!", 2)]
 
 
+def test_changed_texts_are_told_as_before(spark):
+    text = [("a  b", "a b"), ("a", "a"), ("a", "b"), (None, "a")]
+    data = [(i * 4 + j, *p, *h) for i, p in enumerate(text) for j, h in enumerate(text)]
+    df = spark.createDataFrame(data, "index bigint, premise string, _p string, hypothesis string, _h string")
+    side = lambda c: df.select(F.col("index").alias("row_index"), F.col(c).alias("text"), F.lit("ok").alias("status"))
+    pairs = df.select("index", "premise", "hypothesis", F.lit(1).alias("label"))
+    got = rows(augment.augmented_pairs(pairs, side("_p"), side("_h")).select("index"), "index")
+    assert got == [(i * 4 + j,) for i in range(4) for j in range(4) if 2 in (i, j)]
+
+
 @pytest.fixture(scope="module")
 def trained(spark, tmp_path_factory):
     words = {"contradiction": "no never", "entailment": "yes sure", "neutral": "maybe so"}

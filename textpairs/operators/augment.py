@@ -58,17 +58,15 @@ def enrich_column(df: DataFrame, col: str, fn: Translate, retry: int = 1, index:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), CALL_ROWS):
-                part = frame.iloc[at : at + CALL_ROWS]
-                texts = [t if isinstance(t, str) else None for t in part["text"]]
-                done = _enrich(fn, texts, retry)
-                yield pd.DataFrame(
-                    {
-                        "row_index": part["row_index"].to_numpy(),
-                        "text": [t for t, _ in done],
-                        "status": [s for _, s in done],
-                    }
-                )
+            texts = [t if isinstance(t, str) else None for t in frame["text"]]
+            done = [r for at in range(0, len(texts), CALL_ROWS) for r in _enrich(fn, texts[at : at + CALL_ROWS], retry)]
+            yield pd.DataFrame(
+                {
+                    "row_index": frame["row_index"].to_numpy(),
+                    "text": [t for t, _ in done],
+                    "status": [s for _, s in done],
+                }
+            )
 
     narrow = df.select(F.col(index).cast("bigint").alias("row_index"), F.col(col).alias("text"))
     return narrow.mapInPandas(run, "row_index bigint, text string, status string")
@@ -94,27 +92,31 @@ def enrich_resumable(
     a corpus has thousands, not millions. The pending rows are stored once, a folder per job, so a job reads its own
     rows and no shards. ``tasks`` sets the number of concurrent callers.
     ``redo_empty`` also tries the rows again that have no text so far.
+
+    Spark lists a whole folder before it appends to it, so jobs append only where a shard holds rows already; all others
+    put new shards in place, which lists nothing.
     """
     spark = df.sparkSession
     source = df.select(F.col(index).cast("bigint").alias("row_index"), F.col(col).alias("text"))
 
-    def done() -> DataFrame:
-        shards = read_shards(spark, path, hop)
-        return shards.where(~is_empty_result("text")) if redo_empty else shards
-
+    held = read_shards(spark, path, hop)
+    done = held.where(~is_empty_result("text")) if redo_empty else held
     span = shard_rows * shards_per_job
     block = (F.col("row_index") - F.pmod("row_index", F.lit(span))).alias("block")
-    pending = pending_rows(source, done(), "row_index").select("*", block)
+    first = F.col("row_index") - F.pmod("row_index", F.lit(shard_rows))
+    shard = F.concat_ws("-", first.cast("string"), (first + shard_rows).cast("string"))
+    pending = pending_rows(source, done, "row_index").select("*", block)
     pending = materialise(pending, partition_by=["block"])
+    begun = pending.select("block", shard.alias("shard")).join(held.select("shard").distinct(), "shard")
+    appended = {r["block"] for r in begun.select("block").distinct().collect()}
     for start in sorted(r["block"] for r in pending.select("block").distinct().collect()):
         todo = pending.where(F.col("block") == start).drop("block")
-        first = F.col("row_index") - F.pmod("row_index", F.lit(shard_rows))
-        shard = F.concat_ws("-", first.cast("string"), (first + shard_rows).cast("string"))
         by_shard = todo.repartition(tasks, shard) if tasks else todo.repartition(shard)
         (
             enrich_column(by_shard, "text", fn, retry, "row_index")
             .withColumns({"hop": F.lit(hop), "shard": shard})
-            .write.mode("append")
+            .write.mode("append" if start in appended else "overwrite")
+            .option("partitionOverwriteMode", "dynamic")
             .partitionBy("hop", "shard")
             .parquet(path)
         )
@@ -213,8 +215,9 @@ def augmented_pairs(
         )
 
     joined = pairs.join(side(premise_rt, "_premise"), index).join(side(hypothesis_rt, "_hypothesis"), index)
-    changed = (clean_text("premise") != clean_text("_premise")) | (clean_text("hypothesis") != clean_text("_hypothesis"))
-    return joined.where(changed).select(
+    # Equal texts are equal once cleaned, which is the dear part.
+    changed = [(F.col(c) != F.col(f"_{c}")) & (clean_text(c) != clean_text(f"_{c}")) for c in ("premise", "hypothesis")]
+    return joined.where(changed[0] | changed[1]).select(
         F.lit("rtt").alias("source"),
         index,
         F.col("_premise").alias("premise"),

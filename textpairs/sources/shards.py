@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -28,12 +30,15 @@ def write_shard(df: DataFrame, path: str, hop: str, start: int, stop: int) -> No
 
 
 def read_shards(spark: SparkSession, path: str, hop: str | None = None) -> DataFrame:
-    """All shards, or those of one hop by partition pruning; row order is the ``row_index`` column.
+    """All shards, or those of one hop, whose folder alone is listed; row order is the ``row_index`` column.
 
     A path without any shard gives an empty frame, so that a first run and a resumed one are alike.
     """
+    # Other characters are escaped in folder names; such a hop is found by partition pruning.
+    plain = hop is not None and re.fullmatch(r"[A-Za-z0-9_.-]+", hop)
+    folder = f"{path.rstrip('/')}/hop={hop}" if plain else path
     try:
-        df = spark.read.schema(SHARD_SCHEMA).parquet(path).select(*SHARD_COLUMNS)
+        df = spark.read.schema(SHARD_SCHEMA).option("basePath", path).parquet(folder).select(*SHARD_COLUMNS)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
