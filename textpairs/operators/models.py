@@ -28,6 +28,7 @@ from textpairs.storage import materialise
 
 SCORE_BATCH = 16  # fixed value: rows per model call
 FIT_ROWS = 32_768
+PART_ROWS = 131_072
 
 
 def default_estimator(
@@ -97,6 +98,18 @@ def fold_weights(df: DataFrame, idf: IDF, k: int) -> dict[int, ElementwiseProduc
     return out
 
 
+def fit_layout(n: int, k: int, parallelism: int, cores: int) -> tuple[int, int]:
+    """Parts of a fit over ``n`` rows, and how many of ``k`` fits run at the same time.
+
+    Every part sends a gradient as long as the model in every step, so a fit has as many as hold ``PART_ROWS`` rows, in whole
+    rounds of the cores; small ones are cut as far as ``FIT_ROWS`` while cores would be idle. Each running fit holds its
+    training rows in memory, so no more run than give the cores two rounds of tasks.
+    """
+    parts = max(ceil(n / PART_ROWS), min(ceil(n / FIT_ROWS), ceil(cores / min(k, parallelism))), 1)
+    parts = ceil(parts / cores) * cores if parts > cores else parts
+    return parts, min(k, parallelism, ceil(2 * cores / parts))
+
+
 def fit_folds(
     df: DataFrame,
     k: int,
@@ -112,8 +125,7 @@ def fit_folds(
 
     What the stages before the first one that learns make of a row is the same in all runs, so it is made once and stored.
     Everything learned comes from the training part alone; document frequencies are those of all rows less those of the
-    fold, counted in one pass. Up to ``parallelism`` folds are fitted at the same time, each in as many parts as hold
-    ``FIT_ROWS`` rows, since every part sends a gradient as long as the model in every step. ``evaluate`` turns
+    fold, counted in one pass. Up to ``parallelism`` folds are fitted at the same time, as ``fit_layout`` says. ``evaluate`` turns
     ``pred, gold`` rows into one row of metrics.
     """
     estimator = default_estimator() if estimator is None else estimator
@@ -130,7 +142,7 @@ def fit_folds(
     def fit(fold: int, train: DataFrame, validation: DataFrame) -> tuple[Model, dict[str, float]]:
         n = sum(rows.values()) - rows.get(fold, 0)
         stages = [weights[fold], *learning[1:]] if weights else learning
-        fitted = Pipeline(stages=stages).fit(train.coalesce(max(ceil(n / FIT_ROWS), 1)))
+        fitted = Pipeline(stages=stages).fit(train.coalesce(parts))
         pred = fitted.transform(validation).select(F.col("prediction").cast("int").alias("pred"), F.col("label").alias("gold"))
         found = evaluate(pred).first().asDict()
         values = {m: v for m, v in found.items() if m != "n" and v is not None}  # an empty fold has no accuracy
@@ -140,8 +152,11 @@ def fit_folds(
             model.write().overwrite().save(f"{model_path.rstrip('/')}/{run_name(tag, fold)}")
         return model, values
 
-    with ThreadPool(min(k, parallelism)) as pool:
-        done = pool.starmap(inheritable_thread_target(spark)(fit), [(i, *s) for i, s in enumerate(fold_pairs(stored, k))])
+    largest = sum(rows.values()) - min(rows.get(fold, 0) for fold in range(k))
+    parts, at_once = fit_layout(largest, k, parallelism, spark.sparkContext.defaultParallelism)
+    with ThreadPool(at_once) as pool:
+        folds = [(i, *s) for i, s in enumerate(fold_pairs(stored, k))]
+        done = pool.starmap(inheritable_thread_target(spark)(fit), folds, chunksize=1)
     table = reduce(
         DataFrame.unionByName, [metric_rows(spark, v, tag, fold, plm, k, 0) for fold, (_, v) in enumerate(done)]
     )
