@@ -16,12 +16,13 @@ from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, RegexTokenize
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpairs.functions.scores import argmax, softmax
 from textpairs.operators.scoring import accuracy, ensemble_rows
+from textpairs.operators.softmax_folds import Run, as_model, fit_jointly, fits_jointly, packed_rows
 from textpairs.operators.split import fold_pairs
 from textpairs.sources.metrics import append_metrics, metric_rows, run_name
 from textpairs.storage import materialise
@@ -78,16 +79,37 @@ def _learned_nothing(estimator: Estimator) -> tuple[list[Transformer], list]:
     return stages[:n], stages[n:]
 
 
-def fold_weights(df: DataFrame, idf: IDF, k: int) -> dict[int, ElementwiseProduct]:
-    """Inverse document frequencies of each fold's training part from one pass over ``df``.
+class Moments(NamedTuple):
+    """Rows, rows with a feature, its mean and the sum of squared distances from the mean."""
+
+    n: int
+    documents: np.ndarray
+    mean: np.ndarray
+    squares: np.ndarray
+
+    def with_(self, other: Moments) -> Moments:
+        n, apart = self.n + other.n, other.mean - self.mean
+        squares = self.squares + other.squares + apart * apart * (self.n * other.n / n)
+        return Moments(n, self.documents + other.documents, self.mean + apart * (other.n / n), squares)
+
+
+def fold_moments(df: DataFrame, column: str) -> dict[int, Moments]:
+    """Moments of a vector column per fold, from one pass over ``df``."""
+    summary = Summarizer.metrics("numNonZeros", "mean", "variance").summary(F.col(column))
+    found = df.where("fold is not null").groupBy("fold").agg(F.count("*").alias("n"), summary.alias("s")).collect()
+    arrays = {r["fold"]: (r["n"], *(r["s"][m].toArray() for m in ("numNonZeros", "mean", "variance"))) for r in found}
+    return {fold: Moments(n, documents, mean, variance * (n - 1)) for fold, (n, documents, mean, variance) in arrays.items()}
+
+
+def fold_weights(df: DataFrame, idf: IDF, k: int, moments: dict[int, Moments] | None = None) -> dict[int, ElementwiseProduct]:
+    """Inverse document frequencies of each fold's training part from one pass over ``df``, or from its ``moments``.
 
     Rows and documents with a term are counted per fold; a training part has those of all rows less those of its fold.
     """
     column = idf.getInputCol()
-    held = df.where("fold is not null").groupBy("fold")
-    counts = held.agg(F.count("*").alias("n"), Summarizer.numNonZeros(F.col(column)).alias("with")).collect()
-    rows = {r["fold"]: r["n"] for r in counts}
-    documents = {r["fold"]: r["with"].toArray() for r in counts}
+    moments = fold_moments(df, column) if moments is None else moments
+    rows = {fold: m.n for fold, m in moments.items()}
+    documents = {fold: m.documents for fold, m in moments.items()}
     out = {}
     for fold in range(k):
         n = sum(rows.values()) - rows.get(fold, 0)
@@ -97,6 +119,47 @@ def fold_weights(df: DataFrame, idf: IDF, k: int) -> dict[int, ElementwiseProduc
     return out
 
 
+def _is_joint(learning: list, label: T.StructField) -> bool:
+    """Whether all that is learned is a softmax regression, on its own or after weights by document frequency."""
+    *idf, last = learning or [None]
+    if not fits_jointly(last) or last.getLabelCol() != label.name or label.metadata:
+        return False
+    return not idf or (len(idf) == 1 and isinstance(idf[0], IDF) and idf[0].getOutputCol() == last.getFeaturesCol())
+
+
+def _classes(counts: Sequence[Row], k: int) -> list[np.ndarray] | None:
+    """Rows per class of each fold's training part; None unless all end with the same class and have several."""
+    held = [r for r in counts if r["fold"] is not None]
+    if not held or any(r["label"] is None or r["label"] < 0 or r["label"] != int(r["label"]) for r in held):
+        return None
+    labels, folds, n = (np.array([r[c] for r in held]).astype(np.int64) for c in ("label", "fold", "count"))
+    out = [np.bincount(labels[folds != i], n[folds != i]) for i in range(k)]
+    return out if len({len(h) for h in out}) == 1 and all(np.count_nonzero(h) > 1 for h in out) else None
+
+
+def _regressions(
+    stored: DataFrame, column: str, regression: LogisticRegression, counts: Sequence[Row], moments: dict[int, Moments], weights: dict
+) -> dict[int, Model]:
+    """The regressions of all folds, fitted at the same time; none if that would not be what their estimator does."""
+    k = len(weights)
+    labels = _classes(counts, k)
+    if labels is None or (regression.getFamily() == "auto" and len(labels[0]) < 3):
+        return {}
+    runs = {}
+    for fold, h in enumerate(labels):
+        m = reduce(Moments.with_, [m for f, m in moments.items() if f != fold])
+        own = np.ones(len(m.mean)) if weights[fold] is None else weights[fold].getScalingVec().toArray()
+        runs[fold] = Run(h, m.mean, np.sqrt(m.squares / max(m.n - 1, 1)), own)
+    blocks = packed_rows(stored, column, int(sum(m.documents.sum() for m in moments.values())))
+    try:
+        fitted = fit_jointly(blocks, regression, runs)
+    finally:
+        blocks.unpersist()
+    trains = {fold: train for fold, (train, _) in enumerate(fold_pairs(stored, k))}
+    weighted = {fold: train if weights[fold] is None else weights[fold].transform(train) for fold, train in trains.items()}
+    return {fold: as_model(regression, fitted[fold], weighted[fold]) for fold in fitted}
+
+
 def fit_folds(
     df: DataFrame,
     k: int,
@@ -112,8 +175,9 @@ def fit_folds(
 
     What the stages before the first one that learns make of a row is the same in all runs, so it is made once and stored.
     Everything learned comes from the training part alone; document frequencies are those of all rows less those of the
-    fold, counted in one pass. Up to ``parallelism`` folds are fitted at the same time, each in as many parts as hold
-    ``FIT_ROWS`` rows, since every part sends a gradient as long as the model in every step. ``evaluate`` turns
+    fold, counted in one pass. Softmax regressions are fitted by passes that all folds share (``fit_jointly``), with the
+    models that separate fits give. Of others up to ``parallelism`` are fitted at the same time, each in as many parts as
+    hold ``FIT_ROWS`` rows, since every part sends a gradient as long as the model in every step. ``evaluate`` turns
     ``pred, gold`` rows into one row of metrics.
     """
     estimator = default_estimator() if estimator is None else estimator
@@ -124,13 +188,20 @@ def fit_folds(
     inputs = [first.getInputCol()] if isinstance(first, IDF) else [first.getFeaturesCol()] if hasattr(first, "getFeaturesCol") else []
     wanted = ["label", "fold", *inputs] if inputs else made.columns
     stored = materialise(made.select(*wanted), partition_by=["fold"])
-    rows = {r["fold"]: r["count"] for r in stored.groupBy("fold").count().collect()}
-    weights = fold_weights(stored, first, k) if isinstance(first, IDF) else {}
+    counts = stored.groupBy("fold", "label").count().collect()
+    rows = {f: sum(r["count"] for r in counts if r["fold"] == f) for f in {r["fold"] for r in counts}}
+    joint = _is_joint(learning, stored.schema["label"])
+    moments = fold_moments(stored, inputs[0]) if joint or isinstance(first, IDF) else {}
+    weights = fold_weights(stored, first, k, moments) if isinstance(first, IDF) else {}
+    regressions = _regressions(stored, inputs[0], learning[-1], counts, moments, {f: weights.get(f) for f in range(k)}) if joint else {}
 
     def fit(fold: int, train: DataFrame, validation: DataFrame) -> tuple[Model, dict[str, float]]:
         n = sum(rows.values()) - rows.get(fold, 0)
-        stages = [weights[fold], *learning[1:]] if weights else learning
-        fitted = Pipeline(stages=stages).fit(train.coalesce(max(ceil(n / FIT_ROWS), 1)))
+        own = [weights[fold]] if weights else []
+        if fold in regressions:
+            fitted = PipelineModel([*own, regressions[fold]])
+        else:
+            fitted = Pipeline(stages=[*own, *learning[len(own):]]).fit(train.coalesce(max(ceil(n / FIT_ROWS), 1)))
         pred = fitted.transform(validation).select(F.col("prediction").cast("int").alias("pred"), F.col("label").alias("gold"))
         found = evaluate(pred).first().asDict()
         values = {m: v for m, v in found.items() if m != "n" and v is not None}  # an empty fold has no accuracy
